@@ -8,6 +8,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def collapse(value: Column) -> Column:
@@ -27,7 +28,7 @@ def fold(value: Column) -> Column:
     return F.lower(F.upper(value))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _to_ascii(titles: pd.Series) -> pd.Series:
     decomposed = titles.str.normalize("NFKD")
     return decomposed.str.encode("ascii", "ignore").str.decode("ascii")

@@ -28,7 +28,7 @@ def exact_medians(frame: DataFrame, keys: Sequence[str], value: str) -> DataFram
     )
     cuts = present.groupBy(*keys).agg(
         F.count("*").alias("n"),
-        F.percentile_approx("v", [F.lit(c) for c in _CUTS], F.lit(_ACCURACY)).alias("cut"),
+        F.percentile_approx("v", list(_CUTS), _ACCURACY).alias("cut"),
     )
     counts = present.groupBy(*keys, "v").agg(F.count("*").alias("copies"))
     placed = _null_safe_join(counts, cuts, keys).withColumn(
