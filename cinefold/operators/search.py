@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window
 
 from cinefold import schemas as S
 from cinefold.functions import vector as V
@@ -118,13 +117,6 @@ def _as_requests(table: pa.Table, k: int, equal: dict, minimum: dict, not_self:
     }
 
 
-def _block(batch) -> tuple[np.ndarray, np.ndarray, dict[str, np.ndarray]]:
-    names = [n for n in batch.schema.names if n not in ("id", "vector", "block", "cell")]
-    ids = np.asarray(batch["id"].to_pylist())
-    filters = {n: np.asarray(batch[n].to_pylist(), object) for n in names}
-    return ids, V.matrix_of(batch["vector"]), filters
-
-
 def _answers(requests: V.Requests, best: V.BestRows, schema: pa.Schema) -> pa.Table:
     ids = [] if best.row is None else best.row.tolist()
     return pa.table(
@@ -164,16 +156,22 @@ def top_k_per_request(
     size = asked.agg(
         F.max("k").alias("k"), F.count("*").alias("n"), F.max(F.size("vector")).alias("width")
     ).first()
-    schema = _answer_schema(requests, request_id, catalogue, id)
-    if not size["n"]:
-        local = requests.sparkSession.createDataFrame([], schema)
-    elif size["n"] * size["width"] * 8 <= held_bytes:
-        local = _search_held(rows, asked, size["k"], equal, minimum, not_self, schema)
-    else:
-        blocks = math.ceil(size["n"] * size["width"] * 8 / held_bytes)
-        local = _search_grid(rows, asked, size, blocks, equal, minimum, not_self, schema)
+    k = size["k"]
+
+    def prepare(table: pa.Table) -> dict:
+        return _as_requests(table, k, equal, minimum, not_self)
+
+    def score(requests: V.Requests, best: V.BestRows, ids: np.ndarray, batch) -> None:
+        names = [*equal, *minimum]
+        filters = {n: np.asarray(batch[n].to_pylist(), object) for n in names}
+        V.rank_block(requests, best, ids, V.matrix_of(batch["vector"]), filters)
+
+    local = _best_per_task(
+        rows, asked, size["n"], 8 * (size["width"] or 0), prepare, score,
+        _answer_schema(requests, request_id, catalogue, id), held_bytes,
+    )
     order = Window.partitionBy("request_id").orderBy(F.desc("score"), F.asc("id"))
-    ranked = local.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= size["k"])
+    ranked = local.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= F.lit(k))
     if top_k is None:
         own = asked.select("request_id", "k")
         ranked = ranked.join(own, "request_id").filter("rank <= k")
@@ -182,43 +180,51 @@ def top_k_per_request(
     )
 
 
-def _search_held(rows, asked, k, equal, minimum, not_self, schema) -> DataFrame:
-    spark = rows.sparkSession
-    held = spark.sparkContext.broadcast(_as_requests(asked.toArrow(), k, equal, minimum, not_self))
-    arrow = _arrow_schema(schema)
+def _best_per_task(
+    rows: DataFrame, asked: DataFrame, count: int, width_bytes: int,
+    prepare: Callable[[pa.Table], dict], score: Callable, schema: T.StructType, held_bytes: int,
+) -> DataFrame:
+    """Each task's best rows per request, over requests held whole or a grid of bounded groups."""
+    spark, arrow = rows.sparkSession, _arrow_schema(schema)
+    if not count:
+        return spark.createDataFrame([], schema)
 
-    def best_of_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        requests = V.Requests(**held.value)
-        best = V.BestRows(len(requests.ids), requests.k)
-        for batch in batches:
-            V.rank_block(requests, best, *_block(batch))
-        yield from _answers(requests, best, arrow).to_batches()
+    def row_ids(batch) -> np.ndarray:
+        return np.asarray(batch["id"].to_pylist())
 
-    # A few waves of tasks are enough; more would only send more partial answers around.
-    waves = rows.coalesce(4 * spark.sparkContext.defaultParallelism)
-    return waves.mapInArrow(best_of_task, schema)
+    if count * width_bytes <= held_bytes:
+        held = spark.sparkContext.broadcast(prepare(asked.toArrow()))
 
+        def best_of_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            requests = V.Requests(**held.value)
+            best = V.BestRows(len(requests.ids), requests.k)
+            for batch in batches:
+                score(requests, best, row_ids(batch), batch)
+            yield from _answers(requests, best, arrow).to_batches()
 
-def _search_grid(rows, asked, size, blocks, equal, minimum, not_self, schema) -> DataFrame:
-    vectors = rows.count()
-    cells = max(1, math.ceil(vectors * size["width"] * 8 / CELL_BYTES))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = rows.withColumn("cell", F.pmod(F.xxhash64("id"), F.lit(cells)).cast("int")).withColumn(
-        "block", every(blocks)
-    )
-    right = asked.withColumn(
-        "block", F.pmod(F.xxhash64("request_id"), F.lit(blocks)).cast("int")
-    ).withColumn("cell", every(cells))
-    arrow, k = _arrow_schema(schema), size["k"]
+        # A few waves of tasks are enough; more would only send more partial answers around.
+        waves = rows.coalesce(4 * spark.sparkContext.defaultParallelism)
+        return waves.mapInArrow(best_of_task, schema)
 
     def best_of_cell(stored: pa.Table, wanted: pa.Table) -> pa.Table:
         if not stored.num_rows or not wanted.num_rows:
             return arrow.empty_table()
-        requests = V.Requests(**_as_requests(wanted, k, equal, minimum, not_self))
-        best = V.BestRows(len(requests.ids), k)
-        V.rank_block(requests, best, *_block(stored))
+        requests = V.Requests(**prepare(wanted))
+        best = V.BestRows(len(requests.ids), requests.k)
+        score(requests, best, row_ids(stored), stored)
         return _answers(requests, best, arrow)
 
+    blocks = math.ceil(count * width_bytes / held_bytes)
+    cells = max(1, math.ceil(rows.count() * width_bytes / CELL_BYTES))
+
+    def hashed(column: str, parts: int) -> Column:
+        return F.pmod(F.xxhash64(column), F.lit(parts)).cast("int")
+
+    def every(parts: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+
+    left = rows.withColumn("cell", hashed("id", cells)).withColumn("block", every(blocks))
+    right = asked.withColumn("block", hashed("request_id", blocks)).withColumn("cell", every(cells))
     return (
         left.groupBy("block", "cell").cogroup(right.groupBy("block", "cell"))
         .applyInArrow(best_of_cell, schema)
@@ -268,41 +274,37 @@ def signature(vector: Column, width: int, bits: int = 256, seed: int = 42) -> Co
 def approximate_candidates(
     signed: DataFrame, requests: DataFrame, budget: int, id: str = "id",
     code: str = "signature", request_id: str = "request_id", request_code: str = "signature",
+    held_bytes: int = HELD_BYTES,
 ) -> DataFrame:
     """``request_id, id``: the rows whose signatures differ least from each request's."""
     asked = requests.filter(F.col(request_code).isNotNull()).select(
         F.col(request_id).alias("request_id"), F.col(request_code).alias("code")
     )
-    size = asked.agg(F.coalesce(F.sum(F.octet_length("code") + 64), F.lit(0))).first()[0]
-    if size > HELD_BYTES:
-        raise ValueError("too many requests for one approximate pass; use top_k_per_request")
-    table = asked.toArrow()
-    schema = _answer_schema(requests, request_id, signed, id)
-    arrow = _arrow_schema(schema)
-    held = signed.sparkSession.sparkContext.broadcast(
-        (np.asarray(table["request_id"].to_pylist()), table["code"].to_pylist())
-    )
+    rows = signed.filter(F.col(code).isNotNull()).select(F.col(id).alias("id"), F.col(code).alias("code"))
+    size = asked.agg(F.count("*").alias("n"), F.max(F.octet_length("code")).alias("width")).first()
 
-    def closest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, codes = held.value
-        wanted = np.array([np.frombuffer(c, np.uint8) for c in codes])
-        requests = V.Requests(ids, wanted, budget)
-        best = V.BestRows(len(ids), budget)
-        step = max(1, 4_000_000 // max(1, wanted.size))
-        for batch in batches:
-            row_ids = np.asarray(batch["id"].to_pylist())
-            for start in range(0, len(row_ids), step):
-                part = slice(start, start + step)
-                rows = np.array([np.frombuffer(c, np.uint8) for c in batch["code"].to_pylist()[part]])
-                differ = np.bitwise_count(wanted[:, None, :] ^ rows[None, :, :]).sum(axis=2)
-                best.offer(-differ.astype(np.float64), row_ids[part])
-        yield from _answers(requests, best, arrow).to_batches()
+    def matrix(codes) -> np.ndarray:
+        return np.array([np.frombuffer(c, np.uint8) for c in codes])
 
-    rows = signed.filter(F.col(code).isNotNull()).select(F.col(id).alias("id"), F.col(code).alias("code"))
-    waves = rows.coalesce(4 * signed.sparkSession.sparkContext.defaultParallelism)
+    def prepare(table: pa.Table) -> dict:
+        ids = np.asarray(table["request_id"].to_pylist())
+        return {"ids": ids, "vectors": matrix(table["code"].to_pylist()), "k": budget}
+
+    def score(requests: V.Requests, best: V.BestRows, ids: np.ndarray, batch) -> None:
+        wanted, codes = requests.vectors, matrix(batch["code"].to_pylist())
+        step = max(1, 4_000_000 // max(1, wanted.size))
+        for start in range(0, len(ids), step):
+            part = slice(start, start + step)
+            differ = np.bitwise_count(wanted[:, None, :] ^ codes[None, part, :]).sum(axis=2)
+            best.offer(-differ.astype(np.float64), ids[part])
+
+    local = _best_per_task(
+        rows, asked, size["n"], size["width"] or 0, prepare, score,
+        _answer_schema(requests, request_id, signed, id), held_bytes,
+    )
     order = Window.partitionBy("request_id").orderBy(F.desc("score"), F.asc("id"))
     return (
-        waves.mapInArrow(closest, schema).withColumn("place", F.row_number().over(order))
+        local.withColumn("place", F.row_number().over(order))
         .filter(F.col("place") <= budget).select("request_id", "id")
     )
 
