@@ -20,6 +20,13 @@ def drop_untitled(frame: DataFrame, title: str = "title") -> DataFrame:
     return frame.filter(F.col(title).isNotNull())
 
 
+def titled_text(raw: DataFrame) -> DataFrame:
+    """Normalised text, rows with a title only, certificates repaired."""
+    return drop_untitled(normalise_text(raw, S.TEXT_COLUMNS)).withColumn(
+        "mpaa_rating", text.repair(F.col("mpaa_rating"), S.CERTIFICATES)
+    )
+
+
 def variant_spellings(frame: DataFrame, columns: Sequence[str], order: str = "ord") -> DataFrame:
     """``(field, spelling, canonical)`` for every spelling that loses its vote.
 
@@ -111,9 +118,7 @@ def typed(
     variants: DataFrame | None = None,
 ) -> DataFrame:
     """Everything up to the key, before any row is dropped as a duplicate."""
-    titled = drop_untitled(normalise_text(raw, S.TEXT_COLUMNS)).withColumn(
-        "mpaa_rating", text.repair(F.col("mpaa_rating"), S.CERTIFICATES)
-    )
+    titled = titled_text(raw)
     if variants is None:
         variants = step_table(variant_spellings(titled, S.VOTED_COLUMNS, order), "variants")
     voted = apply_spellings(titled, variants, S.VOTED_COLUMNS)
@@ -178,9 +183,7 @@ def cleaning_report(
         _rule("rows_in", "*", "read", F.col("rows_in")),
     )).alias("r")).select("r.*")
 
-    base = drop_untitled(normalise_text(raw, S.TEXT_COLUMNS)).withColumn(
-        "mpaa_rating", text.repair(F.col("mpaa_rating"), S.CERTIFICATES)
-    )
+    base = titled_text(raw)
     if variants is None:
         variants = step_table(variant_spellings(base, S.VOTED_COLUMNS, order), "variants")
     return by_value.unionByName(_variant_counts(base, variants)).unionByName(

@@ -62,11 +62,7 @@ def run(
 
 
 def spelling_variants(raw: DataFrame, order: str = "ord") -> DataFrame:
-    from cinefold.functions import text
-
-    base = cleaning.drop_untitled(cleaning.normalise_text(raw, S.TEXT_COLUMNS)).withColumn(
-        "mpaa_rating", text.repair(F.col("mpaa_rating"), S.CERTIFICATES)
-    )
+    base = cleaning.titled_text(raw)
     return step_table(cleaning.variant_spellings(base, S.VOTED_COLUMNS, order), "variants")
 
 
