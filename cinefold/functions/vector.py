@@ -27,6 +27,11 @@ def cosine(left: Column, right: Column) -> Column:
     return F.try_divide(dot(left, right), F.sqrt(dot(left, left)) * F.sqrt(dot(right, right)))
 
 
+def ranked(similarity: Column) -> Column:
+    """The similarity as far as it decides a rank."""
+    return F.round(similarity, RANK_DECIMALS)
+
+
 def presented(similarity: Column) -> Column:
     """Clamp to [0, 1] and round to six digits; NULL stays NULL."""
     clamped = F.greatest(F.lit(0.0), F.least(F.lit(1.0), similarity))
@@ -54,7 +59,20 @@ def cosine_to(target: list[float]):
         present = vectors.notna().to_numpy()
         if present.any():
             scores[present] = unit_rows(np.stack(vectors[present].to_numpy())) @ wanted
-        return pd.Series(np.round(scores, RANK_DECIMALS)).astype(object).where(~np.isnan(scores), None)
+        return pd.Series(scores).astype(object).where(~np.isnan(scores), None)
+
+    return similarity
+
+
+def cosine_of_pairs():
+    """An Arrow function giving the similarity of two array columns without gaps."""
+
+    @F.pandas_udf("double")
+    def similarity(left: pd.Series, right: pd.Series) -> pd.Series:
+        if left.empty:
+            return pd.Series([], dtype="float64")
+        a, b = unit_rows(np.stack(left.to_numpy())), unit_rows(np.stack(right.to_numpy()))
+        return pd.Series(np.einsum("ij,ij->i", a, b))
 
     return similarity
 
@@ -120,13 +138,14 @@ class BestRows:
     def __init__(self, requests: int, k: int):
         self.k = k
         self.request = np.zeros(0, np.int64)
-        self.score = np.zeros(0)
+        self.score, self.exact = np.zeros(0), np.zeros(0)
         self.row: np.ndarray | None = None
         self.floor = np.full(requests, -np.inf)
         self.last = np.full(requests, None, object)
 
     def offer(self, scores: np.ndarray, row_ids: np.ndarray) -> None:
         """Take in a request x row block of scores; -inf marks a pair that is not allowed."""
+        exact, scores = scores, np.round(scores, RANK_DECIMALS)
         rows = scores.shape[1]
         floor = self.floor
         if rows > self.k:
@@ -144,6 +163,7 @@ class BestRows:
         keep[tied] = row[tied] < self.last[request[tied]].astype(row.dtype)
         self.request = np.concatenate([self.request, request[keep]])
         self.score = np.concatenate([self.score, score[keep]])
+        self.exact = np.concatenate([self.exact, exact[request, position][keep]])
         self.row = np.concatenate([self.row, row[keep]])
         self._trim()
 
@@ -154,6 +174,7 @@ class BestRows:
         place = np.arange(len(request)) - first
         order = order[place < self.k]
         self.request, self.score, self.row = self.request[order], self.score[order], self.row[order]
+        self.exact = self.exact[order]
         full = np.flatnonzero(place[place < self.k] == self.k - 1)
         self.floor[self.request[full]] = self.score[full]
         self.last[self.request[full]] = self.row[full]
@@ -168,7 +189,7 @@ def rank_block(
     for start in range(0, len(row_ids), step):
         part = slice(start, start + step)
         ids = row_ids[part]
-        scores = np.round(requests.vectors @ unit_rows(vectors[part]).T, RANK_DECIMALS)
+        scores = requests.vectors @ unit_rows(vectors[part]).T
         allowed = requests.eligible({n: v[part] for n, v in filters.items()}, ids)
         scores[np.isnan(scores)] = -np.inf
         if allowed is not None:

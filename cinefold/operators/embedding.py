@@ -13,8 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cinefold import schemas as S
 from cinefold.functions import text
+from cinefold.schemas import EMBEDDING_WIDTH
 
 Vectors = list[list[float]]
 EMBEDDED = "vector array<float>, error string, batch_head boolean"
@@ -33,7 +33,7 @@ class Embedder:
 
     model: str
     connect: Callable[[], Callable[[list[str]], Vectors]]
-    width: int = S.EMBEDDING_WIDTH
+    width: int = EMBEDDING_WIDTH
     prefix: str = ""
     batch_size: int = 32
     batch_limit: int | None = None
@@ -53,11 +53,11 @@ def hashed_words() -> Callable[[list[str]], Vectors]:
     def place(token: str) -> tuple[int, float]:
         if token not in places:
             digest = hashlib.md5(token.encode()).hexdigest()
-            places[token] = int(digest[:2], 16) % S.EMBEDDING_WIDTH, 1.0 if digest[2] < "8" else -1.0
+            places[token] = int(digest[:2], 16) % EMBEDDING_WIDTH, 1.0 if digest[2] < "8" else -1.0
         return places[token]
 
     def embed(texts: list[str]) -> Vectors:
-        out = np.zeros((len(texts), S.EMBEDDING_WIDTH))
+        out = np.zeros((len(texts), EMBEDDING_WIDTH))
         for row, content in enumerate(texts):
             for token in re.findall(r"[a-z0-9]+", content.lower()):
                 column, sign = place(token)

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from cinefold import schemas as S
 from cinefold.functions import vector as V
+from cinefold.functions.vector import BestRows, Requests, matrix_of, rank_block, unit_rows
 from cinefold.session import step_table
 
 # Requests held by every task are limited to this size; more of them are searched in a grid.
@@ -80,7 +81,7 @@ def search(
     if not_id is not None:
         rows = rows.filter(F.col(id) != not_id)
     scored = rows.withColumn("similarity", V.cosine_to(list(target))(F.col(vector)))
-    best = scored.orderBy(F.desc("similarity"), F.asc(id)).limit(top_k)
+    best = scored.orderBy(V.ranked(F.col("similarity")).desc(), F.asc(id)).limit(top_k)
     return best.select(*columns, V.presented(F.col("similarity")).alias("similarity"))
 
 
@@ -109,7 +110,7 @@ def _as_requests(table: pa.Table, k: int, equal: dict, minimum: dict, not_self:
     """Plain arrays, so that a broadcast needs no class on the executors."""
     return {
         "ids": np.asarray(table["request_id"].to_pylist()),
-        "vectors": V.unit_rows(V.matrix_of(table["vector"])),
+        "vectors": unit_rows(matrix_of(table["vector"])),
         "k": k,
         "equal": {c: np.asarray(table[f"want_{c}"].to_pylist(), object) for c in equal},
         "minimum": {c: np.asarray(table[f"want_{c}"].to_pylist(), object) for c in minimum},
@@ -117,10 +118,10 @@ def _as_requests(table: pa.Table, k: int, equal: dict, minimum: dict, not_self:
     }
 
 
-def _answers(requests: V.Requests, best: V.BestRows, schema: pa.Schema) -> pa.Table:
+def _answers(requests: Requests, best: BestRows, schema: pa.Schema) -> pa.Table:
     ids = [] if best.row is None else best.row.tolist()
     return pa.table(
-        [requests.ids[best.request].tolist(), ids, best.score.tolist()], schema=schema
+        [requests.ids[best.request].tolist(), ids, best.exact.tolist()], schema=schema
     )
 
 
@@ -161,16 +162,16 @@ def top_k_per_request(
     def prepare(table: pa.Table) -> dict:
         return _as_requests(table, k, equal, minimum, not_self)
 
-    def score(requests: V.Requests, best: V.BestRows, ids: np.ndarray, batch) -> None:
+    def score(requests: Requests, best: BestRows, ids: np.ndarray, batch) -> None:
         names = [*equal, *minimum]
         filters = {n: np.asarray(batch[n].to_pylist(), object) for n in names}
-        V.rank_block(requests, best, ids, V.matrix_of(batch["vector"]), filters)
+        rank_block(requests, best, ids, matrix_of(batch["vector"]), filters)
 
     local = _best_per_task(
         rows, asked, size["n"], 8 * (size["width"] or 0), prepare, score,
         _answer_schema(requests, request_id, catalogue, id), held_bytes,
     )
-    order = Window.partitionBy("request_id").orderBy(F.desc("score"), F.asc("id"))
+    order = Window.partitionBy("request_id").orderBy(V.ranked(F.col("score")).desc(), F.asc("id"))
     ranked = local.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= F.lit(k))
     if top_k is None:
         own = asked.select("request_id", "k")
@@ -196,8 +197,8 @@ def _best_per_task(
         held = spark.sparkContext.broadcast(prepare(asked.toArrow()))
 
         def best_of_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            requests = V.Requests(**held.value)
-            best = V.BestRows(len(requests.ids), requests.k)
+            requests = Requests(**held.value)
+            best = BestRows(len(requests.ids), requests.k)
             for batch in batches:
                 score(requests, best, row_ids(batch), batch)
             yield from _answers(requests, best, arrow).to_batches()
@@ -209,8 +210,8 @@ def _best_per_task(
     def best_of_cell(stored: pa.Table, wanted: pa.Table) -> pa.Table:
         if not stored.num_rows or not wanted.num_rows:
             return arrow.empty_table()
-        requests = V.Requests(**prepare(wanted))
-        best = V.BestRows(len(requests.ids), requests.k)
+        requests = Requests(**prepare(wanted))
+        best = BestRows(len(requests.ids), requests.k)
         score(requests, best, row_ids(stored), stored)
         return _answers(requests, best, arrow)
 
@@ -255,6 +256,8 @@ def signature(vector: Column, width: int, bits: int = 256, seed: int = 42) -> Co
     Kept as a column of the snapshot, it lets an approximate search read a few bytes per
     row in place of the vector.
     """
+    if bits % 64:
+        raise ValueError("a signature is a whole number of 64-bit words")
 
     @F.pandas_udf(T.BinaryType())
     def sides(vectors):
@@ -284,13 +287,13 @@ def approximate_candidates(
     size = asked.agg(F.count("*").alias("n"), F.max(F.octet_length("code")).alias("width")).first()
 
     def matrix(codes) -> np.ndarray:
-        return np.array([np.frombuffer(c, np.uint8) for c in codes])
+        return np.frombuffer(b"".join(codes), np.uint64).reshape(len(codes), -1)
 
     def prepare(table: pa.Table) -> dict:
         ids = np.asarray(table["request_id"].to_pylist())
         return {"ids": ids, "vectors": matrix(table["code"].to_pylist()), "k": budget}
 
-    def score(requests: V.Requests, best: V.BestRows, ids: np.ndarray, batch) -> None:
+    def score(requests: Requests, best: BestRows, ids: np.ndarray, batch) -> None:
         wanted, codes = requests.vectors, matrix(batch["code"].to_pylist())
         step = max(1, 4_000_000 // max(1, wanted.size))
         for start in range(0, len(ids), step):
@@ -302,7 +305,7 @@ def approximate_candidates(
         rows, asked, size["n"], size["width"] or 0, prepare, score,
         _answer_schema(requests, request_id, signed, id), held_bytes,
     )
-    order = Window.partitionBy("request_id").orderBy(F.desc("score"), F.asc("id"))
+    order = Window.partitionBy("request_id").orderBy(V.ranked(F.col("score")).desc(), F.asc("id"))
     return (
         local.withColumn("place", F.row_number().over(order))
         .filter(F.col("place") <= budget).select("request_id", "id")
@@ -338,8 +341,8 @@ def approximate_search(
         pairs = pairs.filter(filters)
     if not_self:
         pairs = pairs.filter(F.col("id") != F.col("request_id"))
-    exact = F.round(V.cosine(F.col(vector), F.col(f"want_{request_vector}")), V.RANK_DECIMALS)
-    order = Window.partitionBy("request_id").orderBy(F.desc("score"), F.asc("id"))
+    exact = V.cosine_of_pairs()(F.col(vector), F.col(f"want_{request_vector}"))
+    order = Window.partitionBy("request_id").orderBy(V.ranked(F.col("score")).desc(), F.asc("id"))
     return (
         pairs.select("request_id", "id", exact.alias("score"))
         .withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top_k)

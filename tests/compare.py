@@ -36,11 +36,12 @@ def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
 
 
 def _cell(value):
-    if isinstance(value, float):
-        return None if math.isnan(value) else value + 0.0
+    """A value with the name of its kind, so that 1, 1.0 and True differ."""
+    if value is None or (isinstance(value, float) and math.isnan(value)):
+        return None
     if isinstance(value, (list, tuple)):
         return tuple(_cell(v) for v in value)
-    return value
+    return type(value).__name__, value + 0.0 if isinstance(value, float) else value
 
 
 def _bag(columns: list[str], rows) -> Counter:
