@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -79,18 +78,18 @@ def render(value: Column, kind: str) -> Column:
     return value.cast("string")
 
 
-def fingerprint(columns: Mapping[str, str]) -> Column:
-    """SHA-256 over the canonical forms of ``{column: type}``.
-
-    Every value carries its length, so no two different rows give the same input.
-    """
+def _framed(text: Column) -> Column:
+    """A text with its length in front, so that joined texts cannot run into each other."""
+    return F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("-"))
 
-    def framed(name: str, kind: str) -> Column:
-        text = render(F.col(name), kind)
-        return F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("-"))
 
-    return F.sha2(F.concat_ws("|", *[framed(n, k) for n, k in columns.items()]), 256)
+def fingerprint(columns: Mapping[str, str]) -> Column:
+    """SHA-256 over the canonical forms of ``{column: type}``."""
+    texts = [_framed(render(F.col(name), kind)) for name, kind in columns.items()]
+    return F.sha2(F.concat_ws("|", *texts), 256)
 
 
-def any_of(conditions: Sequence[Column]) -> Column:
-    return reduce(lambda left, right: left | right, conditions)
+def digest(columns: Sequence[str]) -> Column:
+    """A short value that is equal for rows equal in all of ``columns``, NULL equal to NULL."""
+    texts = [_framed(F.col(name).cast("string")) for name in columns]
+    return F.unhex(F.sha2(F.concat_ws("|", *texts), 256))

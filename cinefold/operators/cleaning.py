@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -55,17 +56,21 @@ def variant_spellings(frame: DataFrame, columns: Sequence[str], order: str = "or
     )
 
 
-def apply_spellings(frame: DataFrame, variants: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Replace losing spellings; ``variants`` should be a written table of known size."""
+def apply_spellings(
+    frame: DataFrame, variants: DataFrame, columns: Sequence[str], mark: str | None = None
+) -> DataFrame:
+    """Replace losing spellings; ``variants`` should be a written table of known size.
+
+    ``mark`` prefixes a flag per column that tells whether its value was replaced.
+    """
     for name in columns:
         lookup = variants.filter(F.col("field") == name).select(
             F.col("spelling").alias(name), F.col("canonical").alias("__canonical")
         )
-        frame = (
-            frame.join(lookup, name, "left")
-            .withColumn(name, F.coalesce("__canonical", name))
-            .drop("__canonical")
-        )
+        frame = frame.join(lookup, name, "left")
+        if mark is not None:
+            frame = frame.withColumn(f"{mark}{name}", F.col("__canonical").isNotNull())
+        frame = frame.withColumn(name, F.coalesce("__canonical", name)).drop("__canonical")
     return frame
 
 
@@ -113,111 +118,115 @@ def repeated_titles(frame: DataFrame, by: str = "title_slug") -> DataFrame:
     return frame.groupBy(by).agg(F.count("*").alias("rows")).filter("rows > 1")
 
 
-def typed(
-    raw: DataFrame, order: str = "ord", last_year: int = S.LAST_RELEASE_YEAR,
-    variants: DataFrame | None = None,
-) -> DataFrame:
-    """Everything up to the key, before any row is dropped as a duplicate."""
-    titled = titled_text(raw)
-    if variants is None:
-        variants = step_table(variant_spellings(titled, S.VOTED_COLUMNS, order), "variants")
-    voted = apply_spellings(titled, variants, S.VOTED_COLUMNS)
-    return add_key(coerce_numbers(parse_release(voted, last_year)))
-
-
-def clean(
+# The rules of the report that look at one value: issue, field, what is done.
+VALUE_RULES = (
+    [("whitespace_or_type", c, "normalised to single-spaced text") for c in S.TEXT_COLUMNS]
+    + [
+        ("missing_title", "title", "row dropped"),
+        ("invalid_category", "mpaa_rating", "mapped to the official certificates"),
+    ]
+    + [("case_or_spacing_variant", c, "replaced by the most common spelling") for c in S.VOTED_COLUMNS]
+    + [
+        ("unparseable_date", "release_date", "set to NULL"),
+        ("missing_date", "release_date", "left as NULL"),
+        ("two_digit_year_rollover", "release_date", "moved back 100 years"),
+    ]
+    + [
+        ("out_of_range_or_non_numeric", c, f"set to NULL outside [{low:g}, {high:g}]")
+        for c, (low, high) in S.NUMERIC_RANGES.items()
+    ]
+)
+
+
+def keyed(
     raw: DataFrame, order: str = "ord", last_year: int = S.LAST_RELEASE_YEAR,
     variants: DataFrame | None = None,
 ) -> DataFrame:
-    """Raw records (catalogue names, all text) to clean rows.
+    """Every raw record with typed columns, its key and what was done to it.
 
-    Exact copies share their key, so keeping the first row per key drops them as well.
+    Rows without a title are still there, with a NULL title. ``faults`` has one bit per
+    value rule, ``row_digest`` is equal for exact copies. One pass over the raw records;
+    write it once when both the clean rows and the report are wanted.
     """
-    keyed = typed(raw, order, last_year, variants)
-    return first_per_key(keyed, "source_key", order).drop("title_slug")
-
+    if variants is None:
+        variants = step_table(variant_spellings(titled_text(raw), S.VOTED_COLUMNS, order), "variants")
+    hits: dict[tuple[str, str], Column] = {}
+
+    kept = raw.withColumns({f"raw_{c}": F.col(c) for c in [*S.TEXT_COLUMNS, "release_date", *S.NUMERIC_RANGES]})
+    rows = normalise_text(kept, S.TEXT_COLUMNS)
+    titled = F.col("title").isNotNull()
+    for c in S.TEXT_COLUMNS:
+        hits["whitespace_or_type", c] = F.col(f"raw_{c}").isNotNull() & ~F.col(f"raw_{c}").eqNullSafe(
+            text.collapse(F.col(f"raw_{c}"))
+        )
+    hits["missing_title", "title"] = ~titled
+    rows = rows.withColumn("before_mpaa_rating", F.col("mpaa_rating")).withColumn(
+        "mpaa_rating", text.repair(F.col("mpaa_rating"), S.CERTIFICATES)
+    ).withColumn("repaired", ~F.col("mpaa_rating").eqNullSafe(F.col("before_mpaa_rating")))
+    hits["invalid_category", "mpaa_rating"] = titled & F.col("repaired")
+
+    rows = apply_spellings(rows, variants, S.VOTED_COLUMNS, mark="voted_")
+    for c in S.VOTED_COLUMNS:
+        hits["case_or_spacing_variant", c] = titled & F.col(f"voted_{c}")
+
+    rows = rows.withColumn("parsed", text.parse_date(F.col("release_date"), S.DATE_LAYOUTS))
+    given = F.col("raw_release_date").isNotNull()
+    hits["unparseable_date", "release_date"] = titled & given & F.col("parsed").isNull()
+    hits["missing_date", "release_date"] = titled & ~given
+    hits["two_digit_year_rollover", "release_date"] = titled & (F.year("parsed") > last_year)
+    rows = rows.withColumn("release_date", text.roll_back_century(F.col("parsed"), last_year)).withColumn(
+        "release_year", F.year("release_date")
+    )
 
-def _rule(issue: str, field: str, action: str, count: Column) -> Column:
-    return F.struct(
-        F.lit(issue).alias("issue"), F.lit(field).alias("field"),
-        F.coalesce(count, F.lit(0)).cast("bigint").alias("count"), F.lit(action).alias("action"),
+    rows = add_key(coerce_numbers(rows))
+    for c in S.NUMERIC_RANGES:
+        hits["out_of_range_or_non_numeric", c] = titled & F.col(f"raw_{c}").isNotNull() & F.col(c).isNull()
+
+    business = [c for c in raw.columns if c != order]
+    bits = [
+        F.when(hits[issue, field], F.lit(1 << place)).otherwise(0).cast("bigint")
+        for place, (issue, field, _) in enumerate(VALUE_RULES)
+    ]
+    return rows.select(
+        order, *business, "release_year", "title_slug", "source_key",
+        reduce(lambda left, right: left + right, bits).alias("faults"),
+        text.digest(business).alias("row_digest"),
     )
 
 
-def cleaning_report(
+def clean_rows(keyed_rows: DataFrame, order: str = "ord") -> DataFrame:
+    """The first titled row per key. Exact copies share their key, so they go as well."""
+    rows = drop_untitled(keyed_rows).drop("title_slug", "faults", "row_digest")
+    return first_per_key(rows, "source_key", order)
+
+
+def clean(
     raw: DataFrame, order: str = "ord", last_year: int = S.LAST_RELEASE_YEAR,
     variants: DataFrame | None = None,
 ) -> DataFrame:
-    """One row per rule with the number of records it touched; zero counts are kept."""
-    collapsed = raw.withColumns({f"c_{n}": text.collapse(F.col(n)) for n in S.TEXT_COLUMNS})
-    titled = F.col("c_title").isNotNull()
-    repaired = text.repair(F.col("c_mpaa_rating"), S.CERTIFICATES)
-    parsed = text.parse_date(F.col("release_date"), S.DATE_LAYOUTS)
+    """Raw records (catalogue names, all text) to clean rows."""
+    return clean_rows(keyed(raw, order, last_year, variants), order)
 
-    counts: dict[str, Column] = {"rows_in": F.count("*")}
-    rules: list[tuple[str, str, str, str]] = []
-
-    def count(issue: str, field: str, action: str, hit: Column) -> None:
-        name = f"n{len(rules)}"
-        counts[name] = F.count_if(hit)
-        rules.append((issue, field, action, name))
-
-    for name in S.TEXT_COLUMNS:
-        count("whitespace_or_type", name, "normalised to single-spaced text",
-              F.col(name).isNotNull() & ~F.col(name).eqNullSafe(F.col(f"c_{name}")))
-    count("missing_title", "title", "row dropped", ~titled)
-    count("invalid_category", "mpaa_rating", "mapped to the official certificates",
-          titled & ~F.col("c_mpaa_rating").eqNullSafe(repaired))
-    count("unparseable_date", "release_date", "set to NULL",
-          titled & F.col("release_date").isNotNull() & parsed.isNull())
-    count("missing_date", "release_date", "left as NULL", titled & F.col("release_date").isNull())
-    count("two_digit_year_rollover", "release_date", "moved back 100 years",
-          titled & (F.year(parsed) > last_year))
-    for name, (low, high) in S.NUMERIC_RANGES.items():
-        number = numeric.to_number(F.col(name))
-        count("out_of_range_or_non_numeric", name, f"set to NULL outside [{low:g}, {high:g}]",
-              titled & F.col(name).isNotNull() & ~F.coalesce(number.between(low, high), F.lit(False)))
-    flat = collapsed.agg(*[c.alias(n) for n, c in counts.items()])
-    by_value = flat.select(F.explode(F.array(
-        *[_rule(i, f, a, F.col(n)) for i, f, a, n in rules],
-        _rule("rows_in", "*", "read", F.col("rows_in")),
-    )).alias("r")).select("r.*")
-
-    base = titled_text(raw)
-    if variants is None:
-        variants = step_table(variant_spellings(base, S.VOTED_COLUMNS, order), "variants")
-    return by_value.unionByName(_variant_counts(base, variants)).unionByName(
-        _duplicate_counts(typed(raw, order, last_year, variants), order)
-    ).select(
-        F.lit("cleaning").alias("stage"), "issue", "field", "count", "action",
-        F.lit("").alias("detail"),
-    )
 
-
-def _variant_counts(frame: DataFrame, variants: DataFrame) -> DataFrame:
-    """Rows holding a losing spelling, counted before it is replaced."""
-    spellings = F.explode(F.array(*[
-        F.struct(F.lit(c).alias("field"), F.col(c).alias("spelling")) for c in S.VOTED_COLUMNS
-    ]))
-    per_spelling = (
-        frame.select(spellings.alias("s")).select("s.*").groupBy("field", "spelling")
-        .agg(F.count("*").alias("n"))
-    )
-    hits = (
-        per_spelling.join(variants, ["field", "spelling"])
-        .agg(*[F.sum(F.when(F.col("field") == c, F.col("n"))).alias(c) for c in S.VOTED_COLUMNS])
+def cleaning_report(keyed_rows: DataFrame) -> DataFrame:
+    """One row per rule with the number of records it touched; zero counts are kept."""
+    counts = keyed_rows.agg(
+        F.count("*").alias("rows_in"),
+        *[
+            F.count_if(F.col("faults").bitwiseAND(F.lit(1 << place)) != 0).alias(f"n{place}")
+            for place in range(len(VALUE_RULES))
+        ],
     )
-    return hits.select(F.explode(F.array(*[
-        _rule("case_or_spacing_variant", c, "replaced by the most common spelling", F.col(c))
-        for c in S.VOTED_COLUMNS
-    ])).alias("r")).select("r.*")
-
-
-def _duplicate_counts(keyed: DataFrame, order: str) -> DataFrame:
-    """Exact copies, further rows of a key and repeated titles from one chain of partial counts."""
-    business = [c for c in keyed.columns if c != order]
-    hits = (
-        keyed.groupBy(*business).agg(F.count("*").alias("rows"))
+    by_value = [
+        _rule(issue, field, action, F.col(f"n{place}"))
+        for place, (issue, field, action) in enumerate(VALUE_RULES)
+    ]
+    by_value.append(_rule("rows_in", "*", "read", F.col("rows_in")))
+    # Copies per row, rows per key, keys per title: each step works on the counts of the
+    # one before, so a row or key on a third of the records is counted in parts first.
+    groups = (
+        drop_untitled(keyed_rows).groupBy("source_key", "title_slug", "row_digest")
+        .agg(F.count("*").alias("rows"))
         .groupBy("source_key", "title_slug")
         .agg(F.sum("rows").alias("rows"), F.count("*").alias("distinct_rows"))
         .groupBy("title_slug")
@@ -230,10 +239,23 @@ def _duplicate_counts(keyed: DataFrame, order: str) -> DataFrame:
             F.sum("keys").alias("kept"),
         )
     )
-    return hits.select(F.explode(F.array(
+    by_group = [
         _rule("exact_duplicate_row", "*", "kept the first occurrence", F.col("copies")),
-        _rule("duplicate_natural_key", "title + release_date", "kept the first occurrence",
-              F.col("further")),
+        _rule("duplicate_natural_key", "title + release_date", "kept the first occurrence", F.col("further")),
         _rule("repeated_title_kept", "title", "kept every row", F.col("repeated")),
         _rule("rows_out", "*", "written", F.col("kept")),
-    )).alias("r")).select("r.*")
+    ]
+
+    def listed(frame: DataFrame, rules: list[Column]) -> DataFrame:
+        return frame.select(F.explode(F.array(*rules)).alias("r")).select(
+            F.lit("cleaning").alias("stage"), "r.*", F.lit("").alias("detail")
+        )
+
+    return listed(counts, by_value).unionByName(listed(groups, by_group))
+
+
+def _rule(issue: str, field: str, action: str, count: Column) -> Column:
+    return F.struct(
+        F.lit(issue).alias("issue"), F.lit(field).alias("field"),
+        F.coalesce(count, F.lit(0)).cast("bigint").alias("count"), F.lit(action).alias("action"),
+    )

@@ -40,6 +40,7 @@ class Embedder:
     attempts: int = 5
     first_wait: float = 1.0
     longest_wait: float = 20.0
+    tasks: int | None = None
 
     @property
     def batch(self) -> int:
@@ -48,20 +49,25 @@ class Embedder:
 
 def hashed_words() -> Callable[[list[str]], Vectors]:
     """Signed feature hashing of lower-case words, scaled to unit length. Needs no service."""
-    places: dict[str, tuple[int, float]] = {}
+    width, words = EMBEDDING_WIDTH, re.compile(r"[a-z0-9]+")
 
-    def place(token: str) -> tuple[int, float]:
-        if token not in places:
-            digest = hashlib.md5(token.encode()).hexdigest()
-            places[token] = int(digest[:2], 16) % EMBEDDING_WIDTH, 1.0 if digest[2] < "8" else -1.0
-        return places[token]
+    class Places(dict):
+        """Word to place; the places of negative words follow those of positive ones."""
+
+        def __missing__(self, word: str) -> int:
+            digest = hashlib.md5(word.encode()).hexdigest()
+            place = int(digest[:2], 16) % width + (0 if digest[2] < "8" else width)
+            self[word] = place
+            return place
+
+    places = Places()
 
     def embed(texts: list[str]) -> Vectors:
-        out = np.zeros((len(texts), EMBEDDING_WIDTH))
+        out = np.zeros((len(texts), width))
         for row, content in enumerate(texts):
-            for token in re.findall(r"[a-z0-9]+", content.lower()):
-                column, sign = place(token)
-                out[row, column] += sign
+            found = [places[word] for word in words.findall(content.lower())]
+            counts = np.bincount(found, minlength=2 * width) if found else np.zeros(2 * width)
+            out[row] = counts[:width] - counts[width:]
         lengths = np.linalg.norm(out, axis=1, keepdims=True)
         return (out / np.where(lengths == 0, 1.0, lengths)).tolist()
 

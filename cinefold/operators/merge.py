@@ -72,7 +72,13 @@ def merge(
     Write the result once (``step_table``) before taking the snapshot and the counts from
     it, so that no text is embedded twice.
     """
-    both = _sides(stored.select(*SNAPSHOT), incoming, "full_outer")
+    # An explicit number of partitions keeps small tables spread out for the embedder;
+    # the join needs this shuffle anyway, and keys are unique, so no partition is hot.
+    parts = plan.tasks or int(stored.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = _sides(
+        stored.select(*SNAPSHOT).repartition(parts, "source_key"),
+        incoming.repartition(parts, "source_key"), "full_outer",
+    )
     both = both.withColumn("needed", _needs_vector(plan.model, force))
     both = both.withColumn("e", embedded(F.when(F.col("needed"), F.col("i.augmented_text")), plan))
 

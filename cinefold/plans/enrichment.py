@@ -23,19 +23,42 @@ class Run:
     report: DataFrame
 
 
-def enriched(
+@dataclass
+class Enriched:
+    keyed: DataFrame
+    cleaned: DataFrame
+    rows: DataFrame
+    statistics: imputation.FillStatistics
+    variants: DataFrame
+
+
+def enrich(
     raw: DataFrame, order: str = "ord", last_year: int = S.LAST_RELEASE_YEAR,
     statistics: imputation.FillStatistics | None = None, variants: DataFrame | None = None,
-) -> tuple[DataFrame, DataFrame, imputation.FillStatistics]:
-    """Cleaned rows, their enriched form, and the statistics of the fills.
+) -> Enriched:
+    """Raw records to enriched rows.
 
-    The cleaned rows are written once, since the statistics, the fills and the reports
-    all read them. Given ``statistics`` and ``variants`` are used instead of new ones.
+    The keyed and the cleaned records are written, since the statistics, the fills and
+    the reports read them several times. Given ``statistics`` and ``variants`` are used
+    in place of new ones.
     """
-    cleaned = step_table(cleaning.clean(raw, order, last_year, variants), "cleaned")
+    if variants is None:
+        variants = spelling_variants(raw, order)
+    keyed = step_table(cleaning.keyed(raw, order, last_year, variants), "keyed")
+    cleaned = step_table(cleaning.clean_rows(keyed, order), "cleaned")
     if statistics is None:
         statistics = imputation.fill_statistics(cleaned)
-    return cleaned, features.augment(imputation.impute(cleaned, statistics)), statistics
+    rows = features.augment(imputation.impute(cleaned, statistics))
+    return Enriched(keyed, cleaned, rows, statistics, variants)
+
+
+def stage_reports(done: Enriched) -> DataFrame:
+    """The cleaning, imputation and feature reports."""
+    return run_report(
+        cleaning.cleaning_report(done.keyed),
+        imputation.imputation_report(done.cleaned, done.statistics.line),
+        features.feature_report(done.rows),
+    )
 
 
 def run(
@@ -45,20 +68,18 @@ def run(
     variants: DataFrame | None = None,
 ) -> Run:
     """One enrichment run against the stored snapshot."""
-    plan = plan or offline_embedder()
-    if variants is None:
-        variants = spelling_variants(raw, order)
-    cleaned, rows, statistics = enriched(raw, order, last_year, statistics, variants)
-    incoming = rows.drop(order)
-    merged = step_table(merge.merge(stored, incoming, plan, version, run_time, force), "merged")
+    done = enrich(raw, order, last_year, statistics, variants)
+    done.rows = step_table(done.rows, "enriched")
+    merged = step_table(
+        merge.merge(stored, done.rows.drop(order), plan or offline_embedder(), version, run_time, force),
+        "merged",
+    )
     report = run_report(
-        cleaning.cleaning_report(raw, order, last_year, variants),
-        imputation.imputation_report(cleaned, statistics.line),
-        features.feature_report(rows),
+        stage_reports(done),
         merge.as_report(merge.embedding_report(merged), "embedding"),
         merge.as_report(merge.load_report(merged), "load"),
     )
-    return Run(merged, merge.snapshot_of(merged), statistics, variants, report)
+    return Run(merged, merge.snapshot_of(merged), done.statistics, done.variants, report)
 
 
 def spelling_variants(raw: DataFrame, order: str = "ord") -> DataFrame:

@@ -7,7 +7,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cinefold.operators import cleaning, features, imputation, merge
+from cinefold.operators import cleaning, imputation, merge
 from cinefold.operators.embedding import offline_embedder
 from cinefold.plans import enrichment
 from cinefold.session import step_table
@@ -53,18 +53,22 @@ class Shared:
         return cleaning.titled_text(self.raw)
 
     @cached_property
+    def done(self) -> enrichment.Enriched:
+        out = enrichment.enrich(self.raw, variants=self.variants)
+        out.rows = step_table(out.rows, "enriched")
+        return out
+
+    @property
     def cleaned(self) -> DataFrame:
-        return step_table(cleaning.clean(self.raw, variants=self.variants), "cleaned")
+        return self.done.cleaned
 
-    @cached_property
+    @property
     def statistics(self) -> imputation.FillStatistics:
-        return imputation.fill_statistics(self.cleaned)
+        return self.done.statistics
 
-    @cached_property
+    @property
     def enriched(self) -> DataFrame:
-        return step_table(
-            features.augment(imputation.impute(self.cleaned, self.statistics)), "enriched"
-        )
+        return self.done.rows
 
     @cached_property
     def merged(self) -> DataFrame:

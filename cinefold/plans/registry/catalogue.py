@@ -63,11 +63,7 @@ def _register_sources(r: Registry) -> None:
     @r.add("s8_run_report", sql.upto("enriched", f"SELECT {_REPORT} FROM ({_report_sql()})"))
     def s8(spark, sf):
         shared = Shared.of(spark, sf)
-        report = enrichment.run_report(
-            cleaning.cleaning_report(shared.raw, variants=shared.variants),
-            imputation.imputation_report(shared.cleaned, shared.statistics.line),
-            features.feature_report(shared.enriched),
-        )
+        report = enrichment.stage_reports(shared.done)
         path = scratch_path(spark, "report")
         snapshots.write_report(report, path)
         return _plain_report(spark.read.schema(S.REPORT_SCHEMA).json(path))
@@ -271,7 +267,8 @@ def _register_cleaning(r: Registry) -> None:
     @r.add("c10_natural_key", sql.upto("keyed", "SELECT ord, source_key FROM keyed"))
     def c10(spark, sf):
         shared = Shared.of(spark, sf)
-        return cleaning.typed(shared.raw, variants=shared.variants).select("ord", "source_key")
+        rows = cleaning.drop_untitled(cleaning.keyed(shared.raw, variants=shared.variants))
+        return rows.select("ord", "source_key")
 
     cleaned = {c: "double" if c in S.NUMERIC_RANGES else "date" if c == "release_date" else "string"
                for c in sql.CATALOGUE_COLUMNS} | {"ord": "bigint", "release_year": "int", "source_key": "string"}
@@ -290,7 +287,7 @@ def _register_cleaning(r: Registry) -> None:
     @r.add("c13_cleaning_report", sql.upto("keyed", f"SELECT {_REPORT} FROM ({_cleaning_sql()})"))
     def c13(spark, sf):
         shared = Shared.of(spark, sf)
-        return cleaning.cleaning_report(shared.raw, variants=shared.variants)
+        return cleaning.cleaning_report(cleaning.keyed(shared.raw, variants=shared.variants))
 
 
 def _register_imputation(r: Registry) -> None:
@@ -499,12 +496,7 @@ def _register_statistics(r: Registry) -> None:
         SELECT '1.0.0' AS version, stage, count(*) AS entries, CAST(sum(count) AS BIGINT) AS total
         FROM ({_report_sql()}) GROUP BY stage"""))
     def a7(spark, sf):
-        shared = Shared.of(spark, sf)
-        report = enrichment.run_report(
-            cleaning.cleaning_report(shared.raw, variants=shared.variants),
-            imputation.imputation_report(shared.cleaned, shared.statistics.line),
-            features.feature_report(shared.enriched),
-        )
+        report = enrichment.stage_reports(Shared.of(spark, sf).done)
         document = enrichment.report_document(report, "1.0.0")
         stages = document.select("version", F.explode("stages").alias("s"))
         total = F.aggregate("s.entries", F.lit(0).cast("bigint"), lambda t, e: t + e["count"])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cinefold import schemas as S
-from cinefold.operators import cleaning, metrics
+from cinefold.operators import metrics
 from cinefold.plans.registry import Registry, sql
 from cinefold.plans.registry.base import RUN_TIME, Shared, plain
 from cinefold.plans.registry.merging import vector_digits, vector_digits_sql
@@ -209,9 +209,9 @@ def register(r: Registry) -> None:
           '{RUN_TIME}' AS updated_at FROM snapshot"""))
     def st4(spark, sf):
         shared = Shared.of(spark, sf)
-        keys = cleaning.typed(shared.raw, variants=shared.variants).select("ord", "source_key")
+        keys = shared.done.keyed.select("ord", "source_key")
         folder = scratch_path(spark, "raw-stream")
-        # Records of one key arrive together; untitled records have none.
+        # Records of one key arrive together.
         (records.normalise_names(shared.landed).join(keys, "ord", "left")
          .repartition(4, "source_key").drop("source_key").write.json(folder))
         schema = "ord bigint, " + ", ".join(f"`{n}` string" for n in S.SOURCE_COLUMNS)

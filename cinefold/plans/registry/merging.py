@@ -151,8 +151,11 @@ def register(r: Registry) -> None:
         WITH v AS ({sql.vectors('documents', 'doc_id', 'text')})
         SELECT doc_id, {vector_digits_sql('embedding')} AS vector FROM documents JOIN v ON k = doc_id""")
     def e3(spark, sf):
+        # A few large row groups hold all texts, so they are spread before the costly step.
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        texts = Shared.of(spark, sf).table("documents").select("doc_id", "text").repartition(parts, "doc_id")
         vector = embedding.embedded(F.col("text"), embedding.offline_embedder())["vector"]
-        rows = Shared.of(spark, sf).table("documents").select("doc_id", vector.alias("v"))
+        rows = texts.select("doc_id", vector.alias("v"))
         return rows.select("doc_id", vector_digits(F.col("v")).alias("vector"))
 
     @r.add("e4_failure_isolation", sql.upto("enriched", f"""
