@@ -23,8 +23,11 @@ def repair(value: Column, dictionary: Mapping[str, str]) -> Column:
 
 
 def fold(value: Column) -> Column:
-    """Case-insensitive form; going through upper case also unifies letters such as sharp s."""
-    return F.lower(F.upper(value))
+    """Case-insensitive form; going through upper case also unifies letters such as sharp s.
+
+    Something must stand between the two, as Catalyst shortens ``lower(upper(x))`` to ``lower(x)``.
+    """
+    return F.lower(F.concat(F.upper(value), F.lit("")))
 
 
 @F.pandas_udf(T.StringType())
@@ -91,5 +94,4 @@ def fingerprint(columns: Mapping[str, str]) -> Column:
 
 def digest(columns: Sequence[str]) -> Column:
     """A short value that is equal for rows equal in all of ``columns``, NULL equal to NULL."""
-    texts = [_framed(F.col(name).cast("string")) for name in columns]
-    return F.unhex(F.sha2(F.concat_ws("|", *texts), 256))
+    return F.unhex(F.sha2(F.to_json(F.struct(*columns)), 256))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,35 +29,49 @@ def trigrams(text: Column) -> Column:
     return F.array_distinct(ordered_trigrams(text))
 
 
+def _once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often the body refers to it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _similarity(left: Column, right: Column) -> Column:
+    return _once(
+        F.size(F.array_intersect(left, right)),
+        lambda shared: F.try_divide(
+            shared.cast("double"), (F.size(left) + F.size(right) - shared).cast("double")
+        ),
+    )
+
+
 def set_similarity(left: Column, right: Column) -> Column:
     """Shared trigrams over all trigrams of two sets."""
-    shared = F.size(F.array_intersect(left, right))
-    return F.try_divide(shared.cast("double"), (F.size(left) + F.size(right) - shared).cast("double"))
+    sets = F.struct(left.alias("a"), right.alias("b"))
+    return _once(sets, lambda both: _similarity(both["a"], both["b"]))
 
 
 def extent_similarity(wanted: Column, ordered: Column) -> Column:
-    """Best ``set_similarity`` of a set to any contiguous stretch of ordered trigrams.
+    """Best similarity of a set to any contiguous stretch of ordered trigrams.
 
     A best stretch starts and ends on a wanted trigram (cutting other ends off only
     shrinks the union), so only those positions are tried.
     """
-    hits = F.filter(
-        F.sequence(F.lit(1), F.greatest(F.size(ordered), F.lit(1))),
-        lambda i: F.array_contains(wanted, F.try_element_at(ordered, i)),
-    )
 
-    def from_start(low: Column) -> Column:
-        ends = F.filter(hits, lambda i: i >= low)
-        return F.array_max(
-            F.transform(
-                ends,
-                lambda high: set_similarity(
-                    wanted, F.array_distinct(F.slice(ordered, low, high - low + 1))
-                ),
+    def over_hits(both: Column) -> Column:
+        places = F.transform(both["o"], lambda gram, i: F.when(F.array_contains(both["q"], gram), i + 1))
+        return _once(F.array_compact(places), lambda hits: best(both, hits))
+
+    def best(both: Column, hits: Column) -> Column:
+        def from_start(low: Column) -> Column:
+            stretches = F.transform(
+                F.filter(hits, lambda i: i >= low),
+                lambda high: F.array_distinct(F.slice(both["o"], low, high - low + 1)),
             )
-        )
+            return F.array_max(F.transform(stretches, lambda e: _similarity(both["q"], e)))
+
+        return F.array_max(F.transform(hits, from_start))
 
-    return F.coalesce(F.array_max(F.transform(hits, from_start)), F.lit(0.0))
+    parts = F.struct(wanted.alias("q"), ordered.alias("o"))
+    return F.coalesce(_once(parts, over_hits), F.lit(0.0))
 
 
 def word_similarity(query: Column, text: Column) -> Column:

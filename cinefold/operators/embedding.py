@@ -137,6 +137,20 @@ def embedded(content: Column, plan: Embedder) -> Column:
     return run(text.with_prefix(plan.prefix, content))
 
 
+def require_service(plan: Embedder) -> None:
+    """One probe before a run: a model of another width is an error, not a failed row."""
+    width = len(plan.connect()(["dimension probe"])[0])
+    if width != plan.width:
+        raise ValueError(f"the service returns {width} dimensions, the table holds {plan.width}")
+
+
+def require_stored_width(snapshot: DataFrame, width: int, vector: str = "embedding") -> None:
+    """The stored vectors have one width, so one of them tells it."""
+    row = snapshot.filter(F.col(vector).isNotNull()).select(F.size(vector)).head(1)
+    if row and row[0][0] != width:
+        raise ValueError(f"the stored vectors have {row[0][0]} dimensions, the service {width}")
+
+
 def text_hash(content: Column) -> Column:
     return F.sha2(content, 256)
 

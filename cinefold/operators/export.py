@@ -23,11 +23,15 @@ def export_rows(catalogue: DataFrame) -> DataFrame:
 
 
 def seeded_sample(frame: DataFrame, rows: int, seed: int, id: str = "id") -> DataFrame:
-    """At most ``rows`` rows, the same ones for the same seed; 0 keeps all."""
+    """At most ``rows`` rows, the same ones for the same seed; 0 keeps all.
+
+    Only identifiers take part in the draw; the rows are fetched by them.
+    """
     if rows == 0:
         return frame
     draw = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id).cast("string")))
-    return frame.orderBy(draw, F.col(id)).limit(rows)
+    drawn = frame.select(id).orderBy(draw, F.col(id)).limit(rows)
+    return frame.join(drawn, id, "left_semi")
 
 
 def planar(frame: DataFrame, vector: str = "embedding") -> DataFrame:

@@ -88,6 +88,7 @@ def merge(
     changed = (
         ~F.col("s.content_hash").eqNullSafe(F.col("i.content_hash"))
         | (F.col("s.embedding").isNull() & arrived)
+        | (arrived & ~F.col("s.embedded_text_hash").eqNullSafe(text_hash(F.col("i.augmented_text"))))
         | ~F.col("s.embedding_model").eqNullSafe(model)
         | ~F.col("s.pipeline_version").eqNullSafe(F.lit(version))
     )

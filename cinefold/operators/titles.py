@@ -30,7 +30,9 @@ def exact_titles(
     The best row is kept by partial aggregation, so a title on a third of the rows
     meets the shuffle as one row per task.
     """
-    asked = queries.select("query_id", "query", F.lower(F.trim("query")).alias("__key"))
+    asked = step_table(
+        queries.select("query_id", "query", F.lower(F.trim("query")).alias("__key")), "title-queries"
+    )
     rows = catalogue.select(
         F.lower(title).alias("__key"), _payload(columns).alias("row"),
         F.struct(*_newest_first(year, id)).alias("order"),

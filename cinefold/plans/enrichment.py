@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from cinefold import schemas as S
 from cinefold.operators import cleaning, features, imputation, merge
-from cinefold.operators.embedding import Embedder, offline_embedder
+from cinefold.operators.embedding import (
+    Embedder, offline_embedder, require_service, require_stored_width,
+)
 from cinefold.session import step_table
 
 
@@ -68,10 +70,13 @@ def run(
     variants: DataFrame | None = None,
 ) -> Run:
     """One enrichment run against the stored snapshot."""
+    plan = plan or offline_embedder()
+    require_service(plan)
+    require_stored_width(stored, plan.width)
     done = enrich(raw, order, last_year, statistics, variants)
     done.rows = step_table(done.rows, "enriched")
     merged = step_table(
-        merge.merge(stored, done.rows.drop(order), plan or offline_embedder(), version, run_time, force),
+        merge.merge(stored, done.rows.drop(order), plan, version, run_time, force),
         "merged",
     )
     report = run_report(

@@ -27,6 +27,8 @@ class Shared:
 
     @classmethod
     def of(cls, spark: SparkSession, sf_dir: str) -> Shared:
+        # The tables hold times without a zone; they are taken as UTC.
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
         key = (spark.sparkContext.applicationId, sf_dir)
         if key not in cls._known:
             cls._known[key] = cls(spark, sf_dir)

@@ -216,8 +216,8 @@ def register(r: Registry) -> None:
          .repartition(4, "source_key").drop("source_key").write.json(folder))
         schema = "ord bigint, " + ", ".join(f"`{n}` string" for n in S.SOURCE_COLUMNS)
         raw = records.load(spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).json(folder))
-        last = streamed.enrich_stream(raw, scratch_path(spark, "stream"),
-                                      streamed.Frozen(shared.statistics, shared.variants), RUN_TIME)
-        snapshot = spark.read.parquet(last)
+        target = scratch_path(spark, "stream")
+        streamed.enrich_stream(raw, target, streamed.Frozen(shared.statistics, shared.variants), RUN_TIME)
+        snapshot = streamed.current(spark, target)
         return plain(snapshot.select("source_key", "content_hash", "embedding_model",
                                      vector_digits(F.col("embedding")).alias("embedding"), "updated_at"))

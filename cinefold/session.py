@@ -13,7 +13,10 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,4 +47,33 @@ def step_table(frame: DataFrame, name: str) -> DataFrame:
     spark = frame.sparkSession
     path = scratch_path(spark, name)
     frame.write.parquet(path)
+    for paths in _scopes():
+        paths.append(path)
     return spark.read.schema(frame.schema).parquet(path)
+
+
+_local = threading.local()
+
+
+def _scopes() -> list[list[str]]:
+    """The open scopes of this thread; a stream's micro-batches run in a thread of their own."""
+    if not hasattr(_local, "scopes"):
+        _local.scopes = []
+    return _local.scopes
+
+
+@contextmanager
+def dropping_steps(spark: SparkSession) -> Iterator[None]:
+    """Delete the step tables written inside the block when it ends.
+
+    Write the wanted results before: frames that read a step table are of no use after.
+    """
+    paths: list[str] = []
+    _scopes().append(paths)
+    try:
+        yield
+    finally:
+        _scopes().pop()
+        for path in paths:
+            location = spark._jvm.org.apache.hadoop.fs.Path(path)
+            location.getFileSystem(spark._jsc.hadoopConfiguration()).delete(location, True)

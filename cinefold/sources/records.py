@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,19 +32,38 @@ def to_catalogue_names(frame: DataFrame) -> DataFrame:
     return frame.withColumnsRenamed(S.SOURCE_COLUMNS)
 
 
-def read_lines(spark: SparkSession, path: str, order: str = "ord") -> DataFrame:
-    """JSON lines with a numeric order field: the splittable form for large inputs."""
-    names = [*S.SOURCE_COLUMNS, *[name.replace(" ", "_") for name in S.SOURCE_COLUMNS if " " in name]]
+def _spellings(name: str) -> list[str]:
+    return list(dict.fromkeys([name, name.replace(" ", "_")]))
+
+
+def _require_fields(records: DataFrame, column: str) -> None:
+    """Hold records, read as maps, to the contract: a field counts when any record has it."""
+    present = records.agg(*[
+        F.bool_or(reduce(or_, [F.map_contains_key(column, s) for s in _spellings(name)])).alias(name)
+        for name in S.SOURCE_COLUMNS
+    ]).first()
+    missing = [name for name in S.SOURCE_COLUMNS if not present[name]]
+    if missing:
+        raise ValueError(f"missing columns {missing}")
+
+
+def _either_spelling(of) -> list:
+    """The contract's columns; a file uses one of the two spellings, the other is NULL."""
+    return [F.coalesce(*[of(s) for s in _spellings(name)]).alias(name) for name in S.SOURCE_COLUMNS]
+
+
+def read_lines(spark: SparkSession, path: str, order: str = "ord", check: bool = True) -> DataFrame:
+    """JSON lines with a numeric order field: the splittable form for large inputs.
+
+    ``check`` costs one more pass, which reads which fields the records have.
+    """
+    if check:
+        maps = spark.read.text(path).select(F.from_json("value", "map<string,string>").alias("fields"))
+        _require_fields(maps, "fields")
+    names = [s for name in S.SOURCE_COLUMNS for s in _spellings(name)]
     schema = f"`{order}` bigint, " + ", ".join(f"`{name}` string" for name in names)
-    both = spark.read.schema(schema).json(path)
-    # A file uses one of the two spellings; the other one reads as NULL.
-    return both.select(
-        F.col(order),
-        *[
-            F.coalesce(F.col(f"`{name}`"), F.col(f"`{name.replace(' ', '_')}`")).alias(name)
-            for name in S.SOURCE_COLUMNS
-        ],
-    )
+    records = spark.read.schema(schema).json(path)
+    return records.select(order, *_either_spelling(lambda s: F.col(f"`{s}`")))
 
 
 def read_array(spark: SparkSession, path: str) -> DataFrame:
@@ -51,16 +72,13 @@ def read_array(spark: SparkSession, path: str) -> DataFrame:
     Such a file cannot be split, so one file is one task; give many files, or use
     ``read_lines``. ``ord`` orders records by file name and position in the file.
     """
-    files = spark.read.text(path, wholetext=True).select(
-        F.col("_metadata.file_path").alias("file"), F.col("value")
-    )
-    # The first record's fields tell the contract check what the file really holds.
-    parsed = files.select("file", F.posexplode(F.from_json("value", "array<map<string,string>>")))
-    found = [r[0] for r in parsed.select(F.explode(F.map_keys("col"))).distinct().limit(1000).collect()]
-    table = parsed.select(
-        F.struct("file", "pos").alias("ord"), *[F.col("col")[name].alias(name) for name in found]
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+    records = files.select("file", F.posexplode(F.from_json("value", "array<map<string,string>>")))
+    _require_fields(records, "col")
+    return records.select(
+        F.struct("file", "pos").alias("ord"),
+        *_either_spelling(lambda s: F.try_element_at("col", F.lit(s))),
     )
-    return require_columns(normalise_names(table), keep=["ord"])
 
 
 def load(frame: DataFrame, order: str = "ord") -> DataFrame:

@@ -7,11 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 from cinefold.operators.merge import clustered, empty_snapshot
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark._jvm
-    location = jvm.org.apache.hadoop.fs.Path(path)
-    files = location.getFileSystem(spark._jsc.hadoopConfiguration())
-    return files.exists(jvm.org.apache.hadoop.fs.Path(location, "_SUCCESS"))
+def exists(spark: SparkSession, path: str, marker: str | None = "_SUCCESS") -> bool:
+    """Whether a table was written to its end, or with no ``marker`` whether the folder is there."""
+    location = spark._jvm.org.apache.hadoop.fs.Path(path if marker is None else f"{path}/{marker}")
+    return location.getFileSystem(spark._jsc.hadoopConfiguration()).exists(location)
 
 
 def read_snapshot(spark: SparkSession, path: str | None) -> DataFrame:

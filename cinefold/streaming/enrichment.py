@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cinefold import schemas as S
 from cinefold.operators import cleaning, features, imputation, merge
 from cinefold.operators.embedding import Embedder, offline_embedder
-from cinefold.session import step_table
+from cinefold.session import dropping_steps, step_table
 from cinefold.sources import snapshots
 
 
@@ -26,37 +26,62 @@ def enrich_stream(
     raw: DataFrame, folder: str, frozen: Frozen, run_time: str, version: str = "1.0.0",
     plan: Embedder | None = None, order: str = "ord", last_year: int = S.LAST_RELEASE_YEAR,
     first: str | None = None,
-) -> str:
-    """Run over what is there now; returns the folder of the last snapshot.
+) -> None:
+    """Merge what is there now, one micro-batch after the other.
 
-    Each micro-batch reads the snapshot before it and writes ``folder/epoch=n``, so a
-    micro-batch that is repeated after a failure reads the same input and replaces its
-    own output.
+    A micro-batch reads the stored rows of its own keys and writes only the rows it
+    inserts or updates, as ``folder/epoch=n``; ``current`` puts the snapshot together. One
+    that is repeated after a failure reads the same input and replaces its own output.
     """
     spark, plan = raw.sparkSession, plan or offline_embedder()
 
-    def step(batch: DataFrame, epoch: int) -> None:
-        stored = snapshots.read_snapshot(spark, f"{folder}/epoch={epoch - 1}" if epoch else first)
+    def merge_batch(batch: DataFrame, epoch: int) -> None:
         cleaned = cleaning.clean(batch, order, last_year, frozen.variants)
-        rows = features.augment(imputation.impute(cleaned, frozen.statistics)).drop(order)
+        rows = step_table(
+            features.augment(imputation.impute(cleaned, frozen.statistics)).drop(order), "enriched"
+        )
+        before = _written(spark, folder, first, epoch)
+        stored = newest(before.join(rows.select("source_key"), "source_key", "left_semi"))
         merged = step_table(
             merge.merge(stored, rows, plan, version, F.lit(run_time).cast("timestamp")), "merged"
         )
-        merge.snapshot_of(merged).write.mode("overwrite").parquet(f"{folder}/epoch={epoch}")
+        changed = merged.filter(F.col("action").isin("inserted", "updated")).select(*merge.SNAPSHOT)
+        changed.write.mode("overwrite").parquet(f"{folder}/rows/epoch={epoch}")
+
+    def step(batch: DataFrame, epoch: int) -> None:
+        with dropping_steps(spark):
+            merge_batch(batch, epoch)
 
     query = (
         raw.writeStream.foreachBatch(step).option("checkpointLocation", f"{folder}/state")
         .trigger(availableNow=True).start()
     )
     query.awaitTermination()
-    return last_snapshot(spark, folder)
 
 
-def last_snapshot(spark: SparkSession, folder: str) -> str:
-    """The newest complete snapshot of a stream."""
-    epoch = -1
-    while snapshots.exists(spark, f"{folder}/epoch={epoch + 1}"):
-        epoch += 1
-    if epoch < 0:
-        raise LookupError(f"no snapshot in {folder}")
-    return f"{folder}/epoch={epoch}"
+def _written(spark: SparkSession, folder: str, first: str | None, before: int | None = None) -> DataFrame:
+    """The first snapshot and the rows of the epochs before ``before``, with their epoch."""
+    base = snapshots.read_snapshot(spark, first).withColumn("epoch", F.lit(-1))
+    if not snapshots.exists(spark, f"{folder}/rows", marker=None):
+        return base
+    schema = base.schema
+    rows = spark.read.schema(schema).parquet(f"{folder}/rows")
+    if before is not None:
+        rows = rows.filter(F.col("epoch") < before)
+    return base.unionByName(rows)
+
+
+def newest(rows: DataFrame) -> DataFrame:
+    """The last version of every key; each task first keeps one row per key."""
+    latest = rows.withColumn("__age", -F.col("epoch"))
+    return cleaning.first_per_key(latest, "source_key", "__age").select(*merge.SNAPSHOT)
+
+
+def current(spark: SparkSession, folder: str, first: str | None = None) -> DataFrame:
+    """The snapshot after the last micro-batch."""
+    return newest(_written(spark, folder, first))
+
+
+def compact(spark: SparkSession, folder: str, path: str, first: str | None = None) -> None:
+    """Write the current snapshot as one table, to start the next stream from."""
+    snapshots.write_snapshot(current(spark, folder, first), path)
