@@ -9,6 +9,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Similarities are ranked at this many decimals, finer than the float32 that is stored,
 # so a ranking does not depend on the order in which products were summed.
@@ -53,13 +54,13 @@ def cosine_to(target: list[float]):
     """An Arrow function giving the similarity of an array column to one fixed vector."""
     wanted = unit_rows(np.asarray([target], dtype=np.float64))[0]
 
-    @F.pandas_udf("double")
-    def similarity(vectors: pd.Series) -> pd.Series:
+    @F.arrow_udf(T.DoubleType())
+    def similarity(vectors: pa.Array) -> pa.Array:
+        present = vectors.is_valid().to_numpy(zero_copy_only=False)
         scores = np.full(len(vectors), np.nan)
-        present = vectors.notna().to_numpy()
         if present.any():
-            scores[present] = unit_rows(np.stack(vectors[present].to_numpy())) @ wanted
-        return pd.Series(scores).astype(object).where(~np.isnan(scores), None)
+            scores[present] = unit_rows(matrix_of(vectors.drop_null())) @ wanted
+        return pa.array(scores, mask=np.isnan(scores))
 
     return similarity
 
@@ -67,12 +68,12 @@ def cosine_to(target: list[float]):
 def cosine_of_pairs():
     """An Arrow function giving the similarity of two array columns without gaps."""
 
-    @F.pandas_udf("double")
-    def similarity(left: pd.Series, right: pd.Series) -> pd.Series:
-        if left.empty:
-            return pd.Series([], dtype="float64")
-        a, b = unit_rows(np.stack(left.to_numpy())), unit_rows(np.stack(right.to_numpy()))
-        return pd.Series(np.einsum("ij,ij->i", a, b))
+    @F.arrow_udf(T.DoubleType())
+    def similarity(left: pa.Array, right: pa.Array) -> pa.Array:
+        if not len(left):
+            return pa.array([], pa.float64())
+        scores = np.einsum("ij,ij->i", unit_rows(matrix_of(left)), unit_rows(matrix_of(right)))
+        return pa.array(scores, mask=np.isnan(scores))
 
     return similarity
 

@@ -259,17 +259,12 @@ def signature(vector: Column, width: int, bits: int = 256, seed: int = 42) -> Co
     if bits % 64:
         raise ValueError("a signature is a whole number of 64-bit words")
 
-    @F.pandas_udf(T.BinaryType())
-    def sides(vectors):
+    @F.arrow_udf(T.BinaryType())
+    def sides(vectors: pa.Array) -> pa.Array:
         planes = np.random.default_rng(seed).standard_normal((bits, width))
-        out = vectors.astype(object).where(vectors.notna(), None)
-        present = np.flatnonzero(vectors.notna().to_numpy())
-        if len(present):
-            matrix = np.stack(vectors.iloc[present].to_numpy()).astype(np.float64)
-            packed = np.packbits(matrix @ planes.T > 0, axis=1)
-            for row, code in zip(present, packed):
-                out.iloc[row] = code.tobytes()
-        return out
+        codes = np.packbits(matrix_of(vectors.drop_null()).reshape(-1, width) @ planes.T > 0, axis=1)
+        present = iter(codes)
+        return pa.array([next(present).tobytes() if v else None for v in vectors.is_valid().to_pylist()], pa.binary())
 
     return sides(vector)
 

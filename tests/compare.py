@@ -22,7 +22,7 @@ def make_spark() -> SparkSession:
         SparkSession.builder.master("local[8]")
         .config("spark.sql.shuffle.partitions", "8").config("spark.driver.memory", "8g")
         .config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false")
-        .config("spark.ui.showConsoleProgress", "false").config("spark.sql.maxMetadataStringLength", "10000")
+        .config("spark.ui.showConsoleProgress", "false").config("spark.python.sql.dataFrameDebugging.enabled", "false").config("spark.sql.maxMetadataStringLength", "10000")
         .config("spark.sql.debug.maxToStringFields", "1000").getOrCreate()
     )
     spark.sparkContext.setLogLevel("OFF")
