@@ -19,7 +19,8 @@ from cinefold.operators import merge
 from cinefold.plans import enrichment
 from cinefold.plans.registry import collect
 from cinefold.plans.registry.base import Shared
-from cinefold.session import step_table
+from cinefold.session import scratch_path, step_table
+from cinefold.sources import snapshots
 
 HEADLINE = [
     "v2_hybrid_search", "v3_all_neighbours", "v4_batch_search", "v4_batch_search_within_label",
@@ -56,6 +57,7 @@ def main() -> None:
     def run(stored, day):
         out = enrichment.run(shared.raw, stored, F.lit(f"2024-01-{day} 00:00:00").cast("timestamp"))
         out.report.collect()
+        snapshots.write_snapshot(out.snapshot, scratch_path(spark, "bench"))
         return out
 
     first = timed("first_run", lambda: run(merge.empty_snapshot(spark), "01"))

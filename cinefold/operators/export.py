@@ -56,7 +56,7 @@ def planar(frame: DataFrame, vector: str = "embedding") -> DataFrame:
     )
 
 
-def atlas(
+def export_table(
     catalogue: DataFrame, rows: int = 0, seed: int = 42, columns: Sequence[str] = tuple(S.EXPORT_COLUMNS)
 ) -> DataFrame:
     """The export table: metadata, text and coordinates."""

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cinefold import schemas as S
 from cinefold.operators.embedding import Embedder, embedded, text_hash
+from cinefold.session import step_table
 
 # Columns of a snapshot: the stored columns, the hash of the text the vector was made
 # from, the identifier and the audit times.
@@ -57,27 +60,24 @@ def needing_vectors(
     )
 
 
-def merge(
+def merge_touched(
     stored: DataFrame, incoming: DataFrame, plan: Embedder, version: str, run_time: Column,
     force: bool = False,
 ) -> DataFrame:
-    """The rows after a run, with what happened to each.
+    """Incoming rows and their stored versions after a run, with what happened to each.
 
-    One full outer join on the (unique) key carries the change test, the embedding, the
-    hold-back and the write decision. Rows are marked ``inserted``, ``updated``,
-    ``unchanged``, ``kept`` (stored only) or ``held_back`` (new and without a vector).
-    The model and the hash of the embedded text only move together with a vector, so a
-    row whose vector could not be renewed is picked up again by the next run.
-
-    Write the result once (``step_table``) before taking the snapshot and the counts from
-    it, so that no text is embedded twice.
+    One join on the (unique) key carries the change test, the embedding, the hold-back and
+    the write decision. Rows are marked ``inserted``, ``updated``, ``unchanged`` or
+    ``held_back`` (new and without a vector). The model and the hash of the embedded text
+    only move together with a vector, so a row whose vector could not be renewed is picked
+    up again by the next run.
     """
     # An explicit number of partitions keeps small tables spread out for the embedder;
     # the join needs this shuffle anyway, and keys are unique, so no partition is hot.
     parts = plan.tasks or int(stored.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     both = _sides(
         stored.select(*SNAPSHOT).repartition(parts, "source_key"),
-        incoming.repartition(parts, "source_key"), "full_outer",
+        incoming.repartition(parts, "source_key"), "left",
     )
     both = both.withColumn("needed", _needs_vector(plan.model, force))
     both = both.withColumn("e", embedded(F.when(F.col("needed"), F.col("i.augmented_text")), plan))
@@ -94,8 +94,7 @@ def merge(
     )
     both = both.withColumn(
         "action",
-        F.when(F.col("i").isNull(), "kept")
-        .when(F.col("s").isNull() & ~arrived, "held_back")
+        F.when(F.col("s").isNull() & ~arrived, "held_back")
         .when(F.col("s").isNull(), "inserted")
         .when(changed, "updated")
         .otherwise("unchanged"),
@@ -126,9 +125,68 @@ def merge(
     )
 
 
-def snapshot_of(merged: DataFrame) -> DataFrame:
-    """The rows to store: everything but the held-back ones."""
-    return merged.filter(F.col("action") != "held_back").select(*SNAPSHOT)
+def classify(
+    stored: DataFrame, incoming: DataFrame, model: str, version: str, force: bool = False
+) -> DataFrame:
+    """``source_key, action``: which keys a run has to look at.
+
+    ``touched`` keys are new or differ in content, version, text or model; the others are
+    ``unchanged``, or ``kept`` when only stored. Only hashes and names are joined, no text
+    and no vector is read; a stored row has a text hash exactly when it has a vector.
+    """
+    old = stored.select(
+        "source_key", "content_hash", "embedded_text_hash", "embedding_model", "pipeline_version"
+    )
+    new = incoming.select("source_key", "content_hash", text_hash(F.col("augmented_text")).alias("text"))
+    differs = (
+        ~F.col("s.content_hash").eqNullSafe(F.col("i.content_hash"))
+        | ~F.col("s.embedded_text_hash").eqNullSafe(F.col("i.text"))
+        | ~F.col("s.embedding_model").eqNullSafe(F.lit(model))
+        | ~F.col("s.pipeline_version").eqNullSafe(F.lit(version))
+    )
+    return _sides(old, new, "full_outer").select(
+        "source_key",
+        F.when(F.col("i").isNull(), "kept")
+        .when(F.col("s").isNull() | differs | F.lit(force), "touched")
+        .otherwise("unchanged").alias("action"),
+    )
+
+
+@dataclass
+class Merge:
+    """Outcome of a run.
+
+    ``keys`` tells the action of every key (``classify``), ``rows`` holds the touched rows
+    after the run with what became of them, ``snapshot`` the whole table.
+    """
+
+    keys: DataFrame
+    rows: DataFrame
+    snapshot: DataFrame
+
+
+def merge(
+    stored: DataFrame, incoming: DataFrame, plan: Embedder, version: str, run_time: Column,
+    force: bool = False,
+) -> Merge:
+    """Merge enriched rows into the stored ones.
+
+    The keys are classified first, from hashes alone. Only touched rows are brought
+    together, embedded and rewritten; all others go from the stored table into the
+    snapshot as they are, without a shuffle while the touched keys are few enough to be
+    broadcast.
+    """
+    keys = step_table(classify(stored, incoming, plan.model, version, force), "merge-keys")
+    touched = step_table(keys.filter("action = 'touched'").select("source_key"), "merge-touched")
+    rows = step_table(
+        merge_touched(
+            stored.join(touched, "source_key", "left_semi"),
+            incoming.join(touched, "source_key", "left_semi"), plan, version, run_time, force,
+        ), "merge-rows",
+    )
+    written = rows.filter(F.col("action") != "held_back").select(*SNAPSHOT)
+    rest = stored.select(*SNAPSHOT).join(touched, "source_key", "left_anti").select(*SNAPSHOT)
+    return Merge(keys, rows, rest.unionByName(written))
 
 
 def clustered(snapshot: DataFrame) -> DataFrame:
@@ -149,27 +207,38 @@ def held_back(
     return incoming.filter(F.col(vector).isNull()).join(stored.select(key), key, "left_anti")
 
 
-def action_counts(merged: DataFrame) -> DataFrame:
-    return merged.groupBy("action").agg(F.count("*").alias("rows"))
+def action_counts(merged: Merge) -> DataFrame:
+    """``action, rows`` over all keys."""
+    untouched = merged.keys.filter("action <> 'touched'").groupBy("action").agg(F.count("*").alias("rows"))
+    touched = merged.rows.groupBy("action").agg(F.count("*").alias("rows"))
+    return untouched.unionByName(touched).groupBy("action").agg(F.sum("rows").alias("rows"))
 
 
-def embedding_report(merged: DataFrame) -> DataFrame:
+def embedding_report(merged: Merge) -> DataFrame:
     """One row: texts embedded, reused, batches sent and failures."""
-    incoming = F.col("action") != "kept"
-    return merged.agg(
-        F.count_if(F.col("needed") & F.col("embed_error").isNull()).alias("embedded"),
-        F.count_if(incoming & ~F.col("needed")).alias("reused"),
-        F.count_if("batch_head").alias("batches"),
-        F.count_if(F.col("embed_error").isNotNull()).alias("failures"),
+    touched = merged.rows.select(
+        (F.col("needed") & F.col("embed_error").isNull()).alias("embedded"),
+        (~F.col("needed")).alias("reused"), "batch_head", F.col("embed_error").isNotNull().alias("failed"),
+    )
+    untouched = merged.keys.filter("action = 'unchanged'").select(
+        F.lit(False).alias("embedded"), F.lit(True).alias("reused"),
+        F.lit(False).alias("batch_head"), F.lit(False).alias("failed"),
+    )
+    return touched.unionByName(untouched).agg(
+        F.count_if("embedded").alias("embedded"), F.count_if("reused").alias("reused"),
+        F.count_if("batch_head").alias("batches"), F.count_if("failed").alias("failures"),
     )
 
 
-def load_report(merged: DataFrame) -> DataFrame:
+def load_report(merged: Merge) -> DataFrame:
     """One row: rows inserted, updated, unchanged, held back, and in the table afterwards."""
-    names = ["inserted", "updated", "unchanged", "held_back"]
-    return merged.agg(
-        *[F.count_if(F.col("action") == n).alias(n) for n in names],
-        F.count_if(F.col("action") != "held_back").alias("total_rows"),
+    def total(*actions: str) -> Column:
+        return F.coalesce(F.sum(F.when(F.col("action").isin(*actions), F.col("rows"))), F.lit(0))
+
+    single = ["inserted", "updated", "unchanged", "held_back"]
+    return action_counts(merged).agg(
+        *[total(n).alias(n) for n in single],
+        total("inserted", "updated", "unchanged", "kept").alias("total_rows"),
     )
 
 

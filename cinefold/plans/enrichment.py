@@ -18,7 +18,7 @@ from cinefold.session import step_table
 
 @dataclass
 class Run:
-    merged: DataFrame
+    merged: merge.Merge
     snapshot: DataFrame
     statistics: imputation.FillStatistics
     variants: DataFrame
@@ -75,16 +75,13 @@ def run(
     require_stored_width(stored, plan.width)
     done = enrich(raw, order, last_year, statistics, variants)
     done.rows = step_table(done.rows, "enriched")
-    merged = step_table(
-        merge.merge(stored, done.rows.drop(order), plan, version, run_time, force),
-        "merged",
-    )
+    merged = merge.merge(stored, done.rows.drop(order), plan, version, run_time, force)
     report = run_report(
         stage_reports(done),
         merge.as_report(merge.embedding_report(merged), "embedding"),
         merge.as_report(merge.load_report(merged), "load"),
     )
-    return Run(merged, merge.snapshot_of(merged), done.statistics, done.variants, report)
+    return Run(merged, merged.snapshot, done.statistics, done.variants, report)
 
 
 def spelling_variants(raw: DataFrame, order: str = "ord") -> DataFrame:

@@ -73,15 +73,10 @@ class Shared:
         return self.done.rows
 
     @cached_property
-    def merged(self) -> DataFrame:
-        empty = merge.empty_snapshot(self.spark)
-        return step_table(
-            merge.merge(empty, self.enriched.drop("ord"), offline_embedder(), VERSION, run_time()), "merged"
-        )
-
-    @property
     def snapshot(self) -> DataFrame:
-        return merge.snapshot_of(self.merged)
+        empty = merge.empty_snapshot(self.spark)
+        rows = self.enriched.drop("ord")
+        return step_table(merge.merge(empty, rows, offline_embedder(), VERSION, run_time()).snapshot, "snapshot")
 
 
 def run_time():

@@ -518,9 +518,9 @@ def _register_statistics(r: Registry) -> None:
         rows = export.export_rows(Shared.of(spark, sf).snapshot)
         return plain(rows.withColumn("width", F.size("embedding").cast("bigint")).drop("embedding"))
 
-    @r.add("x4_atlas")
+    @r.add("x4_export_table")
     def x4(spark, sf):
-        return plain(export.atlas(Shared.of(spark, sf).snapshot))
+        return plain(export.export_table(Shared.of(spark, sf).snapshot))
 
 
 def register(r: Registry) -> None:

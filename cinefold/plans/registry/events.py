@@ -23,19 +23,19 @@ def _start(unit: str, ts: str = "ts") -> str:
     return f"strftime(date_trunc('{unit}', {ts}), '%Y-%m-%d %H:%M:%S')"
 
 
-def _cumulative(value: str = "value / 1000.0") -> str:
-    counts = [f"count_if({value} <= {b}) AS le_{i}" for i, b in enumerate(S.LATENCY_BOUNDS)]
-    return ", ".join([*counts, f"count({value}) AS le_{len(S.LATENCY_BOUNDS)}"])
+def _cumulative(value: str = "value / 1000.0", bounds: list[float] = S.LATENCY_BOUNDS) -> str:
+    counts = [f"count_if({value} <= {b}) AS le_{i}" for i, b in enumerate(bounds)]
+    return ", ".join([*counts, f"count({value}) AS le_{len(bounds)}"])
 
 
-def _quantile(q: float) -> str:
+def _quantile(q: float, bounds: list[float] = S.LATENCY_BOUNDS) -> str:
     """Linear inside the first bucket that reaches the rank."""
-    last, cases = len(S.LATENCY_BOUNDS), []
-    for i, bound in enumerate(S.LATENCY_BOUNDS):
-        low, before = (S.LATENCY_BOUNDS[i - 1], f"le_{i - 1}") if i else (0.0, "0")
+    last, cases = len(bounds), []
+    for i, bound in enumerate(bounds):
+        low, before = (bounds[i - 1], f"le_{i - 1}") if i else (0.0, "0")
         share = f"CASE WHEN le_{i} = {before} THEN 0 ELSE ({q} * le_{last} - {before}) / (le_{i} - {before}) END"
         cases.append(f"WHEN le_{i} >= {q} * le_{last} THEN {low} + ({bound} - {low}) * {share}")
-    return f"CASE WHEN le_{last} = 0 THEN NULL {' '.join(cases)} ELSE {S.LATENCY_BOUNDS[-1]} END"
+    return f"CASE WHEN le_{last} = 0 THEN NULL {' '.join(cases)} ELSE {bounds[-1]} END"
 
 
 _QUANTILES = ", ".join(f"round({_quantile(q)}, 9) AS p{round(q * 100)}" for q in (0.5, 0.95, 0.99))
@@ -98,6 +98,16 @@ def register(r: Registry) -> None:
         out = metrics.latency_quantiles(events(spark, sf), "ts", latency(), "1 day", ["event_type"])
         return _rounded(out, "p50", "p95", "p99")
 
+    # Whole tens of the value stand for the number of results a search returned.
+    tens, small = "floor(value / 10)", list(S.RESULT_COUNT_BOUNDS)
+
+    @r.add("w3_result_count_median", f"""
+        SELECT {_start('day', 'w')} AS window_start, le_{len(small)} AS events, round({_quantile(0.5, small)}, 9) AS p50
+        FROM (SELECT date_trunc('day', ts) AS w, {_cumulative(tens, small)} FROM events GROUP BY ALL)""")
+    def w3_results(spark, sf):
+        out = metrics.latency_quantiles(events(spark, sf), "ts", F.floor(F.col("value") / 10), "1 day", [], small, [0.5])
+        return _rounded(out, "p50")
+
     hourly_counts = f"SELECT date_trunc('hour', ts) AS pane, {_cumulative()} FROM events GROUP BY ALL"
     counters = ", ".join(f"le_{i}" for i in range(len(S.LATENCY_BOUNDS) + 1))
 

@@ -63,12 +63,12 @@ def incoming_rows(shared: Shared) -> DataFrame:
     return features.with_fingerprint(edited)
 
 
-def merged_rows(shared: Shared) -> DataFrame:
-    """The refused-texts run, written once per session."""
+def merged_rows(shared: Shared) -> merge.Merge:
+    """The refused-texts run, made once per session."""
     if "merged_edits" not in shared.__dict__:
-        shared.__dict__["merged_edits"] = step_table(
-            merge.merge(stored_rows(shared), incoming_rows(shared), refusing_embedder(), VERSION,
-                        F.lit(LATER).cast("timestamp")), "merged-edits")
+        shared.__dict__["merged_edits"] = merge.merge(
+            stored_rows(shared), step_table(incoming_rows(shared), "incoming"), refusing_embedder(), VERSION,
+            F.lit(LATER).cast("timestamp"))
     return shared.__dict__["merged_edits"]
 
 
@@ -204,7 +204,7 @@ def register(r: Registry) -> None:
         SELECT source_key, {from_s}, s.embedding_model, s.pipeline_version
         FROM judged WHERE action IN ('kept', 'unchanged')"""))
     def m1(spark, sf):
-        snapshot = merge.snapshot_of(merged_rows(Shared.of(spark, sf)))
+        snapshot = merged_rows(Shared.of(spark, sf)).snapshot
         return plain(snapshot.select("source_key", *typed, "embedding_model", "pipeline_version"))
 
     @r.add("m2_kept_vectors", _merged(f"""
@@ -214,7 +214,7 @@ def register(r: Registry) -> None:
           AS embedded_text_hash
         FROM judged WHERE action <> 'held_back'"""))
     def m2(spark, sf):
-        snapshot = merge.snapshot_of(merged_rows(Shared.of(spark, sf)))
+        snapshot = merged_rows(Shared.of(spark, sf)).snapshot
         return snapshot.select("source_key", vector_digits(F.col("embedding")).alias("embedding"),
                                "embedded_text_hash")
 
@@ -234,7 +234,7 @@ def register(r: Registry) -> None:
           CASE WHEN {new} THEN '{LATER}' ELSE '{RUN_TIME}' END AS updated_at
         FROM judged WHERE action <> 'held_back'"""))
     def m4(spark, sf):
-        snapshot = merge.snapshot_of(merged_rows(Shared.of(spark, sf)))
+        snapshot = merged_rows(Shared.of(spark, sf)).snapshot
         return plain(snapshot.select("source_key", "created_at", "updated_at"))
 
     @r.add("m5_second_run", _merged("""
@@ -243,7 +243,8 @@ def register(r: Registry) -> None:
     def m5(spark, sf):
         shared, plan = Shared.of(spark, sf), embedding.offline_embedder()
         incoming = step_table(incoming_rows(shared), "incoming")
-        first = step_table(merge.merge(stored_rows(shared), incoming, plan, VERSION,
-                                       F.lit(RUN_TIME).cast("timestamp")), "first-run")
-        second = merge.merge(merge.snapshot_of(first), incoming, plan, VERSION, F.lit(LATER).cast("timestamp"))
-        return second.groupBy("action", F.col("needed").alias("embedded")).agg(F.count("*").alias("rows"))
+        first = merge.merge(stored_rows(shared), incoming, plan, VERSION, F.lit(RUN_TIME).cast("timestamp"))
+        stored = step_table(first.snapshot, "first-run")
+        second = merge.merge(stored, incoming, plan, VERSION, F.lit(LATER).cast("timestamp"))
+        embedded = merge.embedding_report(second).select((F.col("embedded") > 0).alias("embedded")).first()[0]
+        return merge.action_counts(second).withColumn("embedded", F.lit(embedded))

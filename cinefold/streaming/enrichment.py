@@ -41,11 +41,11 @@ def enrich_stream(
             features.augment(imputation.impute(cleaned, frozen.statistics)).drop(order), "enriched"
         )
         before = _written(spark, folder, first, epoch)
-        stored = newest(before.join(rows.select("source_key"), "source_key", "left_semi"))
-        merged = step_table(
-            merge.merge(stored, rows, plan, version, F.lit(run_time).cast("timestamp")), "merged"
+        stored = step_table(
+            newest(before.join(rows.select("source_key"), "source_key", "left_semi")), "stored"
         )
-        changed = merged.filter(F.col("action").isin("inserted", "updated")).select(*merge.SNAPSHOT)
+        merged = merge.merge(stored, rows, plan, version, F.lit(run_time).cast("timestamp"))
+        changed = merged.rows.filter(F.col("action").isin("inserted", "updated")).select(*merge.SNAPSHOT)
         changed.write.mode("overwrite").parquet(f"{folder}/rows/epoch={epoch}")
 
     def step(batch: DataFrame, epoch: int) -> None:

@@ -45,6 +45,7 @@ def counts(merged):
 def test_first_run_inserts_everything(first):
     assert counts(first.merged) == {"inserted": 12}
     report = merge.embedding_report(first.merged).first()
+    assert first.merged.keys.filter("action <> 'touched'").count() == 0
     assert (report["embedded"], report["reused"], report["failures"]) == (12, 0, 0)
 
 
@@ -52,6 +53,7 @@ def test_second_run_writes_and_embeds_nothing(raw, stored):
     again = enrichment.run(raw, stored, at(2))
     assert counts(again.merged) == {"unchanged": 12}
     assert merge.embedding_report(again.merged).first()["embedded"] == 0
+    assert again.merged.rows.count() == 0
     assert again.snapshot.filter(F.col("updated_at") != at(1)).count() == 0
     assert again.snapshot.exceptAll(stored).count() == 0
 
@@ -74,9 +76,9 @@ def test_change_detection(done, stored):
 
 def test_a_number_changes_the_row_but_keeps_the_vector(done, stored):
     incoming = done.rows.drop("ord").withColumn("content_hash", F.concat("content_hash", F.lit("x")))
-    merged = step_table(merge.merge(stored, incoming, offline_embedder(), "1.0.0", at(3)), "m")
-    assert counts(merged) == {"updated": 12} and merged.filter("needed").count() == 0
-    row, before = (f.orderBy("id").first() for f in (merged, stored))
+    merged = merge.merge(stored, incoming, offline_embedder(), "1.0.0", at(3))
+    assert counts(merged) == {"updated": 12} and merged.rows.filter("needed").count() == 0
+    row, before = (f.orderBy("id").first() for f in (merged.snapshot, stored))
     assert row["embedding"] == before["embedding"] and row["created_at"] == before["created_at"]
     assert row["updated_at"] > before["updated_at"]
 
@@ -87,7 +89,7 @@ def test_a_new_version_alone_updates(done, stored):
 
 
 def test_forcing_embeds_all_and_updates_none(done, stored):
-    merged = step_table(merge.merge(stored, done.rows.drop("ord"), offline_embedder(), "1.0.0", at(3), force=True), "m")
+    merged = merge.merge(stored, done.rows.drop("ord"), offline_embedder(), "1.0.0", at(3), force=True)
     assert counts(merged) == {"unchanged": 12} and merge.embedding_report(merged).first()["embedded"] == 12
 
 
@@ -98,10 +100,9 @@ def test_rows_that_are_no_longer_delivered_stay(done, stored):
 
 
 def test_new_rows_without_a_vector_are_held_back(spark, done):
-    merged = step_table(
-        merge.merge(merge.empty_snapshot(spark), done.rows.drop("ord"), refusing("Panned"), "1.0.0", at(1)), "m")
+    merged = merge.merge(merge.empty_snapshot(spark), done.rows.drop("ord"), refusing("Panned"), "1.0.0", at(1))
     assert counts(merged) == {"inserted": 11, "held_back": 1}
-    assert merge.snapshot_of(merged).count() == 11
+    assert merged.snapshot.count() == 11
     assert merge.load_report(merged).first()["total_rows"] == 11
 
 
@@ -111,21 +112,21 @@ def test_a_failed_renewal_is_picked_up_by_the_next_run(done, stored):
         "augmented_text": F.when(one, F.concat("augmented_text", F.lit(" new"))).otherwise(F.col("augmented_text")),
         "content_hash": F.when(one, F.lit("new")).otherwise(F.col("content_hash")),
     })
-    failed = step_table(merge.merge(stored, incoming, refusing("Panned"), "1.0.0", at(3)), "m")
+    failed = merge.merge(stored, incoming, refusing("Panned"), "1.0.0", at(3))
     assert counts(failed) == {"updated": 1, "unchanged": 11}
-    after = step_table(merge.snapshot_of(failed), "s")
+    after = step_table(failed.snapshot, "s")
     row, before = (f.filter(one).first() for f in (after, stored))
     assert row["embedding"] == before["embedding"] and row["augmented_text"].endswith(" new")
-    repaired = step_table(merge.merge(after, incoming, offline_embedder(), "1.0.0", at(4)), "m")
-    assert repaired.filter("needed").count() == 1
-    assert repaired.filter(one).first()["embedding"] != before["embedding"]
+    repaired = merge.merge(after, incoming, offline_embedder(), "1.0.0", at(4))
+    assert repaired.rows.filter("needed").count() == 1
+    assert repaired.snapshot.filter(one).first()["embedding"] != before["embedding"]
 
 
 def test_a_model_change_renews_every_vector(done, stored):
     other = Embedder("other", hashed_words)
-    merged = step_table(merge.merge(stored, done.rows.drop("ord"), other, "1.0.0", at(3)), "m")
+    merged = merge.merge(stored, done.rows.drop("ord"), other, "1.0.0", at(3))
     assert counts(merged) == {"updated": 12}
-    assert {r[0] for r in merged.select("embedding_model").distinct().collect()} == {"other"}
+    assert {r[0] for r in merged.snapshot.select("embedding_model").distinct().collect()} == {"other"}
 
 
 def test_snapshots_are_written_beside_the_old_one(spark, stored, tmp_path):
@@ -149,3 +150,9 @@ def test_run_report_is_one_document(first, spark, tmp_path):
     assert [s["stage"] for s in document["stages"]] == ["cleaning", "embedding", "features", "imputation", "load"]
     snapshots.write_report(enrichment.report_document(first.report, "1.0.0"), str(tmp_path / "report"))
     assert spark.read.json(str(tmp_path / "report")).count() == 1
+
+
+def test_classification_reads_neither_texts_nor_vectors(spark, done, stored):
+    shown = merge.classify(stored, done.rows, "m", "1")._jdf.queryExecution().executedPlan().toString()
+    scans = [line for line in shown.split("\n") if "FileScan" in line and "embedded_text_hash" in line]
+    assert len(scans) == 1 and "embedding:array" not in scans[0] and "augmented_text:" not in scans[0]
