@@ -63,15 +63,15 @@ def apply_spellings(
 
     ``mark`` prefixes a flag per column that tells whether its value was replaced.
     """
+    joined, out = frame, {}
     for name in columns:
         lookup = variants.filter(F.col("field") == name).select(
-            F.col("spelling").alias(name), F.col("canonical").alias("__canonical")
+            F.col("spelling").alias(f"__from_{name}"), F.col("canonical").alias(f"__to_{name}")
         )
-        frame = frame.join(lookup, name, "left")
-        if mark is not None:
-            frame = frame.withColumn(f"{mark}{name}", F.col("__canonical").isNotNull())
-        frame = frame.withColumn(name, F.coalesce("__canonical", name)).drop("__canonical")
-    return frame
+        joined = joined.join(lookup, F.col(name) == F.col(f"__from_{name}"), "left")
+        out[name] = F.coalesce(F.col(f"__to_{name}"), F.col(name)).alias(name)
+    marks = [] if mark is None else [F.col(f"__to_{c}").isNotNull().alias(f"{mark}{c}") for c in columns]
+    return joined.select(*[out.get(c, F.col(c)) for c in frame.columns], *marks)
 
 
 def parse_release(frame: DataFrame, last_year: int = S.LAST_RELEASE_YEAR) -> DataFrame:

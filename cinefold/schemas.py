@@ -6,8 +6,6 @@ that stored data and search results depend on.
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
 # Source column -> catalogue column, in source order.
 SOURCE_COLUMNS = {
     "Title": "title",
@@ -181,8 +179,3 @@ WINDOW_PERMITS, WINDOW_SECONDS = 60, 60
 EMBEDDING_WIDTH = 64
 
 REPORT_SCHEMA = "stage string, issue string, field string, count bigint, action string, detail string"
-
-
-def raw_schema() -> T.StructType:
-    """All source columns as text, so that ``300`` and ``"300"`` read alike."""
-    return T.StructType([T.StructField(name, T.StringType()) for name in SOURCE_COLUMNS])

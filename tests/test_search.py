@@ -44,9 +44,7 @@ def test_batch_search_is_exact_whether_held_or_in_a_grid(vectors, matrix, held,
     assert ranked(got) == brute_force(matrix, 7)
 
 
-def test_ties_go_by_identifier_even_when_a_third_of_the_rows_are_copies(spark, monkeypatch):
-    from cinefold.functions import vector
-
+def test_ties_go_by_identifier_even_when_a_third_of_the_rows_are_copies(spark):
     rows = [(i, [1.0, 0.0] if i % 3 == 0 else [float(i % 7), 1.0]) for i in range(3000)]
     frame = spark.createDataFrame(rows, "id bigint, embedding array<float>").repartition(7)
     asked = spark.createDataFrame([("q", [1.0, 0.0]), ("r", [0.0, 1.0])], "request_id string, vector array<float>")
