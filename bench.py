@@ -19,7 +19,7 @@ from cinefold.operators import merge
 from cinefold.plans import enrichment
 from cinefold.plans.registry import collect
 from cinefold.plans.registry.base import Shared
-from cinefold.session import scratch_path, step_table
+from cinefold.session import scratch_path, step_table, use_checkpoint_dir
 from cinefold.sources import snapshots
 
 HEADLINE = [
@@ -43,6 +43,7 @@ def main() -> None:
         .config("spark.python.sql.dataFrameDebugging.enabled", "false").getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    use_checkpoint_dir(spark, os.environ.get("BENCH_CHECKPOINTS", "/tmp/checkpoints/bench"))
     queries, times = collect().queries, {}
 
     def timed(name, action):

@@ -10,9 +10,6 @@ adaptive execution splits its hot keys.
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import threading
 import uuid
 from collections.abc import Iterator
@@ -23,18 +20,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder for step tables, streams and checkpoints."""
-    context = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    if context.getCheckpointDir():
-        return context.getCheckpointDir()
-    if not context.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    folder = tempfile.mkdtemp(prefix="cinefold-")
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    context.setCheckpointDir(folder)
-    return context.getCheckpointDir()
+    if spark.sparkContext.getCheckpointDir():
+        return spark.sparkContext.getCheckpointDir()
+    raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+
+
+def use_checkpoint_dir(spark: SparkSession, folder: str) -> SparkSession:
+    """Name a shared folder for a local session that has none; any other session keeps its own."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named and spark.sparkContext.master.startswith("local"):
+        spark.sparkContext.setCheckpointDir(folder)
+    return spark
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
