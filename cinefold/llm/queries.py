@@ -3,16 +3,37 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cinefold.llm import packing
-from cinefold.llm.common import table
+from cinefold.llm import contamination, mixing, outliers, packing, simhash
+from cinefold.llm.common import n_words, table
 
 
 def op1_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = [op1_token_packing]
+def op2_covariance_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = outliers.verdicts(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
+
+
+def op7_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_groups(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op9_bm25_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_cube_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sized = table(spark, sf_dir, "documents").select("doc_id", "source", n_words(F.col("text")).alias("size"))
+    taken = mixing.plan(sized).withColumn("row", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
+    return taken.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+QUERIES = [op1_token_packing, op2_covariance_outliers, op7_simhash_anchors, op9_bm25_decontamination, op10_cube_mixing]
 CHECKS: dict[str, str] = {}
 
 
