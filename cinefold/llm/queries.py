@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cinefold.llm import contamination, mixing, outliers, packing, simhash
+from cinefold.llm import contamination, mixing, outliers, packing, simhash, suffixes, warc
 from cinefold.llm.common import n_words, table
 
 
@@ -18,11 +18,21 @@ def op2_covariance_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
 
 
+def op5_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffixes.without_repeats(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"),
+                      F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_groups(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_warc_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op9_bm25_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -33,7 +43,7 @@ def op10_cube_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
-QUERIES = [op1_token_packing, op2_covariance_outliers, op7_simhash_anchors, op9_bm25_decontamination, op10_cube_mixing]
+QUERIES = [op1_token_packing, op2_covariance_outliers, op5_suffix_repeats, op7_simhash_anchors, op8_warc_chains, op9_bm25_decontamination, op10_cube_mixing]
 CHECKS: dict[str, str] = {}
 
 
