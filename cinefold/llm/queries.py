@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cinefold.llm import contamination, mixing, outliers, packing, simhash, suffixes, warc
+from cinefold.llm import contamination, mixing, outliers, packing, personal, simhash, suffixes, warc
 from cinefold.llm.common import n_words, table
 
 
@@ -18,6 +18,14 @@ def op2_covariance_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
 
 
+def op3_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal.find(table(spark, sf_dir, "documents"))
+    told = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *map(count, personal.KINDS), F.sha2(told(F.col("base")), 256).alias("base_sha256"),
+                        told(F.concat("base", "discovered")).alias("spans"))
+
+
 def op5_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = suffixes.without_repeats(table(spark, sf_dir, "documents"))
     return cut.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"),
@@ -43,7 +51,7 @@ def op10_cube_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
-QUERIES = [op1_token_packing, op2_covariance_outliers, op5_suffix_repeats, op7_simhash_anchors, op8_warc_chains, op9_bm25_decontamination, op10_cube_mixing]
+QUERIES = [op1_token_packing, op2_covariance_outliers, op3_bootstrapped_pii, op5_suffix_repeats, op7_simhash_anchors, op8_warc_chains, op9_bm25_decontamination, op10_cube_mixing]
 CHECKS: dict[str, str] = {}
 
 
