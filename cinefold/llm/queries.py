@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cinefold.llm import contamination, mixing, outliers, packing, personal, simhash, suffixes, warc
+from cinefold.llm import contamination, licences, mixing, outliers, packing, personal, secret_scan, simhash, suffixes, warc
 from cinefold.llm.common import n_words, table
 
 
@@ -26,12 +26,24 @@ def op3_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
                         told(F.concat("base", "discovered")).alias("spans"))
 
 
+def op4_forest_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "position", "word", F.sha2("token", 256).alias("token_sha256"), "score", "kept")
+
+
 def op5_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = suffixes.without_repeats(table(spark, sf_dir, "documents"))
     return cut.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"),
                       F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op6_licence_inheritance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table has no paths: a document lies in the folder of its source and language."""
+    docs = table(spark, sf_dir, "documents")
+    path = F.concat_ws("/", F.coalesce("source", F.lit("unknown")), F.coalesce("lang", F.lit("unknown")), F.col("doc_id").cast("string"))
+    return licences.licences(docs.select("doc_id", path.alias("path"), "text"))
+
+
 def op7_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_groups(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
@@ -51,7 +63,8 @@ def op10_cube_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
-QUERIES = [op1_token_packing, op2_covariance_outliers, op3_bootstrapped_pii, op5_suffix_repeats, op7_simhash_anchors, op8_warc_chains, op9_bm25_decontamination, op10_cube_mixing]
+QUERIES = [op1_token_packing, op2_covariance_outliers, op3_bootstrapped_pii, op4_forest_secrets, op5_suffix_repeats,
+           op6_licence_inheritance, op7_simhash_anchors, op8_warc_chains, op9_bm25_decontamination, op10_cube_mixing]
 CHECKS: dict[str, str] = {}
 
 
