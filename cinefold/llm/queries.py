@@ -50,7 +50,7 @@ def op7_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_warc_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.round_trip(table(spark, sf_dir, "pages"))
+    return warc.round_trip(table(spark, sf_dir, "pages"), compression="gzip")
 
 
 def op9_bm25_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -44,7 +44,8 @@ def records(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
     # Only payloads that come twice take part in the join; their first id is known from counts.
     firsts = (base.filter(F.col("bytes") >= least_bytes).groupBy("digest")
               .agg(F.count("*").alias("times"), F.min("page_id").alias("first_id")).filter("times > 1").drop("times"))
-    typed = base.join(firsts, "digest", "left").withColumn("revisit", F.col("first_id").isNotNull() & ~F.col("first_id").eqNullSafe(F.col("page_id")))
+    # The payloads are shuffled at any size: how many come twice has no bound that would allow a broadcast.
+    typed = base.join(firsts.hint("merge"), "digest", "left").withColumn("revisit", F.col("first_id").isNotNull() & ~F.col("first_id").eqNullSafe(F.col("page_id")))
     body = F.concat(F.lit(HTTP), F.when(F.col("revisit"), F.lit("")).otherwise(F.col("payload")))
     field = lambda name, value: F.coalesce(F.concat(F.lit(f"{name}: "), value, F.lit("\r\n")), F.lit(""))
     urn = lambda c: F.concat(F.lit("<urn:page:"), c.cast("string"), F.lit(">"))
@@ -59,10 +60,10 @@ def records(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
     return typed.select("page_id", kind.alias("record_type"), refers.alias("refers_to"), F.concat(header, body).alias("record"))
 
 
-def write_archives(pages: DataFrame, path: str, **options) -> None:
-    """The pages as WARC files under ``path``."""
+def write_archives(pages: DataFrame, path: str, compression: str = "none", **options) -> None:
+    """The pages as WARC files under ``path``; compressed with gzip they are smaller, but each is read by one task."""
     rows = records(pages, **options).select("record")
-    rows.write.option("lineSep", END).option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    rows.write.option("lineSep", END).option("maxRecordsPerFile", RECORDS_PER_FILE).option("compression", compression).text(path)
 
 
 def _pieces(spark: SparkSession, path: str) -> DataFrame:
@@ -132,8 +133,11 @@ def _mark(held: pa.Table) -> pa.Table:
     return held.select(PLACE).append_column("real", pa.array(real))
 
 
-def boundaries(spark: SparkSession, path: str) -> DataFrame:
-    """For each piece that belongs to a record: its place, the ``record``'s place in the file, and the record's number of ``pieces``."""
+def boundaries(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """The pieces that are no record by themselves: their place and the ``record``'s in the file that they belong to (null: none).
+
+    They are few: parts of payloads with magic inside, and what stands before a file's first record. And the ``base`` of each split.
+    """
     schema = "file string, split long, rel long, size long, next long"
     pieces = step_table(_pieces(spark, path).mapInArrow(_candidates, schema), "warc-pieces")
     splits = pieces.groupBy("file", "split").agg(F.sum(F.col("size") + len(MAGIC)).alias("bytes"))
@@ -160,16 +164,17 @@ def boundaries(spark: SparkSession, path: str) -> DataFrame:
     marked = based.join(marks, PLACE, "left").withColumn("place", F.col("base") + F.col("rel"))
     order = Window.partitionBy("file").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
     owned = marked.withColumn("record", F.last(F.when(F.col("real"), F.col("place")), ignorenulls=True).over(order))
-    together = owned.filter("record IS NOT NULL").withColumn("pieces", F.count("*").over(Window.partitionBy("file", "record")))
-    return step_table(together.select(*PLACE, "place", "record", "pieces"), "warc-records")
+    together = owned.withColumn("pieces", F.count("*").over(Window.partitionBy("file", "record")))
+    return step_table(together.filter("record IS NULL OR pieces > 1").select(*PLACE, "place", "record"), "warc-parts"), bases
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """One row per record: ``file``, ``place``, its ``header`` and the bytes of its ``payload``."""
-    owners = boundaries(spark, path)
+    parts, splits = boundaries(spark, path)
     texts = _pieces(spark, path).mapInArrow(_texts, "file string, split long, rel long, value binary")
-    whole = texts.join(owners.filter("pieces = 1"), PLACE).select("file", "record", "value")
-    cut = texts.join(owners.filter("pieces > 1"), PLACE).groupBy("file", "record").agg(
+    whole = texts.join(parts, PLACE, "left_anti").join(splits, ["file", "split"]).select(
+        "file", (F.col("base") + F.col("rel")).alias("record"), "value")
+    cut = texts.join(parts.filter("record IS NOT NULL"), PLACE).groupBy("file", "record").agg(
         F.sort_array(F.collect_list(F.struct("place", F.col("value").cast("string").alias("value")))).alias("parts"))
     joined = cut.select("file", "record", F.array_join(F.col("parts.value"), MAGIC).cast("binary").alias("value"))
     rows = whole.unionByName(joined).withColumn("header", F.substring_index(F.col("value").cast("string"), END, 1))
@@ -197,8 +202,8 @@ def described(read: DataFrame) -> DataFrame:
         _field("WARC-Type").alias("record_type"), F.nullif(number("WARC-Refers-To"), F.lit("")).cast("long").alias("refers_to"))
 
 
-def round_trip(pages: DataFrame) -> DataFrame:
+def round_trip(pages: DataFrame, compression: str = "none") -> DataFrame:
     """Write the pages' archives to the shared folder, then read and describe them."""
     path = scratch_path(pages.sparkSession, "warc")
-    write_archives(pages, path)
+    write_archives(pages, path, compression)
     return described(read_archives(pages.sparkSession, path))
