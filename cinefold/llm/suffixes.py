@@ -31,8 +31,8 @@ from cinefold.llm.common import slices
 
 LENGTH = 100
 GRAM = 24
-HOT = 50_000  # runs of one gram that a task brings together
-ROWS_AT_ONCE = 12_000  # contexts that a task sorts at once; more only within one gram
+HOT = 8192  # runs of one gram that a task brings together
+ROWS_AT_ONCE = 6000  # contexts that a task sorts at once; more only within one gram
 LAST = (1 << 63) - 1  # stands for a null doc_id
 POSITION_BITS = 24  # of a place within the text handled at once
 CHUNK = 1 << 20  # bytes of text handled at once
@@ -171,11 +171,10 @@ def _contexts(length: int):
                         strings = [(start, offset, count)] if not run["hot"] else [(start + k, 0, 1) for k in range(count)]
                         for at, shift, n in strings:
                             held = body[at:at + n - 1 + length]
-                            first = seen.setdefault((held, shift), (doc, tag))
-                            if first[0] < doc or first == (doc, tag) and seen.get((held, shift, 0)):
+                            first = seen.setdefault((held, shift), (doc, tag, at))
+                            if first[0] < doc or first[:2] == (doc, tag) and first[2] < at:
                                 send(hash((doc, at)), doc, tag, at, 0, n, None)
                                 continue
-                            seen[held, shift, 0] = True
                             key = run["gram"] if not run["hot"] else int.from_bytes(hashlib.blake2b(held, digest_size=8).digest(), "little", signed=True)
                             send(key, doc, tag, at, shift, n, held)
                 kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
@@ -266,7 +265,7 @@ def later_strings(held: dict, length: int) -> np.ndarray:
     group = np.cumsum(np.concatenate([[0], held["key"][1:] != held["key"][:-1]]))[row]
     # Only strings with their gram at the same offset can be equal.
     by = np.argsort(group * 512 + offset + 256, kind="stable")
-    place, row, segment = place[by], row[by], (group * 512 + offset)[by]
+    place, row, segment, begin = place[by], row[by], (group * 512 + offset)[by], (held["start"][row] + within)[by]
     start = np.concatenate([[0], np.flatnonzero(segment[1:] != segment[:-1]) + 1])
     sizes = np.diff(np.concatenate([start, [len(segment)]]))
     suffixes = Suffixes(data, length)
@@ -283,10 +282,11 @@ def later_strings(held: dict, length: int) -> np.ndarray:
         strings = [text[p:p + length] for p in place.tolist()]
         order = np.array(sorted(range(len(place)), key=lambda k: (segment[k], strings[k], k)))
         same = follows(order, lambda a, b: np.array([text[x:x + length] == text[y:y + length] for x, y in zip(a.tolist(), b.tolist())], bool))
-    doc, tag = held["doc"][row[order]], held["tag"][row[order]]
+    doc, tag, begin = held["doc"][row[order]], held["tag"][row[order]], begin[order]
     first = np.maximum.accumulate(np.where(same, 0, np.arange(len(same))))
-    again = np.concatenate([[False], (doc[1:] == doc[:-1]) & (tag[1:] == tag[:-1])])
-    later = same & ((doc > doc[first]) | again)
+    again = same & np.concatenate([[False], (doc[1:] == doc[:-1]) & (tag[1:] == tag[:-1])])
+    own_first = np.maximum.accumulate(np.where(again, 0, np.arange(len(same))))
+    later = same & ((doc > doc[first]) | (begin > begin[own_first]))
     out = np.zeros(len(later), bool)
     out[by[order]] = later
     return out
