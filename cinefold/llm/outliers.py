@@ -94,7 +94,10 @@ def statistics(rows: DataFrame, text: Column) -> DataFrame:
     covered = F.aggregate(
         F.transform("_starts", lambda p, j: F.least(F.lit(WINDOW), F.coalesce(F.get("_starts", j + 1) - p, F.lit(WINDOW)))),
         F.lit(0), lambda a, x: a + x)
-    return starts.select(*[c for c in starts.columns if c != "_starts"], F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"))
+    told = [c for c in starts.columns if c not in (*own, "_starts")]
+    # Behind the generator no filter on a statistic is moved down into the steps above, where it would repeat them.
+    row = F.struct(*told, F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"))
+    return starts.select(*own, F.explode(F.array(row)).alias("_told")).select(*own, "_told.*")
 
 
 def base_failed() -> Column:
