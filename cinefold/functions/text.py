@@ -49,7 +49,7 @@ def slug(value: Column) -> Column:
 
 def slug_or_digest(title: Column, title_slug: Column) -> Column:
     """The slug, or a digest of the title when no ASCII letter or digit is left of it."""
-    return F.when(title_slug == "", F.substring(F.sha2(title, 256), 1, 16)).otherwise(title_slug)
+    return F.when(title_slug == "", F.sha2(title, 256)).otherwise(title_slug)
 
 
 def natural_key(title_slug: Column, date: Column) -> Column:

@@ -110,10 +110,11 @@ class Requests:
     minimum: dict[str, np.ndarray] = field(default_factory=dict)
     not_id: bool = False
 
-    def eligible(self, rows: dict[str, np.ndarray], row_ids: np.ndarray) -> np.ndarray | None:
-        """Request x row matrix of the rows each request may return; None means all."""
+    def eligible(self, rows: dict[str, np.ndarray], row_ids: np.ndarray, part: slice) -> np.ndarray | None:
+        """Request x row matrix of the rows each request of ``part`` may return; None means all."""
         allowed = None
         for name, wanted in self.equal.items():
+            wanted = wanted[part]
             unused = np.array([w is None for w in wanted])
             if unused.all():
                 continue
@@ -123,76 +124,100 @@ class Requests:
             here = unused[:, None] | (sought[:, None] == codes[None, :])
             allowed = here if allowed is None else allowed & here
         for name, wanted in self.minimum.items():
-            floor = np.array([-np.inf if w is None else float(w) for w in wanted])
+            floor = np.array([-np.inf if w is None else float(w) for w in wanted[part]])
             values = np.array([np.nan if v is None else float(v) for v in rows[name]])
             here = np.isneginf(floor)[:, None] | (values[None, :] >= floor[:, None])
             allowed = here if allowed is None else allowed & here
         if self.not_id:
-            here = self.ids[:, None] != row_ids[None, :]
+            here = self.ids[part, None] != row_ids[None, :]
             allowed = here if allowed is None else allowed & here
         return allowed
 
 
 class BestRows:
-    """The best k (score, id) pairs per request over everything seen so far."""
+    """The best k (score, id) pairs per request over everything seen so far, best first, in arrays of fixed size."""
 
     def __init__(self, requests: int, k: int):
         self.k = k
-        self.request = np.zeros(0, np.int64)
-        self.score, self.exact = np.zeros(0), np.zeros(0)
+        self.score = np.full((requests, k), -np.inf)
+        self.exact = np.zeros((requests, k))
         self.row: np.ndarray | None = None
-        self.floor = np.full(requests, -np.inf)
-        self.last = np.full(requests, None, object)
 
-    def offer(self, scores: np.ndarray, row_ids: np.ndarray) -> None:
-        """Take in a request x row block of scores; -inf marks a pair that is not allowed."""
+    def offer(self, first: int, scores: np.ndarray, row_ids: np.ndarray) -> None:
+        """Take in a block of scores for the requests from ``first`` on; -inf marks a pair that is not allowed.
+
+        Only requests that gain a row are put in order again.
+        """
         exact, scores = scores, np.round(scores, RANK_DECIMALS)
-        rows = scores.shape[1]
-        floor = self.floor
-        if rows > self.k:
-            kth = np.partition(scores, rows - self.k, axis=1)[:, rows - self.k]
+        floor = self.score[first : first + len(scores), -1]
+        if scores.shape[1] > self.k:
+            kth = np.partition(scores, scores.shape[1] - self.k, axis=1)[:, scores.shape[1] - self.k]
             floor = np.maximum(floor, kth)
         request, position = np.nonzero((scores >= floor[:, None]) & np.isfinite(scores))
         if not len(request):
             return
-        score, row = scores[request, position], row_ids[position]
         if self.row is None:
-            self.row = row_ids[:0]
-        # A row that ties with the present last place only enters with a smaller id.
-        keep = score > self.floor[request]
-        tied = np.flatnonzero(~keep)
-        keep[tied] = row[tied] < self.last[request[tied]].astype(row.dtype)
-        self.request = np.concatenate([self.request, request[keep]])
-        self.score = np.concatenate([self.score, score[keep]])
-        self.exact = np.concatenate([self.exact, exact[request, position][keep]])
-        self.row = np.concatenate([self.row, row[keep]])
-        self._trim()
-
-    def _trim(self) -> None:
-        order = np.lexsort((self.row, -self.score, self.request))
-        request = self.request[order]
-        first = np.searchsorted(request, request, side="left")
-        place = np.arange(len(request)) - first
-        order = order[place < self.k]
-        self.request, self.score, self.row = self.request[order], self.score[order], self.row[order]
-        self.exact = self.exact[order]
-        full = np.flatnonzero(place[place < self.k] == self.k - 1)
-        self.floor[self.request[full]] = self.score[full]
-        self.last[self.request[full]] = self.row[full]
+            self.row = np.zeros(self.score.shape, row_ids.dtype)
+        elif self.row.dtype != row_ids.dtype:
+            kind = np.promote_types(self.row.dtype, row_ids.dtype)  # a longer text identifier
+            self.row, row_ids = self.row.astype(kind), row_ids.astype(kind)
+        touched, local = np.unique(request, return_inverse=True)
+        at = touched + first
+        old_local, old_place = np.nonzero(np.isfinite(self.score[at]))
+        who = np.concatenate([old_local, local])
+        score = np.concatenate([self.score[at][old_local, old_place], scores[request, position]])
+        true = np.concatenate([self.exact[at][old_local, old_place], exact[request, position]])
+        row = np.concatenate([self.row[at][old_local, old_place], row_ids[position]])
+        order = np.lexsort((row, -score, who))
+        place = np.arange(len(order)) - np.searchsorted(who[order], who[order], side="left")
+        order, place = order[place < self.k], place[place < self.k]
+        into = at[who[order]], place
+        self.score[into], self.exact[into], self.row[into] = score[order], true[order], row[order]
+
+    def found(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(request, row id, exact score) of all that is kept."""
+        request, place = np.nonzero(np.isfinite(self.score))
+        rows = self.score[:0, 0] if self.row is None else self.row[request, place]
+        return request, rows, self.exact[request, place]
 
 
 def rank_block(
     requests: Requests, best: BestRows, row_ids: np.ndarray, vectors: np.ndarray,
     filters: dict[str, np.ndarray],
 ) -> None:
-    """Score one block of rows against all requests, a bounded number of cells at a time."""
-    step = max(1, _BLOCK_CELLS // max(1, len(requests.ids)))
-    for start in range(0, len(row_ids), step):
-        part = slice(start, start + step)
-        ids = row_ids[part]
-        scores = requests.vectors @ unit_rows(vectors[part]).T
-        allowed = requests.eligible({n: v[part] for n, v in filters.items()}, ids)
-        scores[np.isnan(scores)] = -np.inf
-        if allowed is not None:
-            scores[~allowed] = -np.inf
-        best.offer(scores, ids)
+    """Score one block of rows against all requests, a bounded number of cells at a time.
+
+    Requests of one wanted value of the first equality filter meet only the rows that have it.
+    """
+    unit = unit_rows(vectors)
+    for rows, wanted in _meeting(requests, filters, len(row_ids)):
+        ids, kept = row_ids[rows], {n: v[rows] for n, v in filters.items()}
+        step = max(1, _BLOCK_CELLS // max(1, len(ids)))
+        for start in range(wanted.start, wanted.stop, step):
+            part = slice(start, min(start + step, wanted.stop))
+            scores = requests.vectors[part] @ unit[rows].T
+            allowed = requests.eligible(kept, ids, part)
+            scores[np.isnan(scores)] = -np.inf
+            if allowed is not None:
+                scores[~allowed] = -np.inf
+            best.offer(part.start, scores, ids)
+
+
+def _meeting(requests: Requests, filters: dict[str, np.ndarray], n: int):
+    """(rows, span of requests) that may match; requests are in order of their first wanted value, those without one last."""
+    every = np.arange(n)
+    if not requests.equal:
+        yield every, slice(0, len(requests.ids))
+        return
+    name, wanted = next(iter(requests.equal.items()))
+    codes, known = pd.factorize(filters[name])
+    place = {value: code for code, value in enumerate(known)}
+    start = 0
+    while start < len(wanted):
+        stop = start + 1
+        while stop < len(wanted) and wanted[stop] == wanted[start]:
+            stop += 1
+        rows = every if wanted[start] is None else np.flatnonzero(codes == place.get(wanted[start], -2))
+        if len(rows):
+            yield rows, slice(start, stop)
+        start = stop

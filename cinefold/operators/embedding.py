@@ -51,21 +51,17 @@ def hashed_words() -> Callable[[list[str]], Vectors]:
     """Signed feature hashing of lower-case words, scaled to unit length. Needs no service."""
     width, words = EMBEDDING_WIDTH, re.compile(r"[a-z0-9]+")
 
-    class Places(dict):
-        """Word to place; the places of negative words follow those of positive ones."""
-
-        def __missing__(self, word: str) -> int:
-            digest = hashlib.md5(word.encode()).hexdigest()
-            place = int(digest[:2], 16) % width + (0 if digest[2] < "8" else width)
-            self[word] = place
-            return place
-
-    places = Places()
+    def place(word: str) -> int:
+        """The places of negative words follow those of positive ones."""
+        digest = hashlib.md5(word.encode()).hexdigest()
+        return int(digest[:2], 16) % width + (0 if digest[2] < "8" else width)
 
     def embed(texts: list[str]) -> Vectors:
         out = np.zeros((len(texts), width))
-        for row, content in enumerate(texts):
-            found = [places[word] for word in words.findall(content.lower())]
+        found_in = [words.findall(content.lower()) for content in texts]
+        places = {word: place(word) for word in set().union(*found_in)}  # of this batch alone
+        for row, words_of_text in enumerate(found_in):
+            found = [places[word] for word in words_of_text]
             counts = np.bincount(found, minlength=2 * width) if found else np.zeros(2 * width)
             out[row] = counts[:width] - counts[width:]
         lengths = np.linalg.norm(out, axis=1, keepdims=True)
@@ -104,7 +100,7 @@ def embed_batch(
         return [(v, None) for v in _call(service, texts, plan)]
     except Exception as problem:
         if len(texts) == 1:
-            return [(None, f"{type(problem).__name__}: {problem}"[:300])]
+            return [(None, f"{type(problem).__name__}: {problem}")]
     out: list[tuple[list[float] | None, str | None]] = []
     for one in texts:
         out.extend(embed_batch(service, [one], plan))

@@ -72,13 +72,10 @@ def merge_touched(
     only move together with a vector, so a row whose vector could not be renewed is picked
     up again by the next run.
     """
-    # An explicit number of partitions keeps small tables spread out for the embedder;
-    # the join needs this shuffle anyway, and keys are unique, so no partition is hot.
-    parts = plan.tasks or int(stored.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    both = _sides(
-        stored.select(*SNAPSHOT).repartition(parts, "source_key"),
-        incoming.repartition(parts, "source_key"), "left",
-    )
+    if plan.tasks:
+        # So many tasks call the embedder at once; the join uses the same shuffle, and keys are unique.
+        incoming = incoming.repartition(plan.tasks, "source_key")
+    both = _sides(stored.select(*SNAPSHOT), incoming, "left")
     both = both.withColumn("needed", _needs_vector(plan.model, force))
     both = both.withColumn("e", embedded(F.when(F.col("needed"), F.col("i.augmented_text")), plan))
 
@@ -189,6 +186,25 @@ def merge(
     return Merge(keys, rows, rest.unionByName(written))
 
 
+def bucket(key: Column, buckets: int) -> Column:
+    """The bucket folder of a row in a catalogue that is renewed in place."""
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+
+
+def changed_buckets(stored: DataFrame, merged: Merge, buckets: int) -> DataFrame:
+    """All rows, after the run, of those buckets that a written row falls into, with their ``bucket``.
+
+    ``stored`` is the bucketed table as read; the other buckets' files are not opened, as
+    the buckets are few and known before.
+    """
+    own = bucket(F.col("source_key"), buckets)
+    written = merged.rows.filter(F.col("action").isin("inserted", "updated")).select(*SNAPSHOT, own.alias("bucket"))
+    hit = [row[0] for row in written.select("bucket").distinct().collect()]
+    rest = stored.filter(F.col("bucket").isin(hit)) if hit else stored.filter(F.lit(False))
+    rest = rest.select(*SNAPSHOT, "bucket").join(written.select("source_key"), "source_key", "left_anti")
+    return rest.select(*SNAPSHOT, "bucket").unionByName(written)
+
+
 def clustered(snapshot: DataFrame) -> DataFrame:
     """Lay a snapshot out so that decade and genre filters skip files and row groups.
 

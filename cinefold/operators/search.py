@@ -17,7 +17,9 @@ from cinefold.functions.vector import BestRows, Requests, matrix_of, rank_block,
 from cinefold.session import step_table
 
 # Requests held by every task are limited to this size; more of them are searched in a grid.
-HELD_BYTES = 64 << 20
+HELD_BYTES = 256 << 20
+# What a request takes besides its vector: identifier and wanted values; and for each row it may keep, score twice and identifier.
+_REQUEST_BYTES, _ANSWER_BYTES = 512, 80
 # Catalogue vectors per grid cell.
 CELL_BYTES = 128 << 20
 
@@ -107,7 +109,10 @@ def _answer_schema(requests: DataFrame, request_id: str, catalogue: DataFrame, i
 
 
 def _as_requests(table: pa.Table, k: int, equal: dict, minimum: dict, not_self: bool) -> dict:
-    """Plain arrays, so that a broadcast needs no class on the executors."""
+    """Plain arrays, so that a broadcast needs no class on the executors; in order of the first equality filter."""
+    if equal:
+        wanted = table[f"want_{next(iter(equal))}"].to_pylist()
+        table = table.take(sorted(range(len(wanted)), key=lambda i: (wanted[i] is None, wanted[i] if wanted[i] is not None else 0)))
     return {
         "ids": np.asarray(table["request_id"].to_pylist()),
         "vectors": unit_rows(matrix_of(table["vector"])),
@@ -119,10 +124,8 @@ def _as_requests(table: pa.Table, k: int, equal: dict, minimum: dict, not_self:
 
 
 def _answers(requests: Requests, best: BestRows, schema: pa.Schema) -> pa.Table:
-    ids = [] if best.row is None else best.row.tolist()
-    return pa.table(
-        [requests.ids[best.request].tolist(), ids, best.exact.tolist()], schema=schema
-    )
+    request, ids, exact = best.found()
+    return pa.table([requests.ids[request].tolist(), ids.tolist(), exact.tolist()], schema=schema)
 
 
 def top_k_per_request(
@@ -146,10 +149,12 @@ def top_k_per_request(
     wants = [F.col(r).alias(f"want_{c}") for c, r in equal.items()]
     wants += [F.col(r).cast("double").alias(f"want_{c}") for c, r in minimum.items()]
     own_k = F.lit(top_k) if top_k is not None else F.col("top_k")
-    asked = searchable(requests, request_vector).select(
+    asked = requests.select(
         F.col(request_id).alias("request_id"), F.col(request_vector).alias("vector"),
         own_k.cast("int").alias("k"), *wants,
     )
+    # Written once, whole: a vector may come from an embedder, which must not be asked again by each use of it.
+    asked = searchable(step_table(asked, "requests"), "vector")
     rows = searchable(catalogue, vector).select(
         F.col(id).alias("id"), F.col(vector).alias("vector"), *[F.col(c) for c in equal],
         *[F.col(c).cast("double").alias(c) for c in minimum],
@@ -168,7 +173,7 @@ def top_k_per_request(
         rank_block(requests, best, ids, matrix_of(batch["vector"]), filters)
 
     local = _best_per_task(
-        rows, asked, size["n"], 8 * (size["width"] or 0), prepare, score,
+        rows, asked, size["n"], 8 * (size["width"] or 0) + _ANSWER_BYTES * (k or 0) + _REQUEST_BYTES, prepare, score,
         _answer_schema(requests, request_id, catalogue, id), held_bytes,
     )
     order = Window.partitionBy("request_id").orderBy(V.ranked(F.col("score")).desc(), F.asc("id"))
@@ -203,9 +208,7 @@ def _best_per_task(
                 score(requests, best, row_ids(batch), batch)
             yield from _answers(requests, best, arrow).to_batches()
 
-        # A few waves of tasks are enough; more would only send more partial answers around.
-        waves = rows.coalesce(4 * spark.sparkContext.defaultParallelism)
-        return waves.mapInArrow(best_of_task, schema)
+        return rows.mapInArrow(best_of_task, schema)
 
     def best_of_cell(stored: pa.Table, wanted: pa.Table) -> pa.Table:
         if not stored.num_rows or not wanted.num_rows:
@@ -290,14 +293,13 @@ def approximate_candidates(
 
     def score(requests: Requests, best: BestRows, ids: np.ndarray, batch) -> None:
         wanted, codes = requests.vectors, matrix(batch["code"].to_pylist())
-        step = max(1, 4_000_000 // max(1, wanted.size))
-        for start in range(0, len(ids), step):
-            part = slice(start, start + step)
-            differ = np.bitwise_count(wanted[:, None, :] ^ codes[None, part, :]).sum(axis=2)
-            best.offer(-differ.astype(np.float64), ids[part])
+        step = max(1, 4_000_000 // max(1, codes.size))
+        for start in range(0, len(wanted), step):
+            differ = np.bitwise_count(wanted[start : start + step, None, :] ^ codes[None, :, :]).sum(axis=2)
+            best.offer(start, -differ.astype(np.float64), ids)
 
     local = _best_per_task(
-        rows, asked, size["n"], size["width"] or 0, prepare, score,
+        rows, asked, size["n"], (size["width"] or 0) + _ANSWER_BYTES * budget + _REQUEST_BYTES, prepare, score,
         _answer_schema(requests, request_id, signed, id), held_bytes,
     )
     order = Window.partitionBy("request_id").orderBy(V.ranked(F.col("score")).desc(), F.asc("id"))

@@ -136,14 +136,8 @@ STORED_TYPES = {
     "pipeline_version": "string",
 }
 
-# Columns that make up the content fingerprint, in order.
-HASHED_COLUMNS = [
-    "source_key", "title", "release_date", "release_year", "decade", "major_genre",
-    "creative_type", "source", "mpaa_rating", "director", "distributor", "running_time_min",
-    "production_budget", "us_gross", "worldwide_gross", "us_dvd_sales", "imdb_rating",
-    "imdb_votes", "rt_rating", "budget_tier", "rating_score_delta", "blockbuster_flag",
-    "profit_ratio", "imputed_fields", "augmented_text",
-]
+# The content fingerprint covers what is stored, but for itself and what the embedding and the run add.
+HASHED_COLUMNS = [c for c in STORED_TYPES if c not in ("content_hash", "embedding", "embedding_model", "pipeline_version")]
 
 # Columns of a search result, and of the two-dimensional export.
 RESULT_COLUMNS = [

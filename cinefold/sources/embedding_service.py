@@ -28,7 +28,7 @@ def http_embedder(url: str, model: str, width: int, timeout: float = 120.0, **op
             except urllib.error.HTTPError as problem:
                 if problem.code == 429 or problem.code >= 500:
                     raise
-                raise Rejected(f"{problem.code} {problem.read(300)!r}") from problem
+                raise Rejected(f"{problem.code} {problem.read()!r}") from problem
 
         return embed
 

@@ -27,44 +27,50 @@ def sf_dir():
     return SF
 
 
-BASE = dict(zip(S.SOURCE_COLUMNS, [
-    "Baseline Movie", 50_000_000, 120_000_000, None, 40_000_000, "Jun 12 1998", "R", 110, "Warner Bros.",
-    "Original Screenplay", "Action", "Contemporary Fiction", "Jane Doe", 82, 7.4, 90_000,
-]))
+PLAY = {
+    "Title": "Harbour Lights", "US Gross": 31_000_000, "Worldwide Gross": 64_500_000, "US DVD Sales": None,
+    "Production Budget": 12_500_000, "Release Date": "Mar 4 1994", "MPAA Rating": "PG-13", "Running Time min": 97,
+    "Distributor": "Northgate Pictures", "Source": "Based on Play", "Major Genre": "Drama", "Creative Type": "Historical Fiction",
+    "Director": "Mara Lindqvist", "Rotten Tomatoes Rating": 71, "IMDB Rating": 6.8, "IMDB Votes": 41_300,
+}
 
 
 def record(**changes):
-    """The baseline record with some fields changed; underscores stand for spaces."""
-    return BASE | {name.replace("_", " "): value for name, value in changes.items()}
+    """A complete record with some fields changed; underscores stand for spaces."""
+    return PLAY | {name.replace("_", " "): value for name, value in changes.items()}
 
 
-def sparse(title: str, date: str):
-    return dict.fromkeys(S.SOURCE_COLUMNS) | {"Title": title, "Release Date": date}
+def dated(title, date, **changes):
+    return record(Title=title, Release_Date=date, **changes)
 
 
+#: Each rule of the cleaning is met by at least one record; three remakes, two exact copies, one record without a title.
 RECORDS = [
+    {name: None for name in PLAY} | {"Title": "Quiet Acre", "Release Date": "Jul 19 1989"},
     record(),
+    dated(None, "Apr 11 1996"),
+    dated(2112, "May 21 1999"),
     record(),
-    record(Title="Casino Royale", Release_Date="Apr 28 1967"),
-    record(Title="Casino Royale", Release_Date="Nov 17 2006"),
-    record(Title=300, Release_Date="Mar 09 2007"),
-    record(Title="  The   Padded  Title ", Release_Date="Jan 02 2001"),
-    record(Title="Rollover Film", Release_Date="Jun 12 2046"),
-    record(Title="Silent Era Film", Release_Date="Feb 08 2015"),
-    record(Title="Impossible Numbers", Release_Date="May 01 2003", IMDB_Rating=12.5,
-           Rotten_Tomatoes_Rating=140, Production_Budget=0, Worldwide_Gross=0, Running_Time_min=-5),
-    record(Title="Open Rated Film", Release_Date="Aug 03 2004", MPAA_Rating="Open"),
-    record(Title=None, Release_Date="Sep 09 2005"),
-    sparse("Sparse Film", "Oct 10 2006"),
-    record(Title="Bad Date Film", Release_Date="not a date"),
-    record(Title="Panned Film", Release_Date="Dec 01 2008", Rotten_Tomatoes_Rating=12, IMDB_Rating=4.0,
-           Production_Budget=2_000_000, Worldwide_Gross=1_000_000),
+    dated("\tGlass   Orchard ", "Sep 30 1992"),
+    dated("The Ferry", "Feb 2 1951"),
+    dated("Lantern Street", "Aug 15 2031"),
+    dated("The Ferry", "Oct 13 1978"),
+    dated("Paper Sail", "Nov 5 2018"),
+    dated("Broken Figures", "Jan 27 1997", IMDB_Rating=-0.5, Rotten_Tomatoes_Rating=250, Production_Budget=-7,
+          Worldwide_Gross=-2, Running_Time_min=-30),
+    dated("Sundial", "sometime in spring"),
+    dated("Open Water Mill", "Dec 24 2001", MPAA_Rating="Open"),
+    dated("Open Water Mill", "Dec 24 2001", MPAA_Rating="Open"),
+    dated("Winter Ledger", "Feb 18 2005", Rotten_Tomatoes_Rating=18, IMDB_Rating=5.9, Production_Budget=3_000_000,
+          Worldwide_Gross=1_200_000),
+    dated("The Ferry", "Jun 1 2003"),
 ]
+ROWS_OUT = 13
 
 
 @pytest.fixture(scope="session")
 def raw(spark, tmp_path_factory):
-    """The fourteen records, read through the JSON source, under catalogue names."""
+    """The records, read through the JSON source, under catalogue names."""
     from cinefold.sources import records
 
     path = tmp_path_factory.mktemp("raw") / "records.json"

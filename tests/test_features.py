@@ -3,21 +3,22 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from cinefold import schemas as S
 from cinefold.functions import numeric
 from cinefold.operators import features
 
 
-@pytest.mark.parametrize(("budget", "code"), [
-    (1e6, "micro"), (4_999_999, "micro"), (5e6, "low"), (19_999_999, "low"), (2e7, "mid"), (5e7, "high"),
-    (99_999_999, "high"), (1e8, "blockbuster"), (3e8, "blockbuster"), (None, None),
-])
-def test_tier(spark, budget, code):
-    frame = spark.createDataFrame([(None if budget is None else float(budget),)], "b double")
-    assert frame.select(numeric.tier(F.col("b"), 1)).first()[0] == code
+def test_tiers_follow_their_bounds(spark):
+    """Just below and at each bound of the table, and far beyond the last."""
+    bounds = [t[0] for t in S.BUDGET_TIERS if t[0]]
+    asked = [float(x) for b in bounds for x in (b - 1, b)] + [1.0, 9e12, None]
+    want = [next(code for top, code, _ in S.BUDGET_TIERS if top is None or x < top) if x is not None else None for x in asked]
+    frame = spark.createDataFrame(list(enumerate(asked)), "i int, b double")
+    assert [r[1] for r in sorted(frame.select("i", numeric.tier(F.col("b"), 1)).collect())] == want
 
 
 @pytest.mark.parametrize(("gross", "budget", "flag"), [
-    (3e8, 5e7, True), (1e8 + 1, 9e7, False), (5e7, 1e6, False), (None, 1e6, None), (1e8, None, None), (2e8, 0.0, False),
+    (2.2e8, 1.05e8, True), (1.4e8, 8e7, False), (9.9e7, 2e6, False), (None, 4e6, None), (3.1e8, None, None), (1.7e8, 0.0, False),
 ])
 def test_flag_needs_both_bars(spark, gross, budget, flag):
     frame = spark.createDataFrame([(gross, budget)], "g double, b double")
@@ -39,29 +40,26 @@ def test_rounding_is_half_even_after_scaling(spark):
 
 
 def test_document_of_a_full_row(by_title):
-    lines = by_title["baseline-movie::1998-06-12"]["augmented_text"].split("\n")
-    assert lines == [
-        "Title: Baseline Movie", "Genre: Action", "Director: Jane Doe", "MPAA Rating: R", "Release Year: 1998",
-        "Runtime: 110 minutes", "IMDB Rating: 7.4/10 (90,000 votes)", "Rotten Tomatoes: 82%",
-        "Budget: $40,000,000", "Distributor: Warner Bros.", "Creative Type: Contemporary Fiction",
-        "Source: Original Screenplay", "Decade: 1990s", "Budget Tier: Mid-budget ($20M to $50M)",
-        "Critical Reception: Critically acclaimed by reviewers", "Box Office: $120,000,000 worldwide, a commercial blockbuster",
-    ]
+    lines = by_title["harbour-lights::1994-03-04"]["augmented_text"].split("\n")
+    told = dict(line.split(": ", 1) for line in lines)
+    assert list(told) == ["Title", "Genre", "Director", "MPAA Rating", "Release Year", "Runtime", "IMDB Rating", "Rotten Tomatoes", "Budget",
+                          "Distributor", "Creative Type", "Source", "Decade", "Budget Tier", "Critical Reception", "Box Office"]
+    assert told["IMDB Rating"] == "6.8/10 (41,300 votes)" and told["Budget"] == "$12,500,000" and told["Decade"] == "1990s"
+    assert told["Budget Tier"] == S.BUDGET_TIERS[1][2] and told["Critical Reception"] == S.RECEPTIONS[1][1]
+    assert told["Box Office"] == f"$64,500,000 worldwide, {S.SMALL_EARNER}" and told["Runtime"] == "97 minutes"
 
 
 def test_document_leaves_out_what_was_filled(by_title):
-    content = by_title["sparse-film::2006-10-10"]["augmented_text"]
-    for label in ("Genre:", "Director:", "MPAA Rating:", "Distributor:", "Creative Type:", "Source:", "Budget Tier:",
-                  "Critical Reception:", "Audience Reception:", "Box Office:"):
-        assert label not in content
-    assert "vote count unknown" in content and "None" not in content and "nan" not in content
+    lines = by_title["quiet-acre::1989-07-19"]["augmented_text"].split("\n")
+    told = dict(line.split(": ", 1) for line in lines)
+    assert set(told) == {"Title", "Release Year", "Runtime", "IMDB Rating", "Rotten Tomatoes", "Budget", "Decade"}
+    assert told["IMDB Rating"].endswith("(vote count unknown)") and not {"None", "nan"} & set(" ".join(lines).split())
 
 
-def test_document_of_a_panned_film(by_title):
-    content = by_title["panned-film::2008-12-01"]["augmented_text"]
-    assert "Critical Reception: Poorly reviewed by critics, panned" in content
-    assert "Audience Reception: audiences liked it much more than critics did" in content
-    assert "a modest earner" in content
+def test_document_of_a_film_that_critics_disliked(by_title):
+    content = by_title["winter-ledger::2005-02-18"]["augmented_text"]
+    for phrase in (S.RECEPTIONS[-1][1], S.AUDIENCE_AHEAD, S.SMALL_EARNER):
+        assert phrase in content
 
 
 def test_document_of_a_bare_row(spark, by_title):
@@ -77,7 +75,7 @@ def test_document_of_a_bare_row(spark, by_title):
 
 
 def test_fingerprint_follows_the_content(done):
-    rows = done.rows.filter("source_key = 'baseline-movie::1998-06-12'")
+    rows = done.rows.filter("source_key = 'harbour-lights::1994-03-04'")
     same = features.with_fingerprint(rows).first()["content_hash"]
     assert same == rows.first()["content_hash"] and len(same) == 64
     for change in ({"title": F.lit("Other")}, {"us_gross": F.col("us_gross") + 1}, {"us_gross": F.lit(None).cast("bigint")},
@@ -86,7 +84,7 @@ def test_fingerprint_follows_the_content(done):
 
 
 def test_fingerprint_keeps_neighbouring_columns_apart(done):
-    rows = done.rows.filter("source_key = 'baseline-movie::1998-06-12'")
+    rows = done.rows.filter("source_key = 'harbour-lights::1994-03-04'")
     one = features.with_fingerprint(rows.withColumns({"director": F.lit("a|b"), "distributor": F.lit("c")}))
     two = features.with_fingerprint(rows.withColumns({"director": F.lit("a"), "distributor": F.lit("b|c")}))
     assert one.first()["content_hash"] != two.first()["content_hash"]

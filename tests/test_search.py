@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from cinefold import schemas as S
 from cinefold.functions import vector as V
 from cinefold.operators import search
 
@@ -91,9 +92,40 @@ def test_approximate_candidates_in_a_grid_equal_the_held_ones(vectors):
     assert sets[0] == sets[1] and len(sets[0]) == 500 * 100
 
 
-@pytest.mark.parametrize(("k", "budget"), [(1, 100), (5, 100), (10, 200), (50, 1000), (500, 1000)])
-def test_candidate_budget(k, budget):
-    assert search.candidate_budget(k) == budget
+def test_candidate_budget_is_clamped_at_both_ends():
+    budgets = [search.candidate_budget(k) for k in range(1, 200)]
+    assert budgets == sorted(budgets) and (budgets[0], budgets[-1]) == (S.CANDIDATES_MIN, S.CANDIDATES_MAX)
+    assert search.candidate_budget(7) == 7 * S.CANDIDATES_PER_K
+
+
+def test_each_request_is_embedded_once(spark, vectors, tmp_path):
+    """The vectors come from an embedder that notes every text it is asked for."""
+    note = str(tmp_path / "asked")
+
+    @F.udf("array<float>")
+    def vector(name):
+        with open(note, "a") as out:
+            out.write(name + "\n")
+        return [float(len(name))] * 64
+
+    asked = spark.createDataFrame([(f"q{i}", 3) for i in range(20)], "request_id string, top_k int").repartition(2)
+    asked = asked.withColumn("vector", vector("request_id"))
+    assert search.top_k_per_request(vectors, asked, id="vec_id").count() == 60
+    with open(note) as told:
+        assert sorted(told.read().split()) == sorted(f"q{i}" for i in range(20))
+
+
+def test_kernel_work_per_pair_does_not_grow_with_requests():
+    """Wide equality of many blocks with a full sort, over many requests at once."""
+    rng = np.random.default_rng(1)
+    rows, wanted = rng.normal(size=(400, 8)), rng.normal(size=(3000, 8))
+    asked = V.Requests(np.arange(3000), V.unit_rows(wanted), 5)
+    best = V.BestRows(3000, 5)
+    for start in range(0, 400, 50):
+        V.rank_block(asked, best, np.arange(start, start + 50), rows[start:start + 50], {})
+    scores = np.round(V.unit_rows(wanted) @ V.unit_rows(rows).T, 9)
+    order = np.lexsort((np.broadcast_to(np.arange(400), scores.shape), -scores), axis=1)[:, :5]
+    assert (best.row == order).all()
 
 
 def test_neighbours_leave_out_the_row_and_need_a_vector(vectors):

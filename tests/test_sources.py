@@ -14,8 +14,8 @@ def test_array_file_keeps_the_order_and_unifies_number_and_text(spark, tmp_path)
     (tmp_path / "a.json").write_text(json.dumps(RECORDS))
     rows = records.read_array(spark, str(tmp_path)).orderBy("ord").collect()
     titles = [r["Title"] for r in rows]
-    assert titles[4] == "300" and titles[10] is None and titles[13] == "Panned Film"
-    assert rows[0]["IMDB Rating"] == "7.4"
+    assert titles[2] is None and titles[3] == "2112" and titles[-1] == "The Ferry"
+    assert rows[1]["IMDB Rating"] == "6.8"
 
 
 def test_both_spellings_of_the_columns_are_read(spark, tmp_path):
@@ -26,7 +26,7 @@ def test_both_spellings_of_the_columns_are_read(spark, tmp_path):
         "\n".join(json.dumps({"ord": i} | r) for i, r in enumerate(spelled)))
     for frame in (records.read_array(spark, str(tmp_path / "a.json")), records.read_lines(spark, str(tmp_path / "lines"))):
         assert frame.columns == ["ord", *S.SOURCE_COLUMNS]
-        assert frame.filter(F.col("US Gross") == "50000000").count() == 13
+        assert frame.filter(F.col("US Gross") == "31000000").count() == len(RECORDS) - 1
 
 
 def test_a_missing_column_is_named(spark, tmp_path):

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import pytest
+from conftest import ROWS_OUT
 from pyspark.sql import functions as F
 
 from cinefold.operators import merge, metrics
@@ -43,24 +44,24 @@ def test_streamed_enrichment_equals_the_batch_run(spark, raw, tmp_path):
     frozen = streamed.Frozen(stats.statistics, stats.variants)
     base = str(tmp_path / "base")
     at = F.lit("2024-01-01").cast("timestamp")
-    first = enrichment.run(raw.filter("ord in (2, 3)"), merge.empty_snapshot(spark), at,
+    first = enrichment.run(raw.filter("ord in (6, 8, 15)"), merge.empty_snapshot(spark), at,
                            statistics=stats.statistics, variants=stats.variants)
     snapshots.write_snapshot(first.snapshot, base)
     log = str(tmp_path / "log")
     raw.filter("ord < 8").coalesce(1).write.mode("append").json(log)
     later = raw.filter("ord >= 8").unionByName(
-        raw.filter("ord = 0").withColumn("ord", F.lit(20).cast("bigint")).withColumn("us_gross", F.lit("99")))
+        raw.filter("ord = 1").withColumn("ord", F.lit(20).cast("bigint")).withColumn("us_gross", F.lit("99")))
     later.coalesce(1).write.mode("append").json(log)
     stream = spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", 1).json(log)
     target = str(tmp_path / "stream")
     streamed.enrich_stream(stream, target, frozen, "2024-02-01 00:00:00", first=base)
-    got = {r["title"]: r for r in streamed.current(spark, target, base).filter("title <> 'Casino Royale'").collect()}
-    assert len(got) == 10 and streamed.current(spark, target, base).count() == 12
-    assert got["Baseline Movie"]["us_gross"] == 99 and got["300"]["us_gross"] == 50_000_000
+    got = {r["title"]: r for r in streamed.current(spark, target, base).filter("title <> 'The Ferry'").collect()}
+    assert len(got) == ROWS_OUT - 3 and streamed.current(spark, target, base).count() == ROWS_OUT
+    assert got["Harbour Lights"]["us_gross"] == 99 and got["2112"]["us_gross"] == 31_000_000
     whole = {r["source_key"]: r["content_hash"] for r in stats.rows.collect()}
-    assert all(r["content_hash"] == whole[r["source_key"]] for t, r in got.items() if t != "Baseline Movie")
+    assert all(r["content_hash"] == whole[r["source_key"]] for t, r in got.items() if t != "Harbour Lights")
     again = str(tmp_path / "compact")
     streamed.compact(spark, target, again, base)
-    assert spark.read.parquet(again).count() == 12
+    assert spark.read.parquet(again).count() == ROWS_OUT
     # The remakes were stored before and did not change, so the stream wrote nothing for them.
-    assert spark.read.parquet(f"{target}/rows").filter("title = 'Casino Royale'").count() == 0
+    assert spark.read.parquet(f"{target}/rows").filter("title = 'The Ferry'").count() == 0
