@@ -111,7 +111,7 @@ def test_secrets_on_held_out_findings(make):
     rng = np.random.default_rng(9)
     hexed = lambda n: "".join(rng.choice(list("0123456789abcdef"), n))
     upper = lambda n: "".join(rng.choice(list("ABCDEFGHJKLMNPQRSTUVWXYZ23456789"), n))
-    long_word = lambda: "".join(rng.choice(PROSE.split(), 4))
+    long_word = lambda: "".join(rng.choice(PROSE.split(), 9))
     rows = []
     for i in range(150):
         rows += [(4 * i, f"{PROSE} password={hexed(18)} {PROSE}"), (4 * i + 1, f"{PROSE} AKIA{upper(16)} then"),
