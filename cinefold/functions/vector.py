@@ -183,19 +183,22 @@ class BestRows:
 
 def rank_block(
     requests: Requests, best: BestRows, row_ids: np.ndarray, vectors: np.ndarray,
-    filters: dict[str, np.ndarray],
+    filters: dict[str, np.ndarray], similarity=None,
 ) -> None:
     """Score one block of rows against all requests, a bounded number of cells at a time.
 
     Requests of one wanted value of the first equality filter meet only the rows that have it.
+    ``similarity`` scores some requests against some rows; the cosine of ``vectors`` without it.
     """
-    unit = unit_rows(vectors)
+    rows_of = vectors if similarity else unit_rows(vectors)
+    similarity = similarity or (lambda wanted, stored: wanted @ stored.T)
+    width = 1 if rows_of.dtype.kind == "f" else max(1, rows_of.shape[1])  # cells that a bitwise score takes
     for rows, wanted in _meeting(requests, filters, len(row_ids)):
         ids, kept = row_ids[rows], {n: v[rows] for n, v in filters.items()}
-        step = max(1, _BLOCK_CELLS // max(1, len(ids)))
+        step = max(1, _BLOCK_CELLS // max(1, len(ids) * width))
         for start in range(wanted.start, wanted.stop, step):
             part = slice(start, min(start + step, wanted.stop))
-            scores = requests.vectors[part] @ unit[rows].T
+            scores = similarity(requests.vectors[part], rows_of[rows])
             allowed = requests.eligible(kept, ids, part)
             scores[np.isnan(scores)] = -np.inf
             if allowed is not None:

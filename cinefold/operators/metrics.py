@@ -138,10 +138,14 @@ def alarm(
     dense = calendar.join(marked, ["window_start", *dims], "left").withColumn(
         "breaching", F.coalesce("breaching", F.lit(False))
     )
-    last = Window.partitionBy(*dims).orderBy("window_start").rowsBetween(1 - of, 0)
-    return dense.withColumn("breaches", F.sum(F.col("breaching").cast("int")).over(last)).withColumn(
-        "alarm", F.col("breaches") >= needed
-    )
+    # A breach counts in its own period and the next of - 1, so no series has to be put in order.
+    counted = marked.filter("breaching").select(
+        *dims, F.unix_timestamp("window_start").alias("__second"), F.explode(F.sequence(F.lit(0), F.lit(of - 1))).alias("__later")
+    ).groupBy(*dims, F.timestamp_seconds(F.col("__second") + F.col("__later") * F.lit(step).cast("bigint")).alias("window_start")).agg(
+        F.count("*").alias("breaches"))
+    return dense.join(counted, ["window_start", *dims], "left").withColumn(
+        "breaches", F.coalesce("breaches", F.lit(0))
+    ).withColumn("alarm", F.col("breaches") >= needed)
 
 
 def over_budget(

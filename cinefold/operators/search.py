@@ -108,14 +108,17 @@ def _answer_schema(requests: DataFrame, request_id: str, catalogue: DataFrame, i
     ])
 
 
-def _as_requests(table: pa.Table, k: int, equal: dict, minimum: dict, not_self: bool) -> dict:
+def _as_requests(
+    table: pa.Table, k: int, equal: dict, minimum: dict, not_self: bool,
+    vectors: Callable[[pa.Table], np.ndarray] = lambda table: unit_rows(matrix_of(table["vector"])),
+) -> dict:
     """Plain arrays, so that a broadcast needs no class on the executors; in order of the first equality filter."""
     if equal:
         wanted = table[f"want_{next(iter(equal))}"].to_pylist()
         table = table.take(sorted(range(len(wanted)), key=lambda i: (wanted[i] is None, wanted[i] if wanted[i] is not None else 0)))
     return {
         "ids": np.asarray(table["request_id"].to_pylist()),
-        "vectors": unit_rows(matrix_of(table["vector"])),
+        "vectors": vectors(table),
         "k": k,
         "equal": {c: np.asarray(table[f"want_{c}"].to_pylist(), object) for c in equal},
         "minimum": {c: np.asarray(table[f"want_{c}"].to_pylist(), object) for c in minimum},
@@ -272,31 +275,39 @@ def signature(vector: Column, width: int, bits: int = 256, seed: int = 42) -> Co
     return sides(vector)
 
 
+def _unlike(wanted: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Minus the number of bits in which each pair of signatures differs."""
+    return -np.bitwise_count(wanted[:, None, :] ^ codes[None, :, :]).sum(axis=2).astype(np.float64)
+
+
 def approximate_candidates(
     signed: DataFrame, requests: DataFrame, budget: int, id: str = "id",
     code: str = "signature", request_id: str = "request_id", request_code: str = "signature",
-    held_bytes: int = HELD_BYTES,
+    held_bytes: int = HELD_BYTES, *, equal: dict[str, str] | None = None,
+    minimum: dict[str, str] | None = None, not_self: bool = False,
 ) -> DataFrame:
-    """``request_id, id``: the rows whose signatures differ least from each request's."""
+    """``request_id, id``: of the rows that a request may return, those whose signatures differ least from its own."""
+    equal, minimum = equal or {}, minimum or {}
     asked = requests.filter(F.col(request_code).isNotNull()).select(
-        F.col(request_id).alias("request_id"), F.col(request_code).alias("code")
+        F.col(request_id).alias("request_id"), F.col(request_code).alias("code"),
+        *[F.col(r).alias(f"want_{c}") for c, r in equal.items()],
+        *[F.col(r).cast("double").alias(f"want_{c}") for c, r in minimum.items()],
+    )
+    rows = signed.filter(F.col(code).isNotNull()).select(
+        F.col(id).alias("id"), F.col(code).alias("code"), *[F.col(c) for c in equal],
+        *[F.col(c).cast("double").alias(c) for c in minimum],
     )
-    rows = signed.filter(F.col(code).isNotNull()).select(F.col(id).alias("id"), F.col(code).alias("code"))
     size = asked.agg(F.count("*").alias("n"), F.max(F.octet_length("code")).alias("width")).first()
 
     def matrix(codes) -> np.ndarray:
         return np.frombuffer(b"".join(codes), np.uint64).reshape(len(codes), -1)
 
     def prepare(table: pa.Table) -> dict:
-        ids = np.asarray(table["request_id"].to_pylist())
-        return {"ids": ids, "vectors": matrix(table["code"].to_pylist()), "k": budget}
+        return _as_requests(table, budget, equal, minimum, not_self, lambda t: matrix(t["code"].to_pylist()))
 
     def score(requests: Requests, best: BestRows, ids: np.ndarray, batch) -> None:
-        wanted, codes = requests.vectors, matrix(batch["code"].to_pylist())
-        step = max(1, 4_000_000 // max(1, codes.size))
-        for start in range(0, len(wanted), step):
-            differ = np.bitwise_count(wanted[start : start + step, None, :] ^ codes[None, :, :]).sum(axis=2)
-            best.offer(start, -differ.astype(np.float64), ids)
+        filters = {n: np.asarray(batch[n].to_pylist(), object) for n in [*equal, *minimum]}
+        rank_block(requests, best, ids, matrix(batch["code"].to_pylist()), filters, _unlike)
 
     local = _best_per_task(
         rows, asked, size["n"], (size["width"] or 0) + _ANSWER_BYTES * budget + _REQUEST_BYTES, prepare, score,
@@ -310,35 +321,32 @@ def approximate_candidates(
 
 
 def approximate_search(
-    catalogue: DataFrame, requests: DataFrame, top_k: int, *, filters: Column | None = None,
-    id: str = "id", vector: str = "embedding", request_id: str = "request_id",
-    request_vector: str = "vector", width: int = S.EMBEDDING_WIDTH, not_self: bool = False,
-    bits: int = 256, seed: int = 42,
+    catalogue: DataFrame, requests: DataFrame, top_k: int, *, equal: dict[str, str] | None = None,
+    minimum: dict[str, str] | None = None, id: str = "id", vector: str = "embedding",
+    request_id: str = "request_id", request_vector: str = "vector", width: int = S.EMBEDDING_WIDTH,
+    not_self: bool = False, bits: int = 256, seed: int = 42,
 ) -> DataFrame:
-    """Candidates by signature, then exact similarity, filters and rank among them.
+    """Candidates by signature, then exact similarity and rank among them.
 
-    As with any candidate search, filters apply after the candidates are drawn.
-    ``filters`` may use columns of the catalogue and, prefixed ``want_``, of the request.
+    ``equal``, ``minimum`` and ``not_self`` (as of ``top_k_per_request``) hold before the candidates are drawn, so a
+    request gets fewer than ``top_k`` rows only if fewer match.
     """
     if "signature" not in catalogue.columns:
         catalogue = catalogue.withColumn("signature", signature(F.col(vector), width, bits, seed))
-    asked = searchable(requests, request_vector).withColumn(
+    asked = searchable(step_table(requests, "requests"), request_vector).withColumn(
         "signature", signature(F.col(request_vector), width, bits, seed)
     )
     drawn = step_table(
         approximate_candidates(
-            searchable(catalogue, vector), asked, candidate_budget(top_k), id, request_id=request_id
+            searchable(catalogue, vector), asked, candidate_budget(top_k), id, request_id=request_id,
+            equal=equal, minimum=minimum, not_self=not_self,
         ), "candidates",
     )
-    wants = requests.select(*[
-        F.col(c).alias("request_id" if c == request_id else f"want_{c}") for c in requests.columns
-    ])
-    pairs = drawn.join(catalogue.withColumnRenamed(id, "id").drop("signature"), "id").join(wants, "request_id")
-    if filters is not None:
-        pairs = pairs.filter(filters)
-    if not_self:
-        pairs = pairs.filter(F.col("id") != F.col("request_id"))
-    exact = V.cosine_of_pairs()(F.col(vector), F.col(f"want_{request_vector}"))
+    wants = asked.select(F.col(request_id).alias("request_id"), F.col(request_vector).alias("want_vector"))
+    pairs = drawn.join(
+        catalogue.select(F.col(id).alias("id"), F.col(vector).alias("vector")), "id"
+    ).join(wants, "request_id")
+    exact = V.cosine_of_pairs()(F.col("vector"), F.col("want_vector"))
     order = Window.partitionBy("request_id").orderBy(V.ranked(F.col("score")).desc(), F.asc("id"))
     return (
         pairs.select("request_id", "id", exact.alias("score"))

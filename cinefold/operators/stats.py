@@ -30,12 +30,6 @@ def decade_counts(catalogue: DataFrame) -> DataFrame:
     return counts_by(catalogue, "decade", "decade").orderBy("decade")
 
 
-def most_common(catalogue: DataFrame, column: str) -> DataFrame:
-    """One row: the most frequent value, the smallest on a tie."""
-    counts = counts_by(catalogue, column, column)
-    return counts.agg(F.min_by(column, F.struct(-F.col("count"), F.col(column))).alias(column))
-
-
 def exact_mean(column: str, digits: int) -> Column:
     """Mean of a value with ``digits`` decimals, from whole numbers, rounded to two places."""
     scale = 10**digits
@@ -44,8 +38,37 @@ def exact_mean(column: str, digits: int) -> Column:
     return F.round(mean, 2)
 
 
-def summary(catalogue: DataFrame) -> DataFrame:
-    """One row of counts, ranges, means, the median budget and the most common versions."""
+_COUNTED = ("major_genre", "director", "distributor", "embedding_model", "pipeline_version", "decade")
+
+
+def value_counts(catalogue: DataFrame, columns: tuple[str, ...] = _COUNTED) -> DataFrame:
+    """``field, value, count`` of the values present in any of ``columns``, in one pass."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("value")) for c in columns])
+    return catalogue.select(F.explode(pairs).alias("p")).select("p.*").filter(F.col("value").isNotNull()).groupBy(
+        "field", "value").agg(F.count("*").alias("count"))
+
+
+def _facts(catalogue: DataFrame) -> DataFrame:
+    """One row from the counts of values: how many there are, the most common ones, and the nested lists."""
+    def of(field: str) -> Column:
+        return F.col("field") == field
+
+    def commonest(field: str) -> Column:
+        return F.min_by("value", F.when(of(field), F.struct(-F.col("count"), F.col("value")))).alias(field)
+
+    genre = F.collect_list(F.when(of("major_genre"), F.struct((-F.col("count")).alias("n"), F.col("value").alias("genre"))))
+    decade = F.collect_list(F.when(of("decade"), F.struct(F.col("value").cast("int").alias("decade"), F.col("count"))))
+    return value_counts(catalogue).agg(
+        F.count_if(of("major_genre")).alias("distinct_genres"), F.count_if(of("director")).alias("distinct_directors"),
+        F.count_if(of("distributor")).alias("distinct_distributors"), commonest("embedding_model"), commonest("pipeline_version"),
+        F.transform(F.array_sort(genre), lambda e: F.struct(e["genre"].alias("genre"), (-e["n"]).alias("count"))).alias("movies_per_genre"),
+        F.array_sort(decade).alias("movies_per_decade"),
+    )
+
+
+def _summary(catalogue: DataFrame) -> DataFrame:
+    """Counts, ranges and means in one pass, the facts of the values in a second, the exact median beside them."""
+    one = F.lit(1).alias("one")
     base = catalogue.agg(
         F.count("*").alias("total_movies"),
         F.count("embedding").alias("movies_with_embeddings"),
@@ -56,22 +79,18 @@ def summary(catalogue: DataFrame) -> DataFrame:
         F.sum("worldwide_gross").alias("total_worldwide_gross"),
         F.max("updated_at").alias("last_updated"),
     )
-    one = F.lit(1).alias("one")
-    parts = [
-        counts_by(catalogue, column, "v").agg(F.count("*").alias(name))
-        for column, name in (
-            ("major_genre", "distinct_genres"), ("director", "distinct_directors"),
-            ("distributor", "distinct_distributors"),
-        )
-    ]
-    parts += [most_common(catalogue, c) for c in ("embedding_model", "pipeline_version")]
-    out = base.select(one, "*")
-    for part in parts:
-        out = out.join(part.select(one, "*"), "one", "left")
     median = exact_medians(
         catalogue.select(one, F.col("production_budget").cast("double").alias("budget")), ["one"], "budget"
     ).select("one", F.col("median").alias("median_production_budget"))
-    return out.join(median, "one", "left").drop("one").select(
+    return (
+        base.select(one, "*").join(_facts(catalogue).select(one, "*"), "one", "left")
+        .join(median, "one", "left").drop("one")
+    )
+
+
+def summary(catalogue: DataFrame) -> DataFrame:
+    """One row of counts, ranges, means, the median budget and the most common versions."""
+    return _summary(catalogue).select(
         "total_movies", "movies_with_embeddings", "distinct_genres", "distinct_directors",
         "distinct_distributors", "earliest_release_year", "latest_release_year",
         "average_imdb_rating", "average_rt_rating", "median_production_budget",
@@ -81,19 +100,8 @@ def summary(catalogue: DataFrame) -> DataFrame:
 
 def statistics(catalogue: DataFrame, width: int = S.EMBEDDING_WIDTH) -> DataFrame:
     """The summary with the genre and decade counts nested; median cut to a whole number."""
-    one = F.lit(1).alias("one")
-    genre_list = counts_by(catalogue, "major_genre", "genre").agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct((-F.col("count")).alias("n"), "genre"))),
-            lambda e: F.struct(e["genre"].alias("genre"), (-e["n"]).alias("count")),
-        ).alias("movies_per_genre")
-    )
-    decade_list = counts_by(catalogue, "decade", "decade").agg(
-        F.array_sort(F.collect_list(F.struct("decade", "count"))).alias("movies_per_decade")
-    )
     return (
-        summary(catalogue).select(one, "*")
-        .join(genre_list.select(one, "*"), "one").join(decade_list.select(one, "*"), "one").drop("one")
+        _summary(catalogue)
         .withColumn("median_production_budget", F.col("median_production_budget").cast("bigint"))
         .withColumn("embedding_dimension", F.lit(width))
     )

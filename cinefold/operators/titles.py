@@ -101,18 +101,19 @@ def fuzzy_titles(
 ) -> DataFrame:
     """The best-scoring row per query; shortest title, then newest, on a tie.
 
-    Titles are made distinct first, each with its newest row, so copies of a title are
-    scored once.
+    Titles are made distinct first, so copies of a title are scored once. Of the catalogue only
+    titles are looked at until the scores are known; the scores are written, and rows are
+    fetched for the titles that have one.
     """
-    order = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(_newest_first(year, id))])
-    distinct = catalogue.filter(F.col(title).isNotNull()).groupBy(F.col(title).alias("title")).agg(
-        F.min_by(_payload(columns), order).alias("row"), F.min(order).alias("order")
+    listed = catalogue.filter(F.col(title).isNotNull()).select(F.col(title).alias("title")).distinct()
+    scored = step_table(fuzzy_scores(queries, listed, threshold), "title-scores")
+    rows = catalogue.select(
+        F.col(title).alias("title"), _payload(columns).alias("row"),
+        F.struct(*[c.alias(f"o{i}") for i, c in enumerate(_newest_first(year, id))]).alias("order"),
     )
-    titles = step_table(distinct, "titles")
-    scored = fuzzy_scores(queries, titles.select("title"), threshold)
     best = F.struct(-F.col("score"), F.length("title"), F.col("order"))
     return (
-        scored.join(titles, "title")
+        rows.join(scored, "title")
         .groupBy("query_id", "query")
         .agg(F.min_by("row", best).alias("row"), F.max("score").alias("title_score"))
         .select("query_id", "query", "row.*", "title_score")
@@ -129,7 +130,9 @@ def lookup(
     The trigram score is a text score and is not given out as a similarity.
     """
     exact = step_table(exact_titles(queries, catalogue, columns, title, year, id), "exact-titles")
-    rest = queries.join(exact.select("query_id"), "query_id", "left_anti")
+    rest = step_table(queries.join(exact.select("query_id"), "query_id", "left_anti"), "title-rest")
+    if rest.isEmpty():
+        return exact.withColumn("matched", F.lit("exact"))
     fuzzy = fuzzy_titles(rest, catalogue, columns, title, year, id, threshold).drop("title_score")
     return exact.withColumn("matched", F.lit("exact")).unionByName(
         fuzzy.withColumn("matched", F.lit("fuzzy"))

@@ -10,7 +10,7 @@ from cinefold.operators import cleaning, export, features, imputation, medians,
 from cinefold.operators.merge import stored_state
 from cinefold.plans import enrichment
 from cinefold.plans.registry import Registry, sql
-from cinefold.plans.registry.base import Shared, plain, plain_sql
+from cinefold.plans.registry.base import RUN_TIME, Shared, plain, plain_sql
 from cinefold.session import scratch_path, step_table
 from cinefold.sources import records, snapshots
 
@@ -445,7 +445,7 @@ SELECT count(*) AS total_movies, count(embedding) AS movies_with_embeddings,
   round(CAST(sum(CAST(imdb_rating * 10 AS BIGINT)) AS DOUBLE) / (count(imdb_rating) * 10), 2) AS average_imdb_rating,
   round(CAST(sum(rt_rating) AS DOUBLE) / count(rt_rating), 2) AS average_rt_rating,
   {median} AS median_production_budget, CAST(sum(worldwide_gross) AS BIGINT) AS total_worldwide_gross,
-  mode() WITHIN GROUP (ORDER BY embedding_model) AS embedding_model,
+  '{run_time}' AS last_updated, mode() WITHIN GROUP (ORDER BY embedding_model) AS embedding_model,
   mode() WITHIN GROUP (ORDER BY pipeline_version) AS pipeline_version
 FROM snapshot"""
 
@@ -466,15 +466,15 @@ def _register_statistics(r: Registry) -> None:
     def a3(spark, sf):
         return stats.decade_counts(Shared.of(spark, sf).snapshot)
 
-    @r.add("a4_summary", sql.upto("snapshot", _SUMMARY.format(median="median(production_budget)")))
+    @r.add("a4_summary", sql.upto("snapshot", _SUMMARY.format(run_time=RUN_TIME, median="median(production_budget)")))
     def a4(spark, sf):
-        return stats.summary(Shared.of(spark, sf).snapshot).drop("last_updated")
+        return plain(stats.summary(Shared.of(spark, sf).snapshot))
 
     nested = f"""
       SELECT s.*, {S.EMBEDDING_WIDTH} AS embedding_dimension,
         (SELECT string_agg(genre || '=' || count, ',' ORDER BY count DESC, genre) FROM ({genres})) AS movies_per_genre,
         (SELECT string_agg(decade || '=' || count, ',' ORDER BY decade) FROM ({decades})) AS movies_per_decade
-      FROM ({_SUMMARY.format(median="CAST(trunc(median(production_budget)) AS BIGINT)")}) s"""
+      FROM ({_SUMMARY.format(run_time=RUN_TIME, median="CAST(trunc(median(production_budget)) AS BIGINT)")}) s"""
 
     @r.add("a5_statistics", sql.upto("snapshot", nested))
     def a5(spark, sf):
@@ -482,7 +482,8 @@ def _register_statistics(r: Registry) -> None:
             pair = lambda e: F.concat(e[name].cast("string"), F.lit("="), e["count"].cast("string"))
             return F.array_join(F.transform(column, pair), ",")
 
-        return stats.statistics(Shared.of(spark, sf).snapshot).drop("last_updated").withColumns({
+        return stats.statistics(Shared.of(spark, sf).snapshot).withColumns({
+            "last_updated": F.date_format("last_updated", "yyyy-MM-dd HH:mm:ss"),
             "movies_per_genre": listed("movies_per_genre", "genre"),
             "movies_per_decade": listed("movies_per_decade", "decade"),
         })
@@ -518,9 +519,11 @@ def _register_statistics(r: Registry) -> None:
         rows = export.export_rows(Shared.of(spark, sf).snapshot)
         return plain(rows.withColumn("width", F.size("embedding").cast("bigint")).drop("embedding"))
 
-    @r.add("x4_export_table")
+    @r.add("x4_export_table", sql.upto("snapshot", f"""
+        SELECT {plain_sql(exported)}, augmented_text AS text, true AS placed FROM snapshot WHERE embedding IS NOT NULL"""))
     def x4(spark, sf):
-        return plain(export.export_table(Shared.of(spark, sf).snapshot))
+        placed = F.col("x").isNotNull() & F.col("y").isNotNull() & ~F.isnan("x") & ~F.isnan("y")
+        return plain(export.export_table(Shared.of(spark, sf).snapshot).withColumn("placed", placed).drop("x", "y"))
 
 
 def register(r: Registry) -> None:

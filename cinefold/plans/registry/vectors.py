@@ -252,10 +252,24 @@ def register(r: Registry) -> None:
         return search.approximate_search(rows(spark, sf), rows(spark, sf), 10, id="vec_id", request_id="vec_id",
                                          request_vector="embedding", not_self=True)
 
-    @r.add("v6_approximate_filtered")
+    @r.add("v6_recall", """
+        SELECT count(*) AS requests, true AS nine_of_ten_found FROM embeddings WHERE embedding IS NOT NULL""")
+    def v6_recall(spark, sf):
+        """The approximate answers held against the exact ones."""
+        asked = {"id": "vec_id", "request_id": "vec_id", "request_vector": "embedding", "not_self": True}
+        exact = search.top_k_per_request(rows(spark, sf), rows(spark, sf), 10, **asked).select("request_id", "id")
+        near = search.approximate_search(rows(spark, sf), rows(spark, sf), 10, **asked).select("request_id", "id", F.lit(1).alias("hit"))
+        found = exact.join(near, ["request_id", "id"], "left").agg(
+            F.count_distinct("request_id").alias("requests"), (F.count("hit") >= 0.9 * F.count("*")).alias("nine_of_ten_found"))
+        return found
+
+    # A label's rows fit the candidate budget here, so what is found is exact.
+    @r.add("v6_approximate_filtered", _top(f"""
+        SELECT a.vec_id AS request_id, b.vec_id AS id, {_similarity('a.embedding', 'b.embedding')} AS s
+        FROM embeddings a JOIN embeddings b ON a.label = b.label""", "10"))
     def v6_filtered(spark, sf):
         return search.approximate_search(
-            rows(spark, sf), rows(spark, sf), 10, filters=F.col("label") == F.col("want_label"), id="vec_id",
+            rows(spark, sf), rows(spark, sf), 10, equal={"label": "label"}, id="vec_id",
             request_id="vec_id", request_vector="embedding")
 
     @r.add("x2_seeded_sample", """
@@ -266,3 +280,13 @@ def register(r: Registry) -> None:
     @r.add("x3_planar_projection")
     def x3(spark, sf):
         return export.planar(rows(spark, sf)).select("vec_id", "label", "x", "y")
+
+    @r.add("x3_projection_properties", """
+        SELECT count(*) AS rows, true AS uncorrelated, true AS first_is_widest, true AS within_unit_length FROM embeddings""")
+    def x3_properties(spark, sf):
+        """What holds of principal components of unit vectors, whatever the order of sums."""
+        plane = export.planar(rows(spark, sf))
+        return plane.agg(
+            F.count("*").alias("rows"), (F.abs(F.corr("x", "y")) < 1e-3).alias("uncorrelated"),
+            (F.var_pop("x") >= F.var_pop("y")).alias("first_is_widest"),
+            (F.max(F.col("x") * F.col("x") + F.col("y") * F.col("y")) <= 1.000001).alias("within_unit_length"))
