@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from cinefold.plans import enrichment
 from cinefold.plans.registry import collect
 from cinefold.plans.registry.base import Shared
-from cinefold.session import scratch_path, use_checkpoint_dir
+from cinefold.session import scratch_path, use_checkpoint_dir, use_package
 from cinefold.sources import snapshots
 
 HEADLINE = [
@@ -42,7 +42,7 @@ def main() -> None:
         .config("spark.python.sql.dataFrameDebugging.enabled", "false").getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    use_checkpoint_dir(spark, os.environ.get("BENCH_CHECKPOINTS", "/tmp/checkpoints/bench"))
+    use_checkpoint_dir(use_package(spark), os.environ.get("BENCH_CHECKPOINTS", "/tmp/checkpoints/bench"))
     queries, times = collect().queries, {}
 
     def timed(name, action):

@@ -10,6 +10,7 @@ adaptive execution splits its hot keys.
 
 from __future__ import annotations
 
+import os
 import threading
 import uuid
 from collections.abc import Iterator
@@ -36,6 +37,15 @@ def use_checkpoint_dir(spark: SparkSession, folder: str) -> SparkSession:
     return spark
 
 
+def use_package(spark: SparkSession) -> SparkSession:
+    """Let Python workers find this package where the driver found it; elsewhere it must be installed."""
+    folder = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    known = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if folder not in known.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [folder, known]))
+    return spark
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing else uses."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
-from cinefold.session import use_checkpoint_dir  # noqa: E402
+from cinefold.session import use_checkpoint_dir, use_package  # noqa: E402
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings "
           "pages benchmark labels conversations").split()
@@ -29,7 +29,7 @@ def make_spark() -> SparkSession:
         .config("spark.sql.debug.maxToStringFields", "1000").getOrCreate()
     )
     spark.sparkContext.setLogLevel("OFF")
-    return use_checkpoint_dir(spark, "/tmp/checkpoints/cinefold-tests")
+    return use_checkpoint_dir(use_package(spark), "/tmp/checkpoints/cinefold-tests")
 
 
 def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
