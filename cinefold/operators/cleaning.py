@@ -97,9 +97,9 @@ def drop_copies(frame: DataFrame, columns: Sequence[str], order: str = "ord") ->
 
 
 def add_key(frame: DataFrame, title: str = "title", date: str = "release_date") -> DataFrame:
-    return frame.withColumn("title_slug", text.slug(F.col(title))).withColumn(
+    return frame.withColumn("title_slug", text.slug_or_digest(F.col(title), text.slug(F.col(title)))).withColumn(
         "source_key",
-        text.natural_key(text.slug_or_digest(F.col(title), F.col("title_slug")), F.col(date)),
+        text.natural_key(F.col("title_slug"), F.col(date)),
     )
 
 

@@ -281,7 +281,7 @@ def _register_cleaning(r: Registry) -> None:
     @r.add("c12_repeated_titles", sql.upto("cleaned", """
         SELECT title_slug, count(*) AS rows FROM cleaned GROUP BY title_slug HAVING count(*) > 1"""))
     def c12(spark, sf):
-        rows = Shared.of(spark, sf).cleaned.withColumn("title_slug", text.slug(F.col("title")))
+        rows = Shared.of(spark, sf).cleaned.withColumn("title_slug", text.slug_or_digest(F.col("title"), text.slug(F.col("title"))))
         return cleaning.repeated_titles(rows)
 
     @r.add("c13_cleaning_report", sql.upto("keyed", f"SELECT {_REPORT} FROM ({_cleaning_sql()})"))

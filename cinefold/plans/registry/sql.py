@@ -46,6 +46,10 @@ def slug(x: str) -> str:
     return f"trim(regexp_replace(lower(strip_accents({x})), '[^a-z0-9]+', '-', 'g'), '-')"
 
 
+def key_slug(x: str) -> str:
+    return f"CASE WHEN {slug(x)} = '' THEN sha256({x}) ELSE {slug(x)} END"
+
+
 def rounded(x: str, digits: int) -> str:
     return f"round_even({x}, 0)" if digits == 0 else f"round_even(({x}) * {10**digits}, 0) / {10**digits}"
 
@@ -107,8 +111,8 @@ def _typed() -> str:
 
 
 _KEYED = f"""
-SELECT *, CAST(year(release_date) AS INT) AS release_year, {slug('title')} AS title_slug,
-  {slug('title')} || '::' || coalesce(strftime(release_date, '%Y-%m-%d'), 'undated') AS source_key
+SELECT *, CAST(year(release_date) AS INT) AS release_year, {key_slug('title')} AS title_slug,
+  {key_slug('title')} || '::' || coalesce(strftime(release_date, '%Y-%m-%d'), 'undated') AS source_key
 FROM typed"""
 
 _CLEANED = """

@@ -33,6 +33,7 @@ records AS (
   SELECT k AS ord,
     CASE WHEN k % 101 = 0 THEN CASE WHEN k % 2 = 0 THEN '   ' END
          WHEN k % 97 = 0 THEN CAST(k AS STRING)
+         WHEN k % 53 = 0 THEN TRANSLATE(CAST(k AS STRING), '0123456789', 'бвгджзклмн')
          WHEN k % 89 = 0 THEN 'Éa ' || p_name || ' ñ' || CAST(p_size AS STRING)
          WHEN k % 5 = 0 THEN '  ' || p_name || '    ' || CAST(p_size AS STRING) || ' '
          ELSE p_name || ' ' || CAST(p_size AS STRING) END AS `Title`,
