@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from cinefold import schemas as S
 from cinefold.functions import vector
-from cinefold.operators import export, requests, search
+from cinefold.operators import batch, export, requests, search
 from cinefold.operators.embedding import offline_embedder, embedded, wrong_widths
 from cinefold.plans.registry import Registry, sql
 from cinefold.plans.registry.base import Shared, plain, plain_sql
@@ -216,6 +216,27 @@ def register(r: Registry) -> None:
             equal={"major_genre": "genre", "mpaa_rating": "mpaa_rating", "decade": "decade"},
             minimum={"imdb_rating": "min_imdb_rating"})
 
+    judged = _JUDGED.replace("upper(lang)", "'ECONOMY'")
+
+    @r.add("v4_text_search", sql.upto(
+        "snapshot", f"""
+        SELECT j.request_id, j.invalid_param, t.rank, t.similarity, t.id, m.title,
+          CASE WHEN j.invalid_param IS NOT NULL THEN 'invalid' WHEN t.id IS NULL THEN 'no match' ELSE 'ok' END AS status
+        FROM judged j LEFT JOIN top t USING (request_id) LEFT JOIN snapshot m ON m.id = t.id""",
+        ("judged", judged), ("good", "SELECT * FROM judged WHERE invalid_param IS NULL"),
+        ("asked", sql.vectors("good", "request_id", "'search_query: ' || query")),
+        ("top", _top(f"""
+          SELECT g.request_id, m.id, g.top_k, {_similarity('a.embedding', 'm.embedding')} AS s
+          FROM good g JOIN asked a ON a.k = g.request_id JOIN snapshot m
+          ON (g.genre IS NULL OR m.major_genre = g.genre) AND (g.min_imdb_rating IS NULL OR m.imdb_rating >= g.min_imdb_rating)
+            AND (g.mpaa_rating IS NULL OR m.mpaa_rating = g.mpaa_rating) AND (g.decade IS NULL OR m.decade = g.decade)
+          WHERE m.embedding IS NOT NULL""", "top_k"))))
+    def v4_text(spark, sf):
+        shared = Shared.of(spark, sf)
+        asked = request_rows(spark, sf).withColumn(
+            "genre", F.when(F.col("request_id") % 3 == 0, "ECONOMY").when(F.col("request_id") % 3 == 1, F.lit("  ")))
+        return batch.search_texts(asked, shared.snapshot, offline_embedder(), "search_query:", ["id", "title"])
+
     @r.add("v4_batch_search_within_label", _top(f"""
         SELECT a.vec_id AS request_id, b.vec_id AS id, {_similarity('a.embedding', 'b.embedding')} AS s
         FROM embeddings a JOIN embeddings b ON a.label = b.label""", "10"))
