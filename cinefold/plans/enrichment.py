@@ -76,12 +76,16 @@ def run(
     done = enrich(raw, order, last_year, statistics, variants)
     done.rows = step_table(done.rows, "enriched")
     merged = merge.merge(stored, done.rows.drop(order), plan, version, run_time, force)
-    report = run_report(
+    return Run(merged, merged.snapshot, done.statistics, done.variants, whole_report(done, merged))
+
+
+def whole_report(done: Enriched, merged: merge.Merge) -> DataFrame:
+    """The reports of all five stages of a run."""
+    return run_report(
         stage_reports(done),
         merge.as_report(merge.embedding_report(merged), "embedding"),
         merge.as_report(merge.load_report(merged), "load"),
     )
-    return Run(merged, merged.snapshot, done.statistics, done.variants, report)
 
 
 def spelling_variants(raw: DataFrame, order: str = "ord") -> DataFrame:

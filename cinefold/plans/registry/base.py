@@ -73,10 +73,19 @@ class Shared:
         return self.done.rows
 
     @cached_property
-    def snapshot(self) -> DataFrame:
+    def merged(self) -> merge.Merge:
+        """The first run: everything enriched, into an empty catalogue."""
         empty = merge.empty_snapshot(self.spark)
-        rows = self.enriched.drop("ord")
-        return step_table(merge.merge(empty, rows, offline_embedder(), VERSION, run_time()).snapshot, "snapshot")
+        return merge.merge(empty, self.enriched.drop("ord"), offline_embedder(), VERSION, run_time())
+
+    @cached_property
+    def snapshot(self) -> DataFrame:
+        return step_table(self.merged.snapshot, "snapshot")
+
+    @property
+    def report(self) -> DataFrame:
+        """The run report of all five stages, but for the number of batches, which follows from the partitions."""
+        return enrichment.whole_report(self.done, self.merged).filter("issue <> 'batches'")
 
 
 def run_time():
