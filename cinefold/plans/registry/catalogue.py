@@ -183,177 +183,13 @@ def _first_run_sql() -> str:
     every, none = "count(*)", "count(*) * 0"
     counts = {"embedding": {"embedded": every, "reused": none, "failures": none},
               "load": {"inserted": every, "updated": none, "unchanged": none, "held_back": none, "total_rows": every}}
-    return " UNION ALL ".join(
-        f"SELECT '{stage}' AS stage, {sql.sql_text(i)} AS issue, {sql.sql_text(f)} AS field, "
-        f"CAST(coalesce({c}, 0) AS BIGINT) AS count, {sql.sql_text(a)} AS action, {d} AS detail FROM {source}"
-        for i, f, c, a, d in rows
-    )
-
-
-def _register_sources(r: Registry) -> None:
-    spaced = ", ".join(
-        f"{sql.q(n.replace(' ', '_'))} AS {sql.q(n)}" for n in S.SOURCE_COLUMNS
-    )
-
-    @r.add("s1_json_records", sql.upto("raw", f"SELECT ord, {spaced} FROM raw"))
-    def s1(spark, sf):
-        path = scratch_path(spark, "records")
-        Shared.of(spark, sf).landed.write.json(path)
-        return records.read_lines(spark, path)
-
-    @r.add("s2_column_names", sql.upto("named", "SELECT * FROM named"))
-    def s2(spark, sf):
-        return records.to_catalogue_names(records.normalise_names(Shared.of(spark, sf).landed))
-
-    @r.add("s3_column_contract", sql.upto("raw", f"SELECT ord, {spaced} FROM raw"))
-    def s3(spark, sf):
-        extra = records.normalise_names(Shared.of(spark, sf).landed.withColumn("Extra", F.lit("x")))
-        return records.require_columns(extra, keep=["ord"])
-
-    @r.add("s4_stored_state", sql.upto("snapshot", """
-        SELECT source_key, content_hash, augmented_text, embedding_model,
-               embedding IS NOT NULL AS has_embedding FROM snapshot"""))
-    def s4(spark, sf):
-        return stored_state(Shared.of(spark, sf).snapshot)
-
-    typed = {c: t for c, t in S.STORED_TYPES.items() if not c.startswith(("embedding", "pipeline"))}
-
-    @r.add("s5_typed_sink", sql.upto("enriched", f"SELECT {plain_sql(typed)} FROM enriched"))
-    def s5(spark, sf):
-        shared = Shared.of(spark, sf)
-        rows = features.augment(imputation.impute(shared.cleaned, shared.statistics))
-        return plain(rows.select(*typed))
-
-    @r.add("s8_run_report", sql.upto("enriched", f"SELECT {_REPORT} FROM ({_report_sql()})"))
-    def s8(spark, sf):
-        shared = Shared.of(spark, sf)
-        path = scratch_path(spark, "report")
-        snapshots.write_report(shared.report, path)
-        return _plain_report(spark.read.schema(S.REPORT_SCHEMA).json(path))
-
-    @r.add("s9_export_once", sql.upto("snapshot", "SELECT id, title, augmented_text AS text FROM snapshot"))
-    def s9(spark, sf):
-        rows = search.searchable(Shared.of(spark, sf).snapshot).select(
-            "id", "title", F.col("augmented_text").alias("text")
-        )
-        path = scratch_path(spark, "export")
-        snapshots.write_export(rows, path)
-        snapshots.write_export(rows.withColumn("title", F.lit("left alone")), path)
-        return spark.read.parquet(path)
-
-    faults = {
-        "title": "CASE WHEN ord % 41 = 0 THEN NULL ELSE title END",
-        "source_key": "CASE WHEN ord % 37 = 0 THEN 'same' ELSE source_key END",
-        "imdb_rating": "CASE WHEN ord % 13 = 0 THEN 10.5 ELSE CAST(imdb_rating AS DOUBLE) END",
-        "rt_rating": "CASE WHEN ord % 11 = 0 THEN -1 ELSE rt_rating END",
-        "running_time_min": "CASE WHEN ord % 17 = 0 THEN 0 ELSE running_time_min END",
-        "production_budget": "CASE WHEN ord % 19 = 0 THEN -production_budget ELSE production_budget END",
-        "imdb_votes": "CASE WHEN ord % 23 = 0 THEN -imdb_votes ELSE imdb_votes END",
-        "release_year": "CASE WHEN ord % 29 = 0 THEN 1800 ELSE release_year END",
-    }
-    others = ["imputed_fields", "augmented_text", "content_hash"]
-    broken = ", ".join([f"{e} AS {c}" for c, e in faults.items()] + others)
-    checks = [(f"not_null_{c}", f"{c} IS NULL") for c in quality.NOT_NULL]
-    checks += [("imdb_rating_range", "imdb_rating < 0 OR imdb_rating > 10"),
-               ("rt_rating_range", "rt_rating < 0 OR rt_rating > 100"),
-               ("runtime_positive", "running_time_min <= 0"),
-               ("budget_nonnegative", "production_budget < 0"),
-               ("votes_nonnegative", "imdb_votes < 0"),
-               ("year_range", "release_year < 1900 OR release_year > 2100")]
-    audit = " UNION ALL ".join(
-        f"SELECT '{n}' AS rule, count(*) AS violations FROM broken WHERE {c}" for n, c in checks
-    ) + " UNION ALL SELECT 'unique_source_key', CAST(count(*) - count(DISTINCT source_key) AS BIGINT) FROM broken"
-
-    @r.add("s10_constraint_audit", sql.upto("enriched", audit, ("broken", f"SELECT {broken} FROM enriched")))
-    def s10(spark, sf):
-        rows = Shared.of(spark, sf).enriched
-        return quality.audit(rows.selectExpr(*[f"{e} AS {c}" for c, e in faults.items()], *others))
-
-
-def _cleaning_sql() -> str:
-    values: list[tuple[str, str, str, str, str]] = []
-    for c in S.TEXT_COLUMNS:
-        values.append(("whitespace_or_type", c,
-                       f"count_if({c} IS NOT NULL AND {sql.collapse(c)} IS DISTINCT FROM {c})",
-                       "normalised to single-spaced text", "''"))
-    titled = f"{sql.collapse('title')} IS NOT NULL"
-    rating = sql.collapse("mpaa_rating")
-    date = sql.parsed("release_date")
-    values += [
-        ("missing_title", "title", f"count_if(NOT ({titled}))", "row dropped", "''"),
-        ("invalid_category", "mpaa_rating",
-         f"count_if({titled} AND {sql.certificate(rating)} IS DISTINCT FROM {rating})",
-         "mapped to the official certificates", "''"),
-        ("unparseable_date", "release_date",
-         f"count_if({titled} AND release_date IS NOT NULL AND {date} IS NULL)", "set to NULL", "''"),
-        ("missing_date", "release_date", f"count_if({titled} AND release_date IS NULL)", "left as NULL", "''"),
-        ("two_digit_year_rollover", "release_date",
-         f"count_if({titled} AND year({date}) > {S.LAST_RELEASE_YEAR})", "moved back 100 years", "''"),
-    ]
-    for c, (low, high) in S.NUMERIC_RANGES.items():
-        values.append(("out_of_range_or_non_numeric", c,
-                       f"count_if({titled} AND {c} IS NOT NULL AND ({sql.in_range(c, low, high)}) IS NULL)",
-                       f"set to NULL outside [{low:g}, {high:g}]", "''"))
-    values.append(("rows_in", "*", "count(*)", "read", "''"))
-    variants = " UNION ALL ".join(
-        f"SELECT 'cleaning', 'case_or_spacing_variant', '{c}', count(*), "
-        f"'replaced by the most common spelling', '' FROM normal JOIN variants "
-        f"ON field = '{c}' AND spelling = {c}"
-        for c in S.VOTED_COLUMNS
-    )
-    business = ", ".join([*sql.CATALOGUE_COLUMNS, "source_key"])
-    rows = f"(SELECT DISTINCT {business}, title_slug FROM keyed)"
-    keys = f"(SELECT DISTINCT source_key, title_slug FROM keyed)"
-    duplicates = f"""
-      SELECT 'cleaning', 'exact_duplicate_row', '*', (SELECT count(*) FROM keyed) - (SELECT count(*) FROM {rows}),
-        'kept the first occurrence', ''
-      UNION ALL SELECT 'cleaning', 'duplicate_natural_key', 'title + release_date',
-        (SELECT count(*) FROM {rows}) - (SELECT count(*) FROM {keys}), 'kept the first occurrence', ''
-      UNION ALL SELECT 'cleaning', 'repeated_title_kept', 'title',
-        CAST((SELECT coalesce(sum(n), 0) FROM (SELECT count(*) AS n FROM {keys} GROUP BY title_slug) WHERE n > 1) AS BIGINT),
-        'kept every row', ''
-      UNION ALL SELECT 'cleaning', 'rows_out', '*', (SELECT count(*) FROM {keys}), 'written', ''"""
-    return f"{_entries('cleaning', values, 'named')} UNION ALL {variants} UNION ALL {duplicates}"
-
-
-def _imputation_sql() -> str:
-    strategies = {
-        "imdb_rating": "median within genre, then overall median",
-        "rt_rating": "fitted line over the observed audience score, then genre median",
-        "running_time_min": "median within genre, then overall median",
-        "production_budget": "median within decade, then overall median",
-        **{n: f"constant '{v}'" for n, v in S.SENTINELS.items()},
-        **{n: "left as NULL" for n in S.LEFT_MISSING},
-    }
-    detail = "(SELECT CAST(pairs AS BIGINT) || ' pairs' FROM line)"
-    rows = [("missing_values", n, f"count_if({n} IS NULL)", how, detail if n == "rt_rating" else "''")
-            for n, how in strategies.items()]
-    return _entries("imputation", rows, "cleaned")
-
-
-def _feature_sql() -> str:
-    lengths = ("'mean ' || CAST(floor(avg(length(augmented_text))) AS BIGINT) || ' characters, longest ' "
-               "|| max(length(augmented_text))")
-    rows = [("derived_feature", n, f"count({n})", "created", "''")
-            for n in ("decade", "budget_tier", "rating_score_delta")]
-    rows += [("derived_feature", "blockbuster_flag", "count_if(blockbuster_flag)", "created", "''"),
-             ("derived_feature", "profit_ratio", "count(profit_ratio)", "created", "''"),
-             ("derived_feature", "augmented_text", "count(*)", "created", lengths)]
-    return _entries("features", rows, "enriched")
-
-
-def _first_run_sql() -> str:
-    """Embedding and load of a run into an empty catalogue: every row is new and gets a vector."""
-    counts = {"embedding": {"embedded": "count(*)", "reused": "0", "failures": "0"},
-              "load": {"inserted": "count(*)", "updated": "0", "unchanged": "0", "held_back": "0", "total_rows": "count(*)"}}
     return " UNION ALL ".join(
         f"SELECT '{stage}' AS stage, '{issue}' AS issue, '*' AS field, CAST({n} AS BIGINT) AS count, 'counted' AS action, '' AS detail FROM enriched"
         for stage, issues in counts.items() for issue, n in issues.items())
 
 
 def _report_sql() -> str:
-    parts = (_cleaning_sql(), _imputation_sql(), _feature_sql(), f"SELECT {_REPORT} FROM ({_first_run_sql()})")
-    return " UNION ALL ".join(parts)
+    return " UNION ALL ".join((_cleaning_sql(), _imputation_sql(), _feature_sql(), _first_run_sql()))
 
 
 def _plain_report(report):
