@@ -192,7 +192,8 @@ def estimates(vectors: DataFrame, least_vectors: int = LEAST_VECTORS) -> DataFra
     rows = keyed.select("*", starts)
     for _ in range(STEPS):
         away = rows.join(current, keys).select(*keys, *FEATURES, _distance("m", "r").alias("away"))
-        reach = away.groupBy(*keys).agg(F.percentile_approx("away", KEPT_SHARE, ACCURACY).alias("reach"))
+        # One row per group, written so that its size is known: joined as it is it would deal all rows by group.
+        reach = step_table(away.groupBy(*keys).agg(F.percentile_approx("away", KEPT_SHARE, ACCURACY).alias("reach")), "reach")
         inside = away.join(reach, keys).filter("away <= reach")
         current = step_table(_factor(inside.groupBy(*keys).agg(*_moments(shrink)), keys), "concentrated")
     best = current.groupBy("level", *GROUP).agg(F.min_by("start", F.struct("log_det", "start")).alias("start"))
