@@ -121,14 +121,16 @@ class Shard:
     def search(self, words: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int, float]]:
         """(passage, item, score) above the threshold, for passages ``words[start:end]``."""
         bound = np.concatenate([[0.0], np.cumsum(self.telling[words], dtype=np.float64)])
-        slack = 1e-4
+        slack, within = 1e-4, np.arange(BLOCK)
         for p in np.flatnonzero(bound[ends] - bound[starts] + self.easy + slack >= self.threshold).tolist():
             query = np.unique(self.column[words[starts[p]:ends[p]]])
             query = query[query > 0]
-            for b in np.flatnonzero(self.block[query].sum(axis=0) + slack >= self.threshold).tolist():
-                scores = self.impact[query, b * BLOCK:(b + 1) * BLOCK].sum(axis=0, dtype=np.float64)
+            alive = np.flatnonzero(self.block[query].sum(axis=0) + slack >= self.threshold)
+            if len(alive):
+                items = (alive[:, None] * BLOCK + within).ravel()
+                scores = self.impact[query][:, items].sum(axis=0, dtype=np.float64)
                 for j in np.flatnonzero(scores >= self.threshold).tolist():
-                    yield p, b * BLOCK + j, float(scores[j])
+                    yield p, int(items[j]), float(scores[j])
 
 
 def _found(shingled: set, sequence: np.ndarray) -> tuple[int, int]:
