@@ -1,8 +1,8 @@
 """Licence scanning: TF-IDF cosine of headers and licence files to templates, then inheritance by path.
 
 Template words are weighed by how few documents have them; a word that no template has weighs as much as the rarest.
-A document's headers are its runs of neighbouring lines that have a telling template word, and those lines alone; each is a sparse vector, compared
-with every template. The best one of ``HEADER`` or more names the document's own licence. A document that is like a template as a whole
+A line is looked at if it has a template word that is not an ``ORDINARY`` one, whatever its share of the documents. A document's headers are the runs of such
+lines, and up to ``WINDOW`` neighbours of a run; each is a sparse vector, compared with every template. The best one of ``HEADER`` or more names the document's own licence. A document that is like a template as a whole
 (``FILE`` or more) is a licence file, and the licence of its directory. A document without its own takes that of the nearest directory above it
 that has one: directories, not documents, are joined with all their ancestors.
 
@@ -27,7 +27,9 @@ from cinefold.session import step_table
 
 HEADER = 0.6
 FILE = 0.6
-TELLING = 0.05  # a template word in fewer documents than this share tells of a licence
+WINDOW = 6  # neighbouring lines that are compared together, besides whole runs
+#: Template words that tell of no licence; all other template words do, however many documents have them.
+ORDINARY = frozenset("2 3 a and any are as be by can either following in is it may not of or that the this to under v with without you".split())
 TERM = re.compile(r"\w+(?:[.-]\w+)*")
 #: The usual notices, by SPDX identifier.
 TEMPLATES: dict[str, Sequence[str]] = {
@@ -77,7 +79,8 @@ class Matcher:
         weigh = lambda df: math.log((1 + n) / (1 + df)) + 1
         names = {t for texts in templates.values() for text in texts for t in _terms(text)}
         self.weight, self.other = {t: weigh(found.get(t, 0)) for t in names}, weigh(1)
-        self.telling = {t for t in names if found.get(t, 0) <= TELLING * n}
+        each = [set(_terms(text)) for texts in templates.values() for text in texts]
+        self.telling = {t for own in each for t in (own - ORDINARY or own)}
         self.templates = []
         for name in sorted(templates):
             for text in templates[name]:
@@ -106,7 +109,8 @@ class Matcher:
         runs: list[tuple[int, int]] = []
         for i in telling:
             runs = [*runs[:-1], (runs[-1][0], i + 1)] if runs and runs[-1][1] == i else [*runs, (i, i + 1)]
-        for a, b in dict.fromkeys([*runs, *((i, i + 1) for i in telling)]):
+        windows = ((a, b) for first, end in runs for a in range(first, end) for b in range(a + 1, min(a + WINDOW, end) + 1))
+        for a, b in dict.fromkeys([*runs, *windows]):
             cosine, name = self.best(TERM.findall("\n".join(lines[a:b])))
             if name and cosine > top[0] + 1e-12:
                 top = (cosine, name, a)

@@ -143,6 +143,16 @@ def test_licence_headers_files_and_inheritance(spark):
     assert licences.licences(frame.filter("doc_id < 0")).collect() == []
 
 
+@pytest.mark.parametrize("n", [3, 90])
+def test_licences_that_many_documents_carry(spark, n):
+    """Two thirds of the rows have one notice, whether there are three rows or many."""
+    notice = "Released under the MIT License."
+    rows = [(i, f"{i % 3}/{i}", (notice, f"{PROSE}\nThe work is free to use\n{notice}\n{PROSE}", PROSE)[i % 3 if i != 3 else 1]) for i in range(n)]
+    got = {r.doc_id: (r.licence, r.origin, r.line) for r in licences.licences(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    assert len(got) == n and got[0] == ("MIT", "file", None) and got[2] == (None, "none", None)
+    assert all(got[i] == ("MIT", "header", 2) for i in range(1, n, 3))
+
+
 def test_cosine_by_hand():
     matcher = licences.Matcher({"A": ("x y",), "B": ("x z z",)}, 9, {"x": 8, "y": 0, "z": 1})
     weigh = lambda df: math.log(10 / (1 + df)) + 1
