@@ -4,7 +4,7 @@ import datetime as dt
 import hashlib
 
 import pytest
-from conftest import RECORDS, ROWS_OUT
+from records import RECORDS, ROWS_OUT
 from pyspark.sql import functions as F
 
 from cinefold import schemas as S

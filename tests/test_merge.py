@@ -1,7 +1,7 @@
 from __future__ import annotations
 
 import pytest
-from conftest import ROWS_OUT
+from records import ROWS_OUT
 from pyspark.sql import functions as F
 
 from cinefold.operators import merge

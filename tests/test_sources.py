@@ -3,7 +3,7 @@ from __future__ import annotations
 import json
 
 import pytest
-from conftest import RECORDS, record
+from records import RECORDS, record
 from pyspark.sql import functions as F
 
 from cinefold import schemas as S
