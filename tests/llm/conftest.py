@@ -8,14 +8,12 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
+from prose import PROSE  # noqa: E402
+
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: Columns that a caller may have, under names that operators use inside.
 CLASH = "row string, size long, words string, kept string, copies int"
 
-PROSE = ("the river ran past old mills and the children counted boats until evening came over quiet fields while "
-         "a wind moved slowly through tall grass beside the long road that led home again before night fell")
-
-
 @pytest.fixture(scope="session")
 def make(spark):
     """A documents table from (doc_id, text[, source[, lang]]), with clashing extra columns."""

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from cinefold.llm import contamination, mixing, outliers, packing, queries, simhash
 from cinefold.llm.common import table
-from conftest import PROSE
+from prose import PROSE
 
 
 def _targets(sizes):

@@ -8,7 +8,7 @@ import brute
 import numpy as np
 import pytest
 from cinefold.llm import queries, simhash, suffixes, warc
-from conftest import PROSE
+from prose import PROSE
 
 
 def test_fingerprints_and_components(spark, sf_dir, texts):

@@ -9,7 +9,7 @@ import brute
 import numpy as np
 import pytest
 from cinefold.llm import contamination, licences, outliers, personal, queries, secret_scan
-from conftest import PROSE
+from prose import PROSE
 from pyspark.sql import functions as F
 
 
