@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cinefold.llm import contamination, licences, mixing, outliers, packing, personal, secret_scan, simhash, suffixes, warc
+from cinefold.llm import contamination, infilling, licences, mixing, outliers, packing, personal, secret_scan, simhash, suffixes, warc
 from cinefold.llm.common import n_words, table
 
 
@@ -63,10 +63,33 @@ def op10_cube_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op12_infilling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = infilling.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    hashed = lambda text: F.sha2(text, 256)
+    return found.select("row.doc_id", "n", "form", F.char_length("prefix").cast("long").alias("prefix_chars"),
+                        F.char_length("middle").cast("long").alias("middle_chars"), hashed("output").alias("output_sha256"),
+                        hashed(infilling.restored(F.col("output"), F.col("form"))).alias("restored_sha256"))
+
+
 QUERIES = [op1_token_packing, op2_covariance_outliers, op3_bootstrapped_pii, op4_forest_secrets, op5_suffix_repeats,
-           op6_licence_inheritance, op7_simhash_anchors, op8_warc_chains, op9_bm25_decontamination, op10_cube_mixing]
+           op6_licence_inheritance, op7_simhash_anchors, op8_warc_chains, op9_bm25_decontamination, op10_cube_mixing,
+           op12_infilling]
 #: The others need hashes, models or draws that SQL does not have; the tests hold them against brute force.
 CHECKS: dict[str, str] = {
+    "op12_infilling": r"""
+        WITH drawn AS (SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
+            regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS units FROM documents),
+          cut AS (SELECT *, CAST(len(units) AS BIGINT) AS n, list_transform([1, 9, 17, 25], lambda i: CAST('0x' || substr(h, i, 8) AS BIGINT)) AS d FROM drawn),
+          formed AS (SELECT *, least(d[1] % (n + 1), d[2] % (n + 1)) AS a, greatest(d[1] % (n + 1), d[2] % (n + 1)) AS b,
+            CASE WHEN text = '' OR regexp_matches(text, '<[PSM]>') OR d[3] % 100 >= 50 THEN 'plain' WHEN d[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+            FROM cut),
+          parts AS (SELECT *, array_to_string(units[1:a], '') AS prefix, array_to_string(units[a + 1:b], '') AS middle,
+            array_to_string(units[b + 1:n], '') AS suffix FROM formed)
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars,
+          CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+          sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+            ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(text) AS restored_sha256
+        FROM parts""",
     "op8_warc_chains": """
         SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
           CASE WHEN again THEN first_id END AS refers_to
