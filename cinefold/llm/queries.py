@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cinefold.llm import contamination, infilling, licences, mixing, outliers, packing, personal, secret_scan, simhash, suffixes, warc
+from cinefold.llm import (contamination, infilling, licences, mixing, outliers, packing, personal, secret_scan, simhash, streaming_packing,
+                          suffixes, warc)
 from cinefold.llm.common import n_words, table
 
 
@@ -71,9 +72,14 @@ def op12_infilling(spark: SparkSession, sf_dir: str) -> DataFrame:
                         hashed(infilling.restored(F.col("output"), F.col("form"))).alias("restored_sha256"))
 
 
+def op13_streaming_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = streaming_packing.segments(streaming_packing.pack(table(spark, sf_dir, "documents")))
+    return pieces.select("doc_id", "start", "length", F.crc32("input_ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 QUERIES = [op1_token_packing, op2_covariance_outliers, op3_bootstrapped_pii, op4_forest_secrets, op5_suffix_repeats,
            op6_licence_inheritance, op7_simhash_anchors, op8_warc_chains, op9_bm25_decontamination, op10_cube_mixing,
-           op12_infilling]
+           op12_infilling, op13_streaming_packing]
 #: The others need hashes, models or draws that SQL does not have; the tests hold them against brute force.
 CHECKS: dict[str, str] = {
     "op12_infilling": r"""
