@@ -142,7 +142,7 @@ def _every(initials, faults):
             if any(faults[i] in ("blank", "duplicate") for i in kept):
                 continue
             total = len(kept) + sum(inserts)
-            pattern, at, good = ("s" if total % 2 else "") + "ua" * (total // 2), 0, True
+            pattern, at, good = ("s" if total % 2 else "") + "ua" * (total // 2), 0, total != 1
             row = 0
             for c in audit:
                 if c == "D":
