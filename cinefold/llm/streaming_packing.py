@@ -41,8 +41,15 @@ MERGE = 8192
 SLICE = 1 << 18  # bytes of text encoded at once
 FLUSH = 512  # sequences written at once
 
-#: Where a text can be cut without changing its ids: this vocabulary's pre-tokens hold a blank at their beginning only.
-BORDER = re.compile(r"(?<=\w)(?= )")
+#: Runs of text whose ids do not depend on what is around them: this vocabulary's pre-tokens never go on from a word to white space, nor from
+#: letters to a mark. White space is Unicode's, so four control characters that Python adds to it count as word characters.
+_LETTERS, _WORD, _SPACE = "A-Za-zÀ-ÖØ-öø-ɏ", r"[\S\x1c-\x1f]", r"[^\S\x1c-\x1f]"
+UNIT = re.compile(rf" ?[{_LETTERS}]+(?=[\s!-/:-@\[-`{{-~]|\Z)|{_SPACE}*{_WORD}+|{_SPACE}+")
+KNOWN = 400_000  # units whose ids a worker remembers
+SHORT = 64  # longer ones are not remembered
+PLAIN = re.compile(rf" ?{_WORD}+")  # such units can be encoded together, with a line break, which is one id, between them
+BREAK = "\n"
+
 SCHEMA = ("sequence_id long, open boolean, n_tokens int, doc_ids array<long>, starts array<long>, lengths array<long>, doc_tokens array<long>,"
           " cu_seqlens array<int>, input_ids binary")
 
@@ -57,29 +64,43 @@ def tokenizer(vocabulary: str):
     return made
 
 
-def text_parts(text: str, limit: int = SLICE) -> list[str]:
-    """A long text in parts whose ids, put together, are those of the text."""
-    out, start = [], 0
-    while len(text) - start > limit and (border := BORDER.search(text, start + limit)):
-        out.append(text[start:border.start()])
-        start = border.start()
-    return [*out, text[start:]]
+class Encoder:
+    """Ids of whole texts. Units that come again, as most words do, are encoded once per worker."""
+
+    def __init__(self, vocabulary: str):
+        self.bpe, self.known = tokenizer(vocabulary), {}
+        self.stop = self._ids(BREAK)[0]
+
+    def _ids(self, text: str) -> list[int]:
+        return self.bpe.encode(text, add_special_tokens=False).ids
+
+    def _learn(self, units: set[str]) -> None:
+        plain = [u for u in units if PLAIN.fullmatch(u)]
+        ids = np.array(self._ids(BREAK.join(plain)) if plain else [], "<u4")
+        ends = [*np.flatnonzero(ids == self.stop).tolist(), len(ids)]
+        held, start = ids.tobytes(), 0
+        for unit, end in zip(plain, ends):
+            self.known[unit] = held[4 * start:4 * end]
+            start = end + 1
+        for unit in units.difference(plain):
+            self.known[unit] = np.array(self._ids(unit), "<u4").tobytes()
+
+    def __call__(self, texts: list[str], end_id: int) -> Iterator[np.ndarray]:
+        """The ids of each text and the end id."""
+        if len(self.known) > KNOWN:
+            self.known.clear()
+        units = [UNIT.findall(text) for text in texts]
+        new = set().union(*units).difference(self.known)
+        long = {u: np.array(self._ids(u), "<u4").tobytes() for u in new if len(u) > SHORT}
+        self._learn(new.difference(long))
+        known, end = self.known, np.array([end_id], "<u4").tobytes()
+        for own in units:
+            yield np.frombuffer(b"".join([long[u] if u in long else known[u] for u in own] if long else map(known.__getitem__, own)) + end, "<u4")
 
 
-def encoded(texts: list[str], vocabulary: str, end_id: int) -> Iterator[np.ndarray]:
-    """The ids of each text and the end id."""
-    parts = [text_parts(text) for text in texts]
-    flat = [p for own in parts for p in own]
-    groups, held = [[]], 0
-    for p in flat:
-        if groups[-1] and held + len(p) > SLICE:
-            groups.append([])
-            held = 0
-        groups[-1].append(p)
-        held += len(p)
-    ids = (np.array(e.ids, "<u4") for g in groups for e in tokenizer(vocabulary).encode_batch(g, add_special_tokens=False))
-    for own in parts:
-        yield np.concatenate([*(next(ids) for _ in own), np.array([end_id], "<u4")])
+@lru_cache(maxsize=2)
+def encoder(vocabulary: str) -> Encoder:
+    return Encoder(vocabulary)
 
 
 class Windows:
@@ -184,7 +205,7 @@ def pack(docs: DataFrame, vocabulary: str = VOCABULARY, length: int = LENGTH, wi
     def documents(batch: pa.RecordBatch) -> Iterator[tuple]:
         for part in slices(batch, "text", SLICE):
             texts = [text or "" for text in part.column("text").to_pylist()]
-            for doc_id, ids in zip(part.column("doc_id").to_pylist(), encoded(texts, vocabulary, end_id)):
+            for doc_id, ids in zip(part.column("doc_id").to_pylist(), encoder(vocabulary)(texts, end_id)):
                 yield doc_id, 0, len(ids), ids
 
     def leftovers(batch: pa.RecordBatch) -> Iterator[tuple]:

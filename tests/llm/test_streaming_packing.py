@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 from cinefold.llm import queries, streaming_packing
-from cinefold.llm.streaming_packing import LENGTH, VOCABULARY, Windows, encoded, text_parts
+from cinefold.llm.streaming_packing import LENGTH, VOCABULARY, Windows
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -101,11 +101,18 @@ def test_best_fit_and_bound():
     assert emitted == want
 
 
-def test_parts_of_a_long_text_have_its_ids():
-    text = "The  old mill's wheel\n\n turns 12 34,5 \U0001f600 été  <|endoftext|> " * 200 + "y" * 500
-    whole = _ids(text)
-    for limit in (1, 10, 1000):
-        parts = text_parts(text, limit)
-        assert "".join(parts) == text and (limit == 1000 or len(parts) > 100)
-        assert [i for p in parts for i in _ids(p)[:-1]] == whole[:-1]
-    assert [e.tolist() for e in encoded([text, ""], VOCABULARY, 1)] == [whole, [1]]
+SIGNS = ["a", "B", "é", "ß", "ɏ", "ʒ", "я", "中", "1", "²", "Ⅷ", "'", "'s", "'ll", ".", "!", "_", "-", "÷", " ", "  ", "\n", "\t", "\r", "\x0b", "\x1c", "\x1f", "\x85",
+         "\xa0", "\u2003", "\u3000", "\u200b", "\u0301", "\U0001f600", "<|endoftext|>", " the", " and", "x" * 70]
+
+
+@pytest.mark.parametrize("known", [20, 400_000])
+def test_ids_are_those_of_the_whole_text(monkeypatch, texts, known):
+    monkeypatch.setattr(streaming_packing, "KNOWN", known)
+    rng = np.random.default_rng(3)
+    mixed = ["".join(rng.choice(SIGNS, int(rng.integers(1, 30)))) for _ in range(3000)] + [t or "" for _, t in texts[:60]] + ["", "y" * 5000]
+    own = streaming_packing.Encoder(VOCABULARY)
+    for i in range(0, len(mixed), 200):
+        part = mixed[i:i + 200]
+        assert [ids.tolist() for ids in own(part, 1)] == [_ids(t) for t in part]
+    list(own(["a b"], 1))
+    assert len(own.known) == 2 if known == 20 else len(own.known) > 1000
