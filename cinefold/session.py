@@ -13,7 +13,7 @@ from __future__ import annotations
 import os
 import threading
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -53,10 +53,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 def step_table(frame: DataFrame, name: str) -> DataFrame:
     """Write ``frame`` once and continue from the written table."""
+    return _written(frame, name, _scopes())
+
+
+def _written(frame: DataFrame, name: str, scopes: list[list[str]]) -> DataFrame:
     spark = frame.sparkSession
     path = scratch_path(spark, name)
     frame.write.parquet(path)
-    for paths in _scopes():
+    for paths in scopes:
         paths.append(path)
     return spark.read.schema(frame.schema).parquet(path)
 
@@ -72,15 +76,17 @@ def _scopes() -> list[list[str]]:
 
 
 @contextmanager
-def dropping_steps(spark: SparkSession) -> Iterator[None]:
+def dropping_steps(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
     """Delete the step tables written inside the block when it ends.
 
-    Write the wanted results before: frames that read a step table are of no use after.
+    Write the wanted results before: frames that read a step table are of no use after. The block gets a
+    function like ``step_table`` whose tables outlive it, until an outer block ends.
     """
     paths: list[str] = []
+    outer = list(_scopes())
     _scopes().append(paths)
     try:
-        yield
+        yield lambda frame, name: _written(frame, name, outer)
     finally:
         _scopes().pop()
         for path in paths:
