@@ -96,3 +96,23 @@ def bins_of_best_fit(lengths, capacity):
         left[b] -= lengths[item]
         out[item] = left[b]
     return sorted(left), out
+
+
+def five_words(text):
+    words = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    return {tuple(words[i:i + 5]) for i in range(len(words) - 4)} or ({tuple(words)} if words else set())
+
+
+def first_of_near_copies(rows):
+    """Ids that are the least of their component, by comparing every pair."""
+    sets = {d: five_words(t) for d, t in rows}
+    label = {d: d for d in sets}
+    alike = [(a, b) for a in sets for b in sets if a < b and (sets[a] == sets[b] or 9 * len(sets[a] & sets[b]) >= 4 * (len(sets[a]) + len(sets[b])))]
+    changed = True
+    while changed:
+        changed = False
+        for a, b in alike:
+            if label[a] != label[b]:
+                label[a] = label[b] = min(label[a], label[b])
+                changed = True
+    return {d for d in sets if label[d] == d}

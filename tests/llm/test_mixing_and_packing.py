@@ -153,8 +153,7 @@ def test_pipeline_stage_by_stage(spark, sf_dir):
     left = {r.doc_id for r in first.collect()}
     assert left == {d for d, v in verdict.items() if v.kept} and all(not brute.statistics(rows[d])[-1] for d in left)
     second = corpus_pipeline.near_copies(spark, first, sf_dir)
-    least = brute.components({d: brute.fingerprint(rows[d]) for d in left})
-    left = {d for d in left if least[d] == d}
+    left = brute.first_of_near_copies([(d, rows[d]) for d in left])
     assert {r.doc_id for r in second.collect()} == left
     third = corpus_pipeline.decontamination(spark, second, sf_dir)
     leaks = {r.doc_id for r in contamination.matches(second, table(spark, sf_dir, "benchmark")).collect()}
