@@ -15,11 +15,10 @@ import time
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from cinefold.plans import enrichment
+from cinefold.plans import refresh
 from cinefold.plans.registry import collect
 from cinefold.plans.registry.base import Shared
 from cinefold.session import scratch_path, use_checkpoint_dir, use_package
-from cinefold.sources import snapshots
 
 HEADLINE = [
     "v2_hybrid_search", "v3_all_neighbours", "v4_batch_search", "v4_batch_search_within_label",
@@ -59,10 +58,8 @@ def main() -> None:
 
     def run(day):
         """One enrichment run against the catalogue in its folder, reports included."""
-        stored = snapshots.read_catalogue(spark, path).drop("bucket")
-        out = enrichment.run(shared.raw, stored, F.lit(f"2024-01-{day} 00:00:00").cast("timestamp"))
-        out.report.collect()
-        snapshots.renew_catalogue(out.merged, path)
+        when = F.lit(f"2024-01-{day} 00:00:00").cast("timestamp")
+        refresh.refresh(shared.raw, path, when).report.collect()
 
     timed("first_run", lambda: run("01"))
     timed("second_run", lambda: run("02"))

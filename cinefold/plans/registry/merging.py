@@ -15,9 +15,11 @@ from cinefold import schemas as S
 from cinefold.functions import text
 from cinefold.operators import embedding, features, merge
 from cinefold.operators.embedding import Rejected, hashed_words
+from cinefold.plans import refresh
 from cinefold.plans.registry import Registry, sql
 from cinefold.plans.registry.base import RUN_TIME, VERSION, Shared, plain, plain_sql
-from cinefold.session import step_table
+from cinefold.session import scratch_path, step_table
+from cinefold.sources import deltas
 
 MODEL = "hashed-words-64"
 REFUSED = "Runtime: 99 minutes"
@@ -197,16 +199,35 @@ def register(r: Registry) -> None:
     from_i, from_s = plain_sql(typed, "i."), plain_sql(typed, "s.")
     new = "action IN ('inserted', 'updated')"
 
-    @r.add("m1_merged_snapshot", _merged(f"""
+    merged_snapshot = _merged(f"""
         SELECT source_key, {from_i}, model AS embedding_model, '{VERSION}' AS pipeline_version
         FROM judged WHERE {new}
         UNION ALL
         SELECT source_key, {from_s}, s.embedding_model, s.pipeline_version
-        FROM judged WHERE action IN ('kept', 'unchanged')"""))
+        FROM judged WHERE action IN ('kept', 'unchanged')""")
+
+    @r.add("m1_merged_snapshot", merged_snapshot)
     def m1(spark, sf):
         snapshot = merged_rows(Shared.of(spark, sf)).snapshot
         return plain(snapshot.select("source_key", *typed, "embedding_model", "pipeline_version"))
 
+    def delta_catalogue(spark, sf, share):
+        """The stored rows as base of a catalogue, then the run on top of it."""
+        shared, path = Shared.of(spark, sf), scratch_path(spark, "delta-catalogue")
+        old = stored_rows(shared)
+        first = old.withColumns({"action": F.lit("inserted"), "needed": F.lit(False), "embed_error": F.lit(None).cast("string")})
+        deltas.commit(spark, path, merge.Merge(old.select("source_key", F.lit("touched").alias("action")), first, old))
+        deltas.commit(spark, path, merged_rows(shared), share=share)
+        return plain(deltas.read(spark, path).select("source_key", *typed, "embedding_model", "pipeline_version"))
+
+    @r.add("m1_delta_catalogue", merged_snapshot)
+    def m1_deltas(spark, sf):
+        return delta_catalogue(spark, sf, 1.0)
+
+    @r.add("m1_compacted_catalogue", merged_snapshot)
+    def m1_compacted(spark, sf):
+        return delta_catalogue(spark, sf, 0.0)
+
     @r.add("m2_kept_vectors", _merged(f"""
         SELECT source_key, {vector_digits_sql(f"CASE WHEN {new} THEN coalesce(arrived, s.embedding) ELSE s.embedding END")}
           AS embedding,
@@ -248,3 +269,15 @@ def register(r: Registry) -> None:
         second = merge.merge(stored, incoming, plan, VERSION, F.lit(LATER).cast("timestamp"))
         embedded = merge.embedding_report(second).select((F.col("embedded") > 0).alias("embedded")).first()[0]
         return merge.action_counts(second).withColumn("embedded", F.lit(embedded))
+
+    @r.add("m5_unchanged_run", sql.upto("snapshot", """
+        SELECT 'first' AS run, 'inserted' AS issue, count(*) AS count FROM snapshot
+        UNION ALL SELECT 'second', 'unchanged', count(*) FROM snapshot
+        UNION ALL SELECT 'second', 'reused', count(*) FROM snapshot"""))
+    def m5_unchanged(spark, sf):
+        """Two runs on the same records against a catalogue of deltas."""
+        shared, path = Shared.of(spark, sf), scratch_path(spark, "refreshed")
+        when = F.lit(RUN_TIME).cast("timestamp")
+        reports = [refresh.refresh(shared.raw, path, when).report.withColumn("run", F.lit(run)) for run in ("first", "second")]
+        both = reports[0].unionByName(reports[1]).filter("stage IN ('embedding', 'load') AND issue IN ('inserted', 'updated', 'unchanged', 'reused', 'failures')")
+        return both.filter("count > 0").select("run", "issue", "count")
