@@ -45,7 +45,7 @@ FLUSH = 512  # sequences written at once
 #: letters to a mark. White space is Unicode's, so four control characters that Python adds to it count as word characters.
 _LETTERS, _WORD, _SPACE = "A-Za-zÀ-ÖØ-öø-ɏ", r"[\S\x1c-\x1f]", r"[^\S\x1c-\x1f]"
 UNIT = re.compile(rf" ?[{_LETTERS}]+(?=[\s!-/:-@\[-`{{-~]|\Z)|{_SPACE}*{_WORD}+|{_SPACE}+")
-KNOWN = 400_000  # units whose ids a worker remembers
+KNOWN = 900_000  # units whose ids a worker remembers, some 200 MB
 SHORT = 64  # longer ones are not remembered
 PLAIN = re.compile(rf" ?{_WORD}+")  # such units can be encoded together, with a line break, which is one id, between them
 BREAK = "\n"
