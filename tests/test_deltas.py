@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from records import ROWS_OUT
 
 from cinefold.operators import embedding, merge
+from cinefold.operators.embedding import Embedder, Rejected, hashed_words
 from cinefold.plans import refresh
 from cinefold.sources import deltas
 
@@ -17,6 +18,21 @@ def at(day):
     return F.lit(f"2024-03-{day:02d} 00:00:00").cast("timestamp")
 
 
+def unable():
+    """An embedder whose service answers the probe only."""
+    def connect():
+        service = hashed_words()
+
+        def embed(texts):
+            if texts != ["dimension probe"]:
+                raise Rejected("not now")
+            return service(texts)
+
+        return embed
+
+    return Embedder(embedding.offline_embedder().model, connect)
+
+
 def rows(frame):
     return sorted(map(str, frame.collect()))
 
@@ -95,16 +111,8 @@ def test_what_makes_a_run_necessary(spark, raw, tmp_path):
 
 
 def test_rows_without_a_vector_are_tried_again(spark, raw, tmp_path):
-    path, model = str(tmp_path), embedding.offline_embedder().model
-
-    def broken():
-        def embed(texts):
-            if texts != ["dimension probe"]:
-                raise embedding.Rejected("not now")
-            return [[0.0] * embedding.offline_embedder().width]
-        return embed
-
-    failed = refresh.refresh(raw, path, at(1), plan=embedding.Embedder(model, broken))
+    path = str(tmp_path)
+    failed = refresh.refresh(raw, path, at(1), plan=unable())
     assert failed.commit.pending == ROWS_OUT and counts(failed.report)["held_back"] == ROWS_OUT
     mended = refresh.refresh(raw, path, at(2))
     assert mended.changed and counts(mended.report)["inserted"] == ROWS_OUT
