@@ -215,7 +215,31 @@ def test_item_longer_than_a_part(spark, make):
     words = ["".join(rng.choice(list("bcdfgaeiou"), 6)) for _ in range(400)]
     items = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
     got = contamination.matches(make([(1, "so " + " ".join(words) + " it is"), (2, " ".join(words[:100]))]), items).collect()
-    assert {r.doc_id for r in got} == {1} and {r.passage for r in got} >= {0, 1}
+    assert [(r.doc_id, r.item_id) for r in got] == [(1, 1)]  # one row per document and item, whatever its number of parts
+
+
+@pytest.mark.parametrize("n", [129, 130, 256, 300])
+def test_long_items_are_judged_whole(spark, make, n):
+    rng = np.random.default_rng(n)
+    words = ["".join(rng.choice(list("bcdfgaeiou"), 6)) for _ in range(n)]
+    fill = lambda k: " ".join(rng.choice(PROSE.split(), k))
+    item = " ".join(words[:n - 6]) + "\n" + " ".join(words[n - 6:])
+    cut = n // 2
+    docs = [(1, f"{fill(300)} {' '.join(words)} {fill(300)}"), (2, f"{fill(90)} {words[-1]} {fill(90)}"), (3, f"{fill(50)} {' '.join(words[-5:])} {fill(50)}"),
+            (4, " ".join(words[:cut]) + fill(5)), (5, f"{' '.join(words[:cut + 4])} {fill(700)} {' '.join(words[cut:])}"),
+            (6, " ".join(words[:n - 6])), (7, " ".join(words[n // 8:]))]
+    benchmark = spark.createDataFrame([(1, item), (2, item.split("\n")[0])], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.overlap for r in contamination.matches(make(docs), benchmark).collect()}
+    apart = {(5, 2)} if n - 6 > contamination.PART else set()  # an item of one part must lie in one passage
+    assert set(got) == {(1, 1), (1, 2), (5, 1), (6, 2), (7, 1), (7, 2)} | apart and got[1, 1] == got[5, 1] == 1.0
+    assert {r.doc_id for r in contamination.drop_contaminated(make(docs), benchmark).collect()} == {2, 3, 4}
+
+
+def test_parts_cover_an_item_and_are_full():
+    for n in range(1, 700):
+        starts = contamination.part_starts(n)
+        assert {i for k in starts for i in range(k, min(n, k + contamination.PART))} == set(range(n))
+        assert len(set(starts)) == len(starts) and (n <= contamination.PART or all(k + contamination.PART <= n for k in starts))
 
 
 def test_bounds_never_pass_over_a_match():
