@@ -29,7 +29,7 @@ def op3_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_forest_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "position", "word", F.sha2("token", 256).alias("token_sha256"), "score", "kept")
+    return found.select("doc_id", "position", "word", "part", F.sha2("token", 256).alias("token_sha256"), "score", "kept")
 
 
 def op5_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,9 +117,12 @@ def _repair_sql() -> str:
             CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
             unnest(CASE kind WHEN 0 THEN [] WHEN 3 THEN [1, 2] ELSE [1] END) AS copy FROM kinds),
           placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i, left(role, 1) AS initial FROM damaged),
-          flagged AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 'blank'
+          flagged AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^ 	-
+]') THEN 'blank'
               WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
-              WHEN regexp_extract(text, '([^ 	-])[ 	-]*$', 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE 'none' END AS fault,
+              WHEN regexp_extract(text, '([^ 	-
+])[ 	-
+]*$', 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE 'none' END AS fault,
             lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial AS pair FROM placed),
           ways AS (SELECT conv_id, CAST(0 AS BIGINT) AS i, {named(start, "b")} FROM (SELECT DISTINCT conv_id FROM placed)
             UNION ALL SELECT conv_id, i, {named(rows, "b")} FROM (

@@ -123,6 +123,34 @@ def test_secrets_on_held_out_findings(make):
     assert len(scanned) == 200 and sum(right) >= 0.97 * len(right)
 
 
+def test_secret_candidates_of_a_word(make):
+    key, aws, hub = "wJalrXUtnFEMIK7MDENGbPxRfiCYz3KEY0abcdef", "AKIA" + "Q2" * 8, "ghp_" + "a1B2" * 9
+    rows = [(1, f'set aws_secret_access_key="{key}" now'), (2, f'{{"a":"{aws}","b":"{hub}"}}'), (3, "at postgres://admin:h4nter22@host/db then"),
+            (4, "password=hunter2secret token: short=1"), (5, f"{aws}:{key},{hub}"), (6, "see https://example.org/a-page-of-many-words mail someone.with.name@example.org"),
+            (7, "pass=c2VjcmV0LXZhbHVlLTE=="), (8, "api_key: k9Qm2Zx81LpWq7Tn password = hunter2secret99x"), (8, "api_key: k9Qm2Zx81LpWq7Tn password = hunter2secret99x")]
+    got = secret_scan.candidates(make(rows)).collect()
+    told = sorted((r.doc_id, r.position, r.part, r.before, r.token) for r in got if r.doc_id != 8)
+    assert told == [(1, 1, 0, "aws_secret_access_key", key), (2, 0, 0, "a", aws), (2, 0, 1, "b", hub), (3, 1, 0, "admin", "h4nter22"), (4, 0, 0, "password", "hunter2secret"),
+                    (5, 0, 0, "", aws), (5, 0, 1, "", key), (5, 0, 2, "", hub), (6, 1, 0, "see", "org/a-page-of-many-words"), (7, 0, 0, "pass", "c2VjcmV0LXZhbHVlLTE==")]
+    assert sorted(r.token for r in got if r.doc_id == 8) == ["hunter2secret99x"] * 2 + ["k9Qm2Zx81LpWq7Tn"] * 2
+    label = {(r.doc_id, r.token): r.secret for r in secret_scan.labelled_by_format(secret_scan.candidates(make(rows))).collect()}
+    assert label[3, "h4nter22"] == label[2, aws] == label[2, hub] == label[4, "hunter2secret"] == label[8, "hunter2secret99x"] == 1.0
+    assert label[6, "org/a-page-of-many-words"] == 0.0 and (1, key) not in label
+
+
+def test_secrets_of_a_format_not_trained_on(make):
+    rng = np.random.default_rng(10)
+    drawn = lambda n, of: "".join(rng.choice(list(of), n))
+    mixed = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    rows = []
+    for i in range(120):
+        rows += [(4 * i, f"{PROSE} key AKIA{drawn(16, mixed[:26] + '0123456789')} then"), (4 * i + 1, f"{PROSE} key xoxb-{drawn(30, mixed)} then"),
+                 (4 * i + 2, f"{PROSE} key {''.join(rng.choice(PROSE.split(), 9))} then"), (4 * i + 3, f"{PROSE} key ghp_{drawn(36, mixed)} then")]
+    unseen = lambda found: secret_scan.labelled_by_format(found).filter("doc_id % 4 != 3")
+    kept = [r.kept for r in secret_scan.scan(make(rows), unseen).collect() if r.doc_id % 4 == 3]
+    assert len(kept) == 120 and sum(kept) >= 0.9 * len(kept)
+
+
 def test_secrets_odd_rows(make, odd):
     rows = secret_scan.scan(make([*odd, (30, "a" * 5000), (30, "a" * 5000), (None, "9" * 16)])).collect()
     assert sorted((r.doc_id or 0, len(r.token)) for r in rows) == [(0, 16), (30, 5000), (30, 5000)] and all(r.score is None and r.kept for r in rows)
