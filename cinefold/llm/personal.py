@@ -2,11 +2,12 @@ r"""Personal data: patterns with fixed rules, and identifiers that bootstrapped
 
 Fixed rules find e-mail addresses, IP addresses, card and phone numbers (kinds in that order, leftmost and not overlapping per
 kind). They are the seed entities. The one or two words before a seed are a lexical pattern of its kind; the patterns kept are those of at
-least ``LEAST_SEEDS`` different seeds and at least ``LEAST_SHARE`` of their kind's, so there can't be more than 1 / ``LEAST_SHARE`` per kind
-and length. Candidates are the other words with a digit. In the graph of patterns and instances, a pattern's confidence
+least ``LEAST_SEEDS`` different seeds, whatever else the corpus holds. Candidates are the other words with a digit or an inner mark
+(``jane(at)example``), and runs of digit groups of up to ``MOST_DIGITS`` digits. In the graph of patterns and instances, a pattern's confidence
 is the score of its instances over all that stands behind it, ordinary words included; an instance's score is the chance that
 one of its patterns is right (seeds: one). After ``ROUNDS`` rounds, candidates behind a pattern of ``CONFIDENCE`` or more are identifiers of
-kind ``context``. The words before are counted in all texts, so a pattern that is a common word has no confidence.
+kind ``context``. The words before are counted in all texts, so a pattern that is a common word has no confidence. Tasks count only words whose checksum
+is some pattern's (a table of ``SLOTS`` flags, whatever the number of patterns), and a join keeps the patterns themselves.
 
 Defined cases: a null or empty text has no spans. Rows with the same ``doc_id`` and text share their findings and are all returned; a null
 ``doc_id`` is kept. A discovered span never overlaps one of the fixed rules. An empty table gives no rows. Places count code points, ends are
@@ -16,9 +17,11 @@ exclusive. Only ``doc_id`` and ``text`` are looked at.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,9 +32,11 @@ from cinefold.session import step_table
 KINDS = ("email", "ip", "card", "phone")
 FOUND = "context"
 LEAST_SEEDS = 5
-LEAST_SHARE = 0.0005
 ROUNDS = 4
 CONFIDENCE = 0.8
+MOST_DIGITS = 19
+SLOTS = 1 << 22
+AT_ONCE = 200_000  # counts that a task holds
 
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -40,6 +45,8 @@ IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
+MARKED = re.compile(r"[0-9]+|(?<=[^\W_])[@_(\[{<](?=[^\W_])")
+GROUP = re.compile(r"[0-9()+/-]*[0-9][0-9()+/-]*")
 DIGITS = re.compile(r"[0-9]+")
 EDGE = ".,;:!?\"'()[]{}<>"
 
@@ -95,24 +102,49 @@ def before(text: str, at: int) -> tuple[str | None, str | None]:
     return (found[-1] if found else None), (" ".join(found[-2:]) if len(found) > 1 else None)
 
 
-def digit_words(text: str) -> Iterator[tuple[int, int]]:
-    """Words that hold a digit, without punctuation at their ends."""
+def _word_end(text: str, at: int) -> int:
+    while at < len(text) and not text[at].isspace():
+        at += 1
+    return at
+
+
+def _inner(text: str, a: int, b: int) -> tuple[int, int]:
+    """Without punctuation at the ends."""
+    while a < b and text[a] in EDGE:
+        a += 1
+    while b > a and text[b - 1] in EDGE:
+        b -= 1
+    return a, b
+
+
+def marked_words(text: str) -> Iterator[tuple[int, int, int]]:
+    """Words that hold a digit or an inner mark, without punctuation at their ends, and where the run of digit groups that they begin ends."""
     end = 0
-    for match in DIGITS.finditer(text):
+    for match in MARKED.finditer(text):
         if match.start() < end:
             continue
-        start, end = match.start(), match.end()
+        start = match.start()
         while start and not text[start - 1].isspace():
             start -= 1
-        while end < len(text) and not text[end].isspace():
-            end += 1
-        a, b = start, end
-        while a < b and text[a] in EDGE:
-            a += 1
-        while b > a and text[b - 1] in EDGE:
-            b -= 1
-        if b > a:
-            yield a, b
+        end = _word_end(text, match.end())
+        a, b = _inner(text, start, end)
+        if b <= a:
+            continue
+        run = last = b
+        if GROUP.fullmatch(text, start, end):
+            stop, digits = end, sum(map(len, DIGITS.findall(text[a:b])))
+            while digits <= MOST_DIGITS and text[stop:stop + 1] == " " and (group := GROUP.match(text, stop + 1)):
+                whole = _word_end(text, group.end())
+                if text[group.end():whole].strip(EDGE):
+                    break
+                digits += sum(map(len, DIGITS.findall(group[0])))
+                run, last, stop = group.end(), whole, whole
+                if whole > group.end():
+                    break
+            if digits > MOST_DIGITS:
+                run = last = b
+        yield a, b, _inner(text, a, run)[1]
+        end = max(end, last)
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,11 +162,13 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 one_two = [before(text, a) for _, a, _ in found]
                 seeds.append([{"kind": k, "one": one, "two": two, "instance": text[a:b]} for (k, a, b), (one, two) in zip(found, one_two)])
                 others, i = [], 0
-                for a, b in digit_words(text):
+                for a, b, run in marked_words(text):
                     while i < len(taken) and taken[i][1] <= a:
                         i += 1
-                    if i == len(taken) or taken[i][0] >= b:
+                    free = taken[i][0] if i < len(taken) else len(text)
+                    if free >= b:
                         one, two = before(text, a)
+                        b = run if free >= run else b
                         others.append({"one": one, "two": two, "instance": text[a:b], "start": a, "end": b})
                 candidates.append(others)
             yield pa.record_batch([part.column("doc_id"), part.column("tag"), pa.array(spans, pa.list_(span)),
@@ -142,44 +176,54 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                   names=["doc_id", "tag", "spans", "seeds", "candidates"])
 
 
-def patterns(scanned: DataFrame, least_seeds: int = LEAST_SEEDS, least_share: float = LEAST_SHARE) -> DataFrame:
+def patterns(scanned: DataFrame, least_seeds: int = LEAST_SEEDS) -> DataFrame:
     """``kind`` and ``context`` of the lexical patterns that seeds induce."""
     seeds = scanned.select(F.explode("seeds").alias("s")).select("s.*")
-    kinds = seeds.groupBy("kind").agg(F.count("*").alias("all"))
     contexts = seeds.select("kind", "instance", F.explode(F.array("one", "two")).alias("context")).filter("context IS NOT NULL")
     counted = contexts.distinct().groupBy("kind", "context").agg(F.count("*").alias("seeds"))
-    enough = (F.col("seeds") >= least_seeds) & (F.col("seeds") >= F.col("all") * least_share)
-    return counted.join(kinds, "kind").filter(enough).select("kind", "context")
+    return counted.filter(F.col("seeds") >= least_seeds).select("kind", "context")
+
+
+def _slot(context: str) -> int:
+    return zlib.crc32(context.encode()) % SLOTS
 
 
 def _occurrences(docs: DataFrame, contexts: DataFrame) -> DataFrame:
-    """How often each of ``contexts`` stands in all texts. There are at most 4 / ``LEAST_SHARE`` times two of them."""
-    wanted = {row[0] for row in contexts.select("context").distinct().collect()}
-    held = docs.sparkSession.sparkContext.broadcast(([c for c in wanted if " " not in c], [tuple(c.split(" ")) for c in wanted if " " in c]))
+    """How often each of ``contexts`` stands in all texts. The last word of a pattern of two words is a pattern too, so other pairs are not looked at."""
+    wanted = contexts.select("context").distinct()
+    # At most SLOTS / 32 rows, whatever the number of contexts.
+    places = wanted.select((F.crc32(F.col("context").cast("binary")) % SLOTS).alias("slot")).groupBy(F.floor(F.col("slot") / 32).alias("row")).agg(
+        F.bit_or(F.pow(F.lit(2.0), F.col("slot") % 32).cast("long")).alias("bits"))
+    flags = np.zeros(SLOTS, np.uint8)
+    for row, bits in places.collect():
+        flags[row * 32:row * 32 + 32] = (bits >> np.arange(32)) & 1
+    held = docs.sparkSession.sparkContext.broadcast(flags.tobytes())
+
+    def counts(total: Counter) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["context", "n"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ones, twos = held.value
+        told = held.value
         total: Counter = Counter()
         for batch in batches:
             for part in slices(batch, "text"):
+                found = [text.lower().split() for text in part.column("text").to_pylist() if text]
                 single: Counter = Counter()
+                for each in found:
+                    single.update(each)
+                known = {c: n for c, n in single.items() if told[_slot(c)]}
+                total.update(known)
                 double: Counter = Counter()
-                for text in part.column("text").to_pylist():
-                    found = text.lower().split() if text else []
-                    single.update(found)
-                    if twos:
-                        double.update(zip(found, found[1:]))
-                for c in ones:
-                    if c in single:
-                        total[c] += single[c]
-                for c in twos:
-                    if c in double:
-                        total[" ".join(c)] += double[c]
-        yield pa.record_batch([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["context", "times"])
-
-    if not wanted:
-        return docs.sparkSession.createDataFrame([], "context string, times long")
-    return docs.select("text").mapInArrow(count, "context string, times long").groupBy("context").agg(F.sum("times").alias("times"))
+                for each in found:
+                    double.update(pair for pair in zip(each, each[1:]) if pair[1] in known)
+                total.update({c: n for (a, b), n in double.items() if told[_slot(c := f"{a} {b}")]})
+                if len(total) > AT_ONCE:
+                    yield counts(total)
+                    total = Counter()
+        yield counts(total)
+
+    counted = docs.select("text").mapInArrow(count, "context string, n long").join(wanted, "context", "left_semi")
+    return counted.groupBy("context").agg(F.sum("n").alias("times"))
 
 
 def confidences(scanned: DataFrame, docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:

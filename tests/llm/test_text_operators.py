@@ -96,6 +96,39 @@ def test_contexts_discover_identifiers(make):
     assert all(len(got[d].base) == 1 and not got[d].discovered for d, _ in rows)
 
 
+@pytest.mark.parametrize("others", [100, 20_000])
+def test_contexts_count_beside_any_number_of_seeds(make, others):
+    rng = np.random.default_rng(8)
+    fill = lambda n: " ".join(rng.choice(PROSE.split(), n))
+    rows = [(i, f"{fill(9)} Please call: +1 (755) 555-{1000 + i} {fill(9)}") for i in range(8)]
+    rows += [(100 + k, " ".join(f"w{k}x +1 (755) {k:03} {i:04}" for i in range(100))) for k in range(others // 100)]
+    unseen = [(9000, "0171 234 5678", ""), (9001, "jane(at)example(dot)org", ","), (9002, "77/12", "."), (9003, "0171 234 5678", ", 99 of them")]
+    docs = rows + [(d, f"{fill(5)} Please call: {told}{end} {fill(4)}") for d, told, end in unseen]
+    got = {r.doc_id: [dict(docs)[r.doc_id][s.start:s.end] for s in r.discovered] for r in personal.find(make(docs)).collect()}
+    assert {d: got[d] for d, *_ in unseen} == {d: [told] for d, told, _ in unseen}
+    assert not any(got[d] for d, _ in rows if d < 100)
+
+
+@pytest.mark.parametrize("text, want", [
+    ("a 0171 234 5678. b", ["0171 234 5678"]), ("(12) 34", ["12) 34"]), ("1 2 3x 4", ["1 2", "3x", "4"]), ("x@y _z a_b", ["x@y", "a_b"]), ("", []),
+    (" ".join(["123"] * 9), ["123"] * 3 + ["123 123 123 123 123 123"]), ("5, 6 7,8", ["5", "6", "7,8"])])
+def test_candidate_words(text, want):
+    assert [text[a:run] for a, _, run in personal.marked_words(text)] == want
+
+
+def test_occurrences_by_brute_force(spark, make, texts):
+    words = [t.lower().split() for _, t in texts if t]
+    single = {w for t in words for w in t[:40]}
+    wanted = sorted(single) + sorted({f"{a} {b}" for t in words for a, b in zip(t[:9], t[1:9])})
+    want = {}
+    for t in words:
+        for c in [*t, *map(" ".join, zip(t, t[1:]))]:
+            want[c] = want.get(c, 0) + 1
+    contexts = spark.createDataFrame([("email", c) for c in wanted], "kind string, context string")
+    got = {r.context: r.times for r in personal._occurrences(make(texts), contexts).collect()}
+    assert got == {c: want[c] for c in wanted}
+
+
 def test_personal_odd_rows(spark, sf_dir, make, odd, texts):
     rows = personal.find(make(odd)).collect()
     assert len(rows) == len(odd) and all(r.base == [] and r.discovered == [] for r in rows)
