@@ -95,6 +95,13 @@ def matrix_of(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
+def identifiers(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """Identifiers as one array. Texts are UTF-8 bytes, which sort as their characters do and take a quarter of the room."""
+    if pa.types.is_string(column.type) and not column.null_count:
+        return np.asarray([value.encode() for value in column.to_pylist()], np.bytes_)
+    return np.asarray(column.to_pylist())
+
+
 @dataclass
 class Requests:
     """A block of search requests held by one task.

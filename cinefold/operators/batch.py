@@ -34,18 +34,19 @@ def search_texts(
     single = judged.filter("invalid_param IS NULL").groupBy("request_key").agg(
         F.min_by(kept, F.struct("request_id", "query")).alias("r")
     ).select("request_key", "r.*")
-    single = step_table(single, "requests-distinct")
+    # A request is searched under a number: its key holds the whole text, and every answer carries what it is searched under.
+    single = step_table(single.withColumn("number", F.monotonically_increasing_id()), "requests-distinct")
     vectors = step_table(
         single.select("query").distinct().withColumn("e", embedded(F.col("query"), replace(plan, prefix=prefix)))
         .select("query", F.col("e.vector").alias("vector")), "request-vectors",
     )
     with_vectors = step_table(single.join(vectors, "query"), "requests-embedded")
     best = search.top_k_per_request(
-        catalogue, with_vectors, equal=EQUAL, minimum=MINIMUM, request_id="request_key")
-    rows = search.with_rows(best, catalogue, columns=columns).withColumnRenamed("request_id", "request_key")
-    known = with_vectors.select("request_key", F.col("vector").isNotNull().alias("embedded"))
+        catalogue, with_vectors, equal=EQUAL, minimum=MINIMUM, request_id="number")
+    rows = search.with_rows(best, catalogue, columns=columns).withColumnRenamed("request_id", "number")
+    known = with_vectors.select("request_key", "number", F.col("vector").isNotNull().alias("embedded"))
     back = judged.select("request_id", "request_key", "invalid_param").join(known, "request_key", "left").join(
-        rows, "request_key", "left")
+        rows, "number", "left")
     status = (
         F.when(F.col("invalid_param").isNotNull(), "invalid").when(~F.col("embedded"), "not embedded")
         .when(F.col("rank").isNull(), "no match").otherwise("ok")

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cinefold.functions import vector as V
-from cinefold.functions.vector import RANK_DECIMALS, BestRows, Requests, matrix_of, rank_block, unit_rows
+from cinefold.functions.vector import RANK_DECIMALS, BestRows, Requests, identifiers, matrix_of, rank_block, unit_rows
 from cinefold.operators.export import seeded_sample
 from cinefold.operators.search import _answer_schema, _answers, _arrow_schema, _as_requests, searchable
 from cinefold.session import scratch_path, step_table
@@ -151,7 +151,7 @@ def search(
         held = Requests(**_as_requests(asking, top_k, equal, minimum, not_self))
         best = BestRows(len(held.ids), top_k)
         filters = {n: np.asarray(stored[n].to_pylist(), object) for n in [*equal, *minimum]}
-        rank_block(held, best, np.asarray(stored["id"].to_pylist()), matrix_of(stored["vector"]), filters)
+        rank_block(held, best, identifiers(stored["id"]), matrix_of(stored["vector"]), filters)
         return _answers(held, best, arrow)
 
     keys = ["cell", "slot", "block"]

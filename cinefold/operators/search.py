@@ -13,12 +13,13 @@ from pyspark.sql import types as T
 
 from cinefold import schemas as S
 from cinefold.functions import vector as V
-from cinefold.functions.vector import BestRows, Requests, matrix_of, rank_block, unit_rows
+from cinefold.functions.vector import BestRows, Requests, identifiers, matrix_of, rank_block, unit_rows
 from cinefold.session import step_table
 
 # Requests held by every task are limited to this size; more of them are searched in a grid.
 HELD_BYTES = 256 << 20
-# What a request takes besides its vector: identifier and wanted values; and for each row it may keep, score twice and identifier.
+# What a request takes besides its vector: identifier and wanted values; and for each row it may keep, score twice and identifier
+# (a text as its bytes, see ``identifiers``).
 _REQUEST_BYTES, _ANSWER_BYTES = 512, 80
 # Catalogue vectors per grid cell.
 CELL_BYTES = 128 << 20
@@ -117,7 +118,7 @@ def _as_requests(
         wanted = table[f"want_{next(iter(equal))}"].to_pylist()
         table = table.take(sorted(range(len(wanted)), key=lambda i: (wanted[i] is None, wanted[i] if wanted[i] is not None else 0)))
     return {
-        "ids": np.asarray(table["request_id"].to_pylist()),
+        "ids": identifiers(table["request_id"]),
         "vectors": vectors(table),
         "k": k,
         "equal": {c: np.asarray(table[f"want_{c}"].to_pylist(), object) for c in equal},
@@ -128,7 +129,8 @@ def _as_requests(
 
 def _answers(requests: Requests, best: BestRows, schema: pa.Schema) -> pa.Table:
     request, ids, exact = best.found()
-    return pa.table([requests.ids[request].tolist(), ids.tolist(), exact.tolist()], schema=schema)
+    columns = [pa.array(requests.ids[request]), pa.array(ids), pa.array(exact)]
+    return pa.table([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
 def top_k_per_request(
@@ -198,9 +200,6 @@ def _best_per_task(
     if not count:
         return spark.createDataFrame([], schema)
 
-    def row_ids(batch) -> np.ndarray:
-        return np.asarray(batch["id"].to_pylist())
-
     if count * width_bytes <= held_bytes:
         held = spark.sparkContext.broadcast(prepare(asked.toArrow()))
 
@@ -208,7 +207,7 @@ def _best_per_task(
             requests = Requests(**held.value)
             best = BestRows(len(requests.ids), requests.k)
             for batch in batches:
-                score(requests, best, row_ids(batch), batch)
+                score(requests, best, identifiers(batch["id"]), batch)
             yield from _answers(requests, best, arrow).to_batches()
 
         return rows.mapInArrow(best_of_task, schema)
@@ -218,7 +217,7 @@ def _best_per_task(
             return arrow.empty_table()
         requests = Requests(**prepare(wanted))
         best = BestRows(len(requests.ids), requests.k)
-        score(requests, best, row_ids(stored), stored)
+        score(requests, best, identifiers(stored["id"]), stored)
         return _answers(requests, best, arrow)
 
     blocks = math.ceil(count * width_bytes / held_bytes)

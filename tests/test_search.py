@@ -1,12 +1,14 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from cinefold import schemas as S
 from cinefold.functions import vector as V
-from cinefold.operators import search
+from cinefold.operators import batch, search
+from cinefold.operators.embedding import offline_embedder
 
 
 @pytest.fixture(scope="module")
@@ -71,6 +73,31 @@ def test_text_identifiers(spark, vectors):
     assert ranked(search.top_k_per_request(named, asked, 1)) == {"v7": ["v7"]}
 
 
+def test_text_identifiers_are_held_as_bytes_in_the_same_order():
+    named = ["é", "z", "a", "aé", "😀", "Z" * 64]
+    held = V.identifiers(pa.array(named))
+    assert held.itemsize == 64  # four times that as characters
+    assert [held[i].decode() for i in np.argsort(held)] == sorted(named)
+
+
+def test_an_answer_does_not_carry_the_text_of_its_request(spark, vectors, monkeypatch):
+    kinds = []
+
+    def seen(catalogue, requests, *args, request_id, **options):
+        kinds.append(requests.schema[request_id].dataType.simpleString())
+        return exact(catalogue, requests, *args, request_id=request_id, **options)
+
+    exact = search.top_k_per_request
+    monkeypatch.setattr(batch.search, "top_k_per_request", seen)
+    asked = spark.createDataFrame([(i, t, 3, None, None, None, None) for i, t in enumerate(["One text", "one TEXT", "another"])],
+                                  "request_id bigint, query string, top_k int, genre string, min_imdb_rating double, mpaa_rating string, decade int")
+    rows = vectors.select(F.col("vec_id").cast("string").alias("id"), "embedding", *[
+        F.lit(None).cast(kind).alias(c) for c, kind in (("major_genre", "string"), ("mpaa_rating", "string"), ("decade", "int"), ("imdb_rating", "double"))])
+    found = batch.search_texts(asked, rows, offline_embedder(), columns=["id"]).collect()
+    of = [sorted((r["rank"], r["id"]) for r in found if r["request_id"] == i) for i in range(3)]
+    assert kinds == ["bigint"] and [len(o) for o in of] == [3, 3, 3] and of[0] == of[1] != of[2]
+
+
 def test_no_requests(spark, vectors):
     none = vectors.filter("vec_id < 0")
     assert search.top_k_per_request(vectors, none, 3, id="vec_id", request_id="vec_id",
