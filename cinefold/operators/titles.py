@@ -12,13 +12,30 @@ from cinefold.functions import trigram
 from cinefold.session import step_table
 
 
-def _newest_first(year: str, id: str) -> list[Column]:
-    """Sort keys, smallest first: newest year, years missing last, then the identifier."""
-    return [F.col(year).isNull(), -F.coalesce(F.col(year), F.lit(0)), F.col(id)]
+def _newest_first() -> Column:
+    """Smallest first: newest year, years missing last, then the identifier."""
+    return F.struct(F.col("__year").isNull().alias("a"), (-F.coalesce("__year", F.lit(0))).alias("b"), F.col("__id").alias("c"))
 
 
-def _payload(columns: Sequence[str]) -> Column:
-    return F.struct(*columns)
+def _newest(catalogue: DataFrame, wanted: DataFrame, key: Column, year: str, id: str) -> DataFrame:
+    """``__year`` and ``__id`` of the newest row of each ``__key`` that is wanted.
+
+    The least identifier of a title's year comes first, which a hash table of plain values holds; what is put in order
+    after it is one row per title and year, so a title on a third of the rows is neither sorted nor shuffled as such.
+    """
+    rows = catalogue.select(key.alias("__key"), F.col(year).alias("__year"), F.col(id).alias("__id"))
+    of_year = rows.join(wanted.select("__key"), "__key", "left_semi").groupBy("__key", "__year").agg(F.min("__id").alias("__id"))
+    return of_year.groupBy("__key").agg(F.min_by(F.struct("__year", "__id"), _newest_first()).alias("r")).select("__key", "r.*")
+
+
+def _fetched(
+    best: DataFrame, catalogue: DataFrame, columns: Sequence[str], key: Column, year: str, id: str,
+) -> DataFrame:
+    """``best`` (one row per query) with the ``row`` it names by ``__key``, ``__year`` and ``__id``, one if several have them."""
+    best = step_table(best, "title-best")
+    rows = catalogue.select(key.alias("k"), F.col(year).alias("y"), F.col(id).alias("i"), F.struct(*columns).alias("row"))
+    same = (F.col("k") == F.col("__key")) & F.col("y").eqNullSafe(F.col("__year")) & F.col("i").eqNullSafe(F.col("__id"))
+    return rows.join(best, same).groupBy(*best.columns).agg(F.first("row").alias("row"))
 
 
 def exact_titles(
@@ -27,21 +44,13 @@ def exact_titles(
 ) -> DataFrame:
     """``query_id, query`` plus the newest row whose title equals the query, case aside.
 
-    The best row is kept by partial aggregation, so a title on a third of the rows
-    meets the shuffle as one row per task.
+    Rows are told apart by title, year and identifier alone; the other columns are fetched for those that are answers.
     """
     asked = step_table(
         queries.select("query_id", "query", F.lower(F.trim("query")).alias("__key")), "title-queries"
     )
-    rows = catalogue.select(
-        F.lower(title).alias("__key"), _payload(columns).alias("row"),
-        F.struct(*_newest_first(year, id)).alias("order"),
-    )
-    return (
-        rows.join(asked, "__key")
-        .groupBy("query_id", "query").agg(F.min_by("row", "order").alias("row"))
-        .select("query_id", "query", "row.*")
-    )
+    best = asked.join(_newest(catalogue, asked, F.lower(title), year, id), "__key")
+    return _fetched(best, catalogue, columns, F.lower(title), year, id).select("query_id", "query", "row.*")
 
 
 def rarest_trigrams(queries: DataFrame, titles: DataFrame, threshold: float) -> DataFrame:
@@ -106,18 +115,12 @@ def fuzzy_titles(
     fetched for the titles that have one.
     """
     listed = catalogue.filter(F.col(title).isNotNull()).select(F.col(title).alias("title")).distinct()
-    scored = step_table(fuzzy_scores(queries, listed, threshold), "title-scores")
-    rows = catalogue.select(
-        F.col(title).alias("title"), _payload(columns).alias("row"),
-        F.struct(*[c.alias(f"o{i}") for i, c in enumerate(_newest_first(year, id))]).alias("order"),
-    )
-    best = F.struct(-F.col("score"), F.length("title"), F.col("order"))
-    return (
-        rows.join(scored, "title")
-        .groupBy("query_id", "query")
-        .agg(F.min_by("row", best).alias("row"), F.max("score").alias("title_score"))
-        .select("query_id", "query", "row.*", "title_score")
-    )
+    scored = step_table(fuzzy_scores(queries, listed, threshold).withColumnRenamed("title", "__key"), "title-scores")
+    order = F.struct(-F.col("score"), F.length("__key"), _newest_first())
+    best = scored.join(_newest(catalogue, scored, F.col(title), year, id), "__key").groupBy("query_id", "query").agg(
+        F.min_by(F.struct("__key", "__year", "__id"), order).alias("b"), F.max("score").alias("title_score"))
+    best = best.select("query_id", "query", "b.*", "title_score")
+    return _fetched(best, catalogue, columns, F.col(title), year, id).select("query_id", "query", "row.*", "title_score")
 
 
 def lookup(

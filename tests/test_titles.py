@@ -84,3 +84,37 @@ def test_copies_of_a_title_are_scored_once(spark):
     rows = [(i, "The Godfather" if i % 3 == 0 else f"Film {i}", 1900 + i % 90) for i in range(900)]
     frame = spark.createDataFrame(rows, "id bigint, title string, release_year int")
     assert ask(spark, frame, "Godfathr")["Godfathr"] == ("The Godfather", 1987, "fuzzy")
+
+
+def test_the_newest_copy_of_a_title_is_found_without_sorting_the_catalogue(spark, monkeypatch):
+    """Rows of the whole catalogue meet hash tables only; payloads are fetched for answers alone."""
+    rows = [(i, f"Copied Title {i % 3}", None if i % 4 == 0 else 1950 + (i * 7) % 60, f"note {i}") for i in range(600)]
+    films = spark.createDataFrame(rows, "id bigint, title string, release_year int, note string").repartition(5)
+    asked = spark.createDataFrame([(0, "copied TITLE 1"), (1, "copied titel 2"), (2, "copied title")], "query_id int, query string")
+    plans, write = {}, titles.step_table
+
+    def noted(frame, name):
+        plans.setdefault(name, []).append(frame._jdf.queryExecution().sparkPlan().toString())
+        return write(frame, name)
+
+    monkeypatch.setattr(titles, "step_table", noted)
+    got = {r["query"]: tuple(r)[2:] for r in titles.lookup(asked, films, [*COLUMNS, "note"]).collect()}
+
+    def newest(title):
+        return min((r for r in rows if r[1] == title), key=lambda r: (r[2] is None, -(r[2] or 0), r[0]))
+
+    assert got["copied TITLE 1"] == (*newest("Copied Title 1"), "exact")
+    assert got["copied titel 2"] == (*newest("Copied Title 2"), "fuzzy")
+    tied = min((newest(f"Copied Title {i}") for i in range(3)), key=lambda r: (-r[2], r[0]))
+    assert got["copied title"] == (*tied, "fuzzy")
+    assert len(plans["title-best"]) == 2
+    for plan in plans["title-best"]:
+        lowest = [line for line in plan.splitlines() if "Aggregate(" in line][-1]
+        assert "HashAggregate" in lowest and "min(__id" in lowest
+
+
+def test_word_similarity_is_spread_over_all_partitions(spark, sf_dir):
+    import __spark_entry__ as entry
+
+    frame = entry.queries()["t3_word_similarity"](spark, sf_dir)
+    assert "REPARTITION_BY_NUM" in frame._jdf.queryExecution().executedPlan().toString()
