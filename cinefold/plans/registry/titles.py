@@ -124,7 +124,10 @@ def register(r: Registry) -> None:
         SELECT p_partkey, word_score AS similarity FROM ({best_extent_sql('p', 'p_partkey')})""")
     def t3(spark, sf):
         score = trigram.word_similarity(F.expr(typo), F.expr(target))
-        return Shared.of(spark, sf).table("part").select("p_partkey", score.alias("similarity"))
+        # Names pack into few splits, so they are spread before the costly step.
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        rows = Shared.of(spark, sf).table("part").select("p_partkey", "p_name", "p_type", "p_brand").repartition(parts, "p_partkey")
+        return rows.select("p_partkey", score.alias("similarity"))
 
     @r.add("t4_fuzzy_titles", _with("""
         SELECT query_id, query, id, title, release_year, score AS title_score FROM fuzzy"""))
