@@ -112,6 +112,36 @@ def test_approximate_search_finds_nearly_all(vectors, matrix):
     assert recall >= 0.9
 
 
+@pytest.fixture(scope="module")
+def many(spark):
+    """12,000 vectors of evenly spread directions under three labels."""
+    drawn = np.random.default_rng(7).standard_normal((12_000, 64)).astype(np.float32)
+    table = pa.table({"vec_id": np.arange(len(drawn)), "label": np.arange(len(drawn)) % 3, "embedding": list(drawn)})
+    return spark.createDataFrame(table).repartition(5).cache(), drawn.astype(np.float64)
+
+
+@pytest.mark.parametrize("rows", [search.NEAR_ROWS, 3000])
+def test_approximate_search_finds_nearly_all_of_a_larger_table(many, rows, monkeypatch):
+    """The candidates of one group do not have to serve the whole table, nor do answers depend on the splits."""
+    monkeypatch.setattr(search, "NEAR_ROWS", rows)
+    frame, matrix = many
+    got, again = (ranked(search.approximate_search(f, f.filter("vec_id % 100 = 0"), 10, id="vec_id", request_id="vec_id",
+                                                   request_vector="embedding", not_self=True)) for f in (frame, frame.repartition(3)))
+    unit = matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
+    scores = unit[::100] @ unit.T
+    scores[np.arange(120), np.arange(120) * 100] = -1
+    want = np.argsort(-scores, axis=1)[:, :10]
+    assert np.mean([len(set(got[100 * i]) & set(want[i])) / 10 for i in range(120)]) >= 0.9
+    assert got == again
+
+
+def test_approximate_search_is_exact_under_a_filter_that_leaves_few_rows(many):
+    frame, _ = many
+    asked = frame.filter("vec_id % 100 = 0")
+    options = dict(equal={"label": "label"}, id="vec_id", request_id="vec_id", request_vector="embedding")
+    assert ranked(search.approximate_search(frame, asked, 10, **options)) == ranked(search.top_k_per_request(frame, asked, 10, **options))
+
+
 def test_approximate_candidates_in_a_grid_equal_the_held_ones(vectors):
     signed = vectors.withColumn("signature", search.signature(F.col("embedding"), 64))
     sets = [set(map(tuple, search.approximate_candidates(signed, signed, 100, "vec_id", request_id="vec_id",
