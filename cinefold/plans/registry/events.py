@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cinefold import schemas as S
-from cinefold.operators import metrics
+from cinefold.functions import text
+from cinefold.operators import cleaning, metrics
 from cinefold.plans.registry import Registry, sql
 from cinefold.plans.registry.base import RUN_TIME, Shared, plain
 from cinefold.plans.registry.merging import vector_digits, vector_digits_sql
@@ -219,11 +220,12 @@ def register(r: Registry) -> None:
           '{RUN_TIME}' AS updated_at FROM snapshot"""))
     def st4(spark, sf):
         shared = Shared.of(spark, sf)
-        keys = shared.done.keyed.select("ord", "source_key")
         folder = scratch_path(spark, "raw-stream")
-        # Records of one key arrive together.
-        (records.normalise_names(shared.landed).join(keys, "ord", "left")
-         .repartition(4, "source_key").drop("source_key").write.json(folder))
+        # Records of one key arrive together; the key is made of the record, as an order number may be that of two.
+        date = text.roll_back_century(text.parse_date(F.col("Release Date"), S.DATE_LAYOUTS), S.LAST_RELEASE_YEAR)
+        landed = records.normalise_names(shared.landed)
+        placed = cleaning.add_key(landed.withColumns({"__title": text.collapse(F.col("Title")), "__date": date}), "__title", "__date")
+        placed.repartition(4, "source_key").select(landed.columns).write.json(folder)
         schema = "ord bigint, " + ", ".join(f"`{n}` string" for n in S.SOURCE_COLUMNS)
         raw = records.load(spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).json(folder))
         target = scratch_path(spark, "stream")
