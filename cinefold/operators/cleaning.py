@@ -32,7 +32,7 @@ def variant_spellings(frame: DataFrame, columns: Sequence[str], order: str = "or
     """``(field, spelling, canonical)`` for every spelling that loses its vote.
 
     All spellings that fold alike take the most frequent one, the one seen first on a
-    tie. Rows are counted per distinct spelling before anything is shuffled, so a value
+    tie, the least in order if two were seen first in rows of one ``order``. Rows are counted per distinct spelling before anything is shuffled, so a value
     held by a third of the rows costs no more than a rare one.
     """
     spellings = F.explode(
@@ -47,7 +47,7 @@ def variant_spellings(frame: DataFrame, columns: Sequence[str], order: str = "or
         .withColumn("folded", text.fold(F.col("spelling")))
     )
     winners = votes.groupBy("field", "folded").agg(
-        F.min_by("spelling", F.struct(-F.col("votes"), F.col("first_seen"))).alias("canonical")
+        F.min_by("spelling", F.struct(-F.col("votes"), F.col("first_seen"), F.col("spelling"))).alias("canonical")
     )
     return (
         votes.join(winners, ["field", "folded"])
@@ -103,13 +103,13 @@ def add_key(frame: DataFrame, title: str = "title", date: str = "release_date")
     )
 
 
-def first_per_key(frame: DataFrame, key: str, order: str = "ord") -> DataFrame:
-    """The first row of every key.
+def first_per_key(frame: DataFrame, key: str, *order: str) -> DataFrame:
+    """The first row of every key by the columns of ``order`` (``ord`` if none is given).
 
     Spark keeps only the first row per key inside each task before the shuffle
     (``WindowGroupLimit``), so a key held by a third of the rows arrives as one row per task.
     """
-    place = F.row_number().over(Window.partitionBy(key).orderBy(order))
+    place = F.row_number().over(Window.partitionBy(key).orderBy(*(order or ["ord"])))
     return frame.withColumn("__place", place).filter("__place = 1").drop("__place")
 
 
@@ -195,9 +195,12 @@ def keyed(
 
 
 def clean_rows(keyed_rows: DataFrame, order: str = "ord") -> DataFrame:
-    """The first titled row per key. Exact copies share their key, so they go as well."""
-    rows = drop_untitled(keyed_rows).drop("title_slug", "faults", "row_digest")
-    return first_per_key(rows, "source_key", order)
+    """The first titled row per key. Exact copies share their key, so they go as well.
+
+    Rows of one key and one ``order`` go by their digest, so that every run keeps the same one.
+    """
+    rows = drop_untitled(keyed_rows).drop("title_slug", "faults")
+    return first_per_key(rows, "source_key", order, "row_digest").drop("row_digest")
 
 
 def clean(

@@ -113,6 +113,20 @@ def test_the_first_row_of_a_key_is_kept(spark):
     assert {(r["k"], r["v"]) for r in out.collect()} == {("a", "first"), ("b", "only")}
 
 
+def test_rows_of_one_key_and_order_number_go_by_their_content(spark, raw):
+    one = raw.filter("ord = 1")
+    other = one.withColumn("us_gross", F.lit("99"))
+    got = [cleaning.clean(a.unionByName(b).coalesce(1)).first()["us_gross"] for a, b in ((one, other), (other, one))]
+    assert got[0] == got[1]
+
+
+def test_spellings_first_seen_under_one_order_number_go_by_their_text(spark):
+    rows = [(1, "FOX"), (1, "Fox"), (1, "fox")]
+    for given in (rows, rows[::-1]):
+        frame = spark.createDataFrame(given, "ord bigint, distributor string").coalesce(1)
+        assert {r["canonical"] for r in cleaning.variant_spellings(frame, ["distributor"]).collect()} == {"FOX"}
+
+
 def test_copies_treat_null_as_equal(spark):
     frame = spark.createDataFrame([(2, None, "x"), (1, None, "x"), (3, "y", "x")], "ord bigint, a string, b string")
     out = cleaning.drop_copies(frame, ["a", "b"])
