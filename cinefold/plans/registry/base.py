@@ -15,6 +15,8 @@ from cinefold.sources import records, testbed
 
 RUN_TIME = "2024-01-01 00:00:00"
 VERSION = "1.0.0"
+# The JVM interprets methods of more bytes for ever (HotSpot's HugeMethodLimit).
+JIT_BYTES = 8000
 
 
 class Shared:
@@ -29,6 +31,8 @@ class Shared:
     def of(cls, spark: SparkSession, sf_dir: str) -> Shared:
         # The tables hold times without a zone; they are taken as UTC.
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+        # The wide projections of the enrichment make methods that the JVM never compiles; above its limit Spark splits them.
+        spark.conf.set("spark.sql.codegen.hugeMethodLimit", JIT_BYTES)
         key = (spark.sparkContext.applicationId, sf_dir)
         if key not in cls._known:
             cls._known[key] = cls(spark, sf_dir)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,6 +67,19 @@ def test_lookups_too_large_to_broadcast_give_the_same_rows(spark, sf_dir, thresh
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_projections_too_large_for_the_compiler_are_split(spark, sf_dir):
+    shared = Shared.of(spark, sf_dir)
+    rows = cleaning.keyed(shared.raw, variants=shared.variants)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        debug = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$")
+        code = debug.codegenString(rows._jdf.queryExecution().executedPlan())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    largest = max(int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", code))
+    assert largest <= 8000 or int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
+
+
 def test_a_hot_group_is_spread_by_its_values_for_the_median(spark):
     rows = spark.range(30_000).select(
         F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("g"), F.col("id") % 50)).alias("g"),
