@@ -58,7 +58,8 @@ def hashed_words() -> Callable[[list[str]], Vectors]:
 
     def embed(texts: list[str]) -> Vectors:
         out = np.zeros((len(texts), width))
-        found_in = [words.findall(content.lower()) for content in texts]
+        # "İ" lower-cased is "i" and a combining dot, which would end the word; no other letter has two.
+        found_in = [words.findall(content.replace("İ", "i").lower()) for content in texts]
         places = {word: place(word) for word in set().union(*found_in)}  # of this batch alone
         for row, words_of_text in enumerate(found_in):
             found = [places[word] for word in words_of_text]

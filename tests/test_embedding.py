@@ -91,6 +91,11 @@ def test_offline_vectors_are_stable_and_of_unit_length():
     assert service(["The Godfather"])[0] == embedding.hashed_words()(["The Godfather"])[0]
 
 
+def test_a_capital_with_a_dot_does_not_end_a_word():
+    service = embedding.hashed_words()
+    assert service(["İzmir KİTAP"])[0] == service(["izmir kitap"])[0]
+
+
 def test_width_contracts(spark):
     good = spark.createDataFrame([([1.0, 2.0],), (None,)], "embedding array<float>")
     assert embedding.require_width(good, 2) is good
