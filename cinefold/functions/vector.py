@@ -14,8 +14,9 @@ from pyspark.sql import types as T
 # Similarities are ranked at this many decimals, finer than the float32 that is stored,
 # so a ranking does not depend on the order in which products were summed.
 RANK_DECIMALS = 9
-# Similarities computed at once by the kernel (8 bytes each).
+# Signatures compared at once by the kernel (8 bytes each), and requests and rows whose cosines are computed at once.
 _BLOCK_CELLS = 2_000_000
+_TILE_REQUESTS, _TILE_ROWS = 256, 2048
 
 
 def dot(left: Column, right: Column) -> Column:
@@ -105,8 +106,16 @@ class Requests:
     not_id: bool = False
     codes: np.ndarray | None = None  # signatures, for a search that compares them first
 
-    def eligible(self, rows: dict[str, np.ndarray], row_ids: np.ndarray, part: slice) -> np.ndarray | None:
+    def eligible(self, rows: dict[str, np.ndarray], row_ids: np.ndarray, part: slice | np.ndarray) -> np.ndarray | None:
         """Request x row matrix of the rows each request of ``part`` may return; None means all."""
+        allowed = self.matching(rows, part)
+        if self.not_id:
+            here = self.ids[part, None] != row_ids[None, :]
+            allowed = here if allowed is None else allowed & here
+        return allowed
+
+    def matching(self, rows: dict[str, np.ndarray], part: slice | np.ndarray) -> np.ndarray | None:
+        """As ``eligible``, by the filters alone."""
         allowed = None
         for name, wanted in self.equal.items():
             wanted = wanted[part]
@@ -123,12 +132,14 @@ class Requests:
             values = np.array([np.nan if v is None else float(v) for v in rows[name]])
             here = np.isneginf(floor)[:, None] | (values[None, :] >= floor[:, None])
             allowed = here if allowed is None else allowed & here
-        if self.not_id:
-            here = self.ids[part, None] != row_ids[None, :]
-            allowed = here if allowed is None else allowed & here
         return allowed
 
 
+def _places(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As ``np.nonzero`` of a matrix, which takes many times longer where little is set."""
+    return np.divmod(np.flatnonzero(mask), max(1, mask.shape[1]))
+
+
 class BestRows:
     """The best k (score, id) pairs per request over everything seen so far, best first, in arrays of fixed size."""
 
@@ -138,32 +149,43 @@ class BestRows:
         self.exact = np.zeros((requests, k))
         self.row: np.ndarray | None = None
 
-    def offer(self, first: int, scores: np.ndarray, row_ids: np.ndarray) -> None:
-        """Take in a block of scores for the requests from ``first`` on; -inf marks a pair that is not allowed.
+    def offer(self, at: np.ndarray, scores: np.ndarray, row_ids: np.ndarray) -> None:
+        """Take in a block of scores for the requests ``at``; -inf marks a pair that is not allowed.
 
-        ``row_ids`` are those of the block's columns, or of each of its cells. Only requests that gain a row are put in order again.
+        ``row_ids`` are those of the block's columns, or of each of its cells.
         """
-        exact, scores = scores, np.round(scores, RANK_DECIMALS)
-        floor = self.score[first : first + len(scores), -1]
-        if scores.shape[1] > self.k:
-            kth = np.partition(scores, scores.shape[1] - self.k, axis=1)[:, scores.shape[1] - self.k]
-            floor = np.maximum(floor, kth)
-        request, position = np.nonzero((scores >= floor[:, None]) & np.isfinite(scores))
-        if not len(request):
+        floor = self.score[at, -1]
+        unfilled = np.flatnonzero(np.isneginf(floor))
+        if scores.shape[1] > self.k and len(unfilled):
+            floor[unfilled] = np.round(np.partition(scores[unfilled], -self.k, axis=1)[:, -self.k], RANK_DECIMALS)
+        # Rounding keeps the order and moves a score by less than this, so few scores need be rounded.
+        request, position = _places(scores >= (floor - 10.0**-RANK_DECIMALS)[:, None])
+        self.take(at, request, scores[request, position], row_ids[position] if row_ids.ndim == 1 else row_ids[request, position], floor)
+
+    def take(self, at: np.ndarray, request: np.ndarray, exact: np.ndarray, row_ids: np.ndarray, floor: np.ndarray) -> None:
+        """Take in pairs of ``at[request]`` and ``row_ids``; none below its request's ``floor`` can be among the best.
+
+        Only requests that gain a row are put in order again.
+        """
+        score = np.round(exact, RANK_DECIMALS)
+        gains = np.isfinite(score) & (score >= floor[request])
+        if self.row is not None:  # the last row kept stays before an equal one of a later identifier
+            gains &= (score > self.score[at, -1][request]) | (row_ids < self.row[at, -1][request])
+        if not gains.any():
             return
+        request, exact, score, row_ids = request[gains], exact[gains], score[gains], row_ids[gains]
         if self.row is None:
             self.row = np.zeros(self.score.shape, row_ids.dtype)
         elif self.row.dtype != row_ids.dtype:
             kind = np.promote_types(self.row.dtype, row_ids.dtype)  # a longer text identifier
             self.row, row_ids = self.row.astype(kind), row_ids.astype(kind)
         touched, local = np.unique(request, return_inverse=True)
-        at = touched + first
+        at = at[touched]
         old_local, old_place = np.nonzero(np.isfinite(self.score[at]))
         who = np.concatenate([old_local, local])
-        score = np.concatenate([self.score[at][old_local, old_place], scores[request, position]])
-        true = np.concatenate([self.exact[at][old_local, old_place], exact[request, position]])
-        new = row_ids[position] if row_ids.ndim == 1 else row_ids[request, position]
-        row = np.concatenate([self.row[at][old_local, old_place], new])
+        score = np.concatenate([self.score[at][old_local, old_place], score])
+        true = np.concatenate([self.exact[at][old_local, old_place], exact])
+        row = np.concatenate([self.row[at][old_local, old_place], row_ids])
         order = np.lexsort((row, -score, who))
         place = np.arange(len(order)) - np.searchsorted(who[order], who[order], side="left")
         order, place = order[place < self.k], place[place < self.k]
@@ -179,27 +201,66 @@ class BestRows:
 
 def rank_block(
     requests: Requests, best: BestRows, row_ids: np.ndarray, vectors: np.ndarray,
-    filters: dict[str, np.ndarray], similarity=None,
+    filters: dict[str, np.ndarray], similarity=None, who: np.ndarray | None = None,
 ) -> None:
-    """Score one block of rows against all requests, a bounded number of cells at a time.
+    """Score one block of rows against all requests, or the ascending numbers ``who`` of them, a bounded number of cells at a time.
 
     Requests of one wanted value of the first equality filter meet only the rows that have it.
     ``similarity`` scores some requests against some rows; the cosine of ``vectors`` without it.
     """
+    who = np.arange(len(requests.ids)) if who is None else who
     rows_of = vectors if similarity else unit_rows(vectors)
-    similarity = similarity or (lambda wanted, stored: wanted @ stored.T)
+    if not similarity:
+        long = np.isfinite(rows_of).all(axis=1)  # the others are similar to nothing
+        if not long.all():
+            row_ids, rows_of, filters = row_ids[long], rows_of[long], {n: v[long] for n, v in filters.items()}
     width = 1 if rows_of.dtype.kind == "f" else max(1, rows_of.shape[1])  # cells that a bitwise score takes
     for rows, wanted in _meeting(requests, filters, len(row_ids)):
-        ids, kept = row_ids[rows], {n: v[rows] for n, v in filters.items()}
+        ids, kept, here = row_ids[rows], {n: v[rows] for n, v in filters.items()}, rows_of[rows]
+        asking = who[np.searchsorted(who, wanted.start) : np.searchsorted(who, wanted.stop)]
+        if not similarity:
+            _rank_cosine(requests, best, ids, here, kept, asking)
+            continue
         step = max(1, _BLOCK_CELLS // max(1, len(ids) * width))
-        for start in range(wanted.start, wanted.stop, step):
-            part = slice(start, min(start + step, wanted.stop))
-            scores = similarity(requests.vectors[part], rows_of[rows])
-            allowed = requests.eligible(kept, ids, part)
+        for start in range(0, len(asking), step):
+            at = asking[start : start + step]
+            scores = similarity(requests.vectors[at], here)
+            allowed = requests.eligible(kept, ids, at)
             scores[np.isnan(scores)] = -np.inf
             if allowed is not None:
                 scores[~allowed] = -np.inf
-            best.offer(part.start, scores, ids)
+            best.offer(at, scores, ids)
+
+
+def _rank_cosine(
+    requests: Requests, best: BestRows, ids: np.ndarray, units: np.ndarray, filters: dict[str, np.ndarray], asking: np.ndarray,
+) -> None:
+    """Once a request has ``k`` rows, a product in single precision tells which others may be better; those are computed in double."""
+    rough, slack = units.astype(np.float32), (units.shape[1] + 8) * float(np.finfo(np.float32).eps)
+    step = max(_TILE_REQUESTS, _TILE_REQUESTS * _TILE_ROWS // max(1, len(ids)))
+    for start in range(0, len(asking), step):
+        at = asking[start : start + step]
+        wanted, own = requests.vectors[at], requests.ids[at]
+        rough_wanted = wanted.astype(np.float32)
+        for first in range(0, len(ids), _TILE_ROWS):
+            tile = slice(first, first + _TILE_ROWS)
+            allowed = requests.matching({n: v[tile] for n, v in filters.items()}, at)
+            same = np.flatnonzero(np.isin(ids[tile], own)) if requests.not_id else ids[:0]
+
+            def barred(scores: np.ndarray) -> np.ndarray:
+                if allowed is not None:
+                    scores[~allowed] = -np.inf
+                if len(same):
+                    scores[:, same] = np.where(own[:, None] == ids[tile][same], -np.inf, scores[:, same])
+                return scores
+
+            floor = best.score[at, -1]
+            if np.isfinite(floor).all():
+                request, position = _places(barred(rough_wanted @ rough[tile].T) >= (floor - slack).astype(np.float32)[:, None])
+                if len(request) <= _TILE_REQUESTS * _TILE_ROWS // 16:
+                    best.take(at, request, np.einsum("ij,ij->i", wanted[request], units[tile][position]), ids[tile][position], floor)
+                    continue
+            best.offer(at, barred(wanted @ units[tile].T), ids[tile])
 
 
 def bits_apart(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -240,7 +301,7 @@ def rank_near(
             scores[np.isnan(scores)] = -np.inf
             if allowed is not None:
                 scores[~allowed] = -np.inf
-            best.offer(part.start, scores, near_ids)
+            best.offer(np.arange(part.start, part.stop), scores, near_ids)
 
 
 def _meeting(requests: Requests, filters: dict[str, np.ndarray], n: int):

@@ -7,9 +7,10 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.group_ops import PandasCogroupedOps
 
 from cinefold import schemas as S
 from cinefold.functions import vector as V
@@ -23,6 +24,8 @@ HELD_BYTES = 256 << 20
 _REQUEST_BYTES, _ANSWER_BYTES = 512, 80
 # Catalogue vectors per grid cell.
 CELL_BYTES = 128 << 20
+# A row that meets so many requests takes longer to score than to shuffle.
+MANY_REQUESTS = 1 << 12
 # Rows and requests whose signatures are compared at once, and the most rows under a filter that are scored without.
 NEAR_ROWS, NEAR_REQUESTS, FEW_ROWS = 1 << 14, 1 << 15, 1 << 12
 
@@ -150,9 +153,9 @@ def top_k_per_request(
 
     No request-row pair leaves a task unless it is among the task's best for that request.
     Requests whose measured size fits ``held_bytes`` are held by every task and the
-    catalogue is read once without a shuffle; more requests are cut into blocks, the
-    catalogue into cells by a hash of the identifier, and every (block, cell) is one
-    bounded group.
+    catalogue is read once, without a shuffle unless there are ``MANY_REQUESTS``; more requests
+    are cut into blocks, the catalogue into cells by a hash of the identifier, and every
+    (block, cell) is one bounded group.
     """
     equal, minimum = equal or {}, minimum or {}
     wants = [F.col(r).alias(f"want_{c}") for c, r in equal.items()]
@@ -218,6 +221,8 @@ def _best_per_task(
                 score(requests, best, identifiers(batch["id"]), batch)
             yield from _answers(requests, best, arrow).to_batches()
 
+        if count >= MANY_REQUESTS:  # the files may hold all rows in one part
+            rows = rows.repartition(spark.sparkContext.defaultParallelism, "id")
         return rows.mapInArrow(best_of_task, schema)
 
     def best_of_cell(stored: pa.Table, wanted: pa.Table) -> pa.Table:
@@ -239,10 +244,14 @@ def _best_per_task(
 
     left = rows.withColumn("cell", hashed("id", cells)).withColumn("block", every(blocks))
     right = asked.withColumn("block", hashed("request_id", blocks)).withColumn("cell", every(cells))
-    return (
-        left.groupBy("block", "cell").cogroup(right.groupBy("block", "cell"))
-        .applyInArrow(best_of_cell, schema)
-    )
+    return spread_groups(spark, left, right, ["block", "cell"], blocks * cells).applyInArrow(best_of_cell, schema)
+
+
+def spread_groups(spark: SparkSession, left: DataFrame, right: DataFrame, keys: list[str], groups: int) -> PandasCogroupedOps:
+    """Pairs of groups in a fixed number of parts; adaptive execution would join these to a few by their bytes, but their work is the product of their rows."""
+    parts = min(max(int(spark.conf.get("spark.sql.shuffle.partitions")), groups), 4 * groups)
+    left, right = (side.repartition(parts, *keys).groupBy(*keys) for side in (left, right))
+    return left.cogroup(right)
 
 
 def _arrow_schema(schema: T.StructType) -> pa.Schema:

@@ -185,6 +185,35 @@ def test_kernel_work_per_pair_does_not_grow_with_requests():
     assert (best.row == order).all()
 
 
+@pytest.mark.parametrize("filters", [{}, {"equal": "g"}, {"minimum": "m"}])
+def test_kernel_rounds_and_orders_few_of_its_scores(filters, monkeypatch):
+    """Vectors with copies, some without length; held against a full sort."""
+    rng, rounded = np.random.default_rng(2), []
+    rows = rng.normal(size=(9000, 16))
+    rows[5000:5300], rows[7], rows[8] = rows[5], 0.0, np.nan
+    wanted, ids = V.unit_rows(rows[:300]), rng.permutation(9000)
+    columns = {name: rng.integers(0, 3, 9000).astype(object) for name in filters.values()}
+    order = np.argsort([0] * 300 if "equal" not in filters else columns["g"][:300].astype(int), kind="stable")
+    ask = {kind: {name: columns[name][:300][order]} for kind, name in filters.items()}
+    asked = V.Requests(ids[:300][order], wanted[order], 5, not_id=True, **ask)
+    best, plain_round = V.BestRows(300, 5), np.round
+    monkeypatch.setattr(np, "round", lambda x, *a: rounded.append(np.size(x)) or plain_round(x, *a))
+    for part in np.array_split(np.arange(9000), 2):
+        V.rank_block(asked, best, ids[part], rows[part], {n: v[part] for n, v in columns.items()})
+    monkeypatch.undo()
+    scores = np.round(asked.vectors @ V.unit_rows(rows).T, 9)
+    scores[np.isnan(scores) | ~asked.eligible(columns, ids, slice(0, 300))] = -np.inf
+    first = np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=1)[:, :5]
+    known = np.isfinite(np.take_along_axis(scores, first, 1))
+    assert (np.isfinite(best.score) == known).all() and (best.row == ids[first])[known].all() and known.sum() > 1400
+    assert sum(rounded) < 300 * 9000 / 4
+
+
+def test_groups_of_a_grid_are_not_joined_to_few_tasks(vectors):
+    found = search.top_k_per_request(vectors, vectors, 2, id="vec_id", request_id="vec_id", request_vector="embedding", held_bytes=40_000)
+    assert "REPARTITION_BY_NUM" in found._jdf.queryExecution().toString()
+
+
 def test_neighbours_leave_out_the_row_and_need_a_vector(vectors):
     got = search.neighbours(vectors, 5, 3, "vec_id", columns=["vec_id"])
     assert 5 not in {r["vec_id"] for r in got.collect()} and got.count() == 3
