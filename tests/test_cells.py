@@ -58,6 +58,18 @@ def test_only_probed_cells_are_opened(grouped, index, spark):
     assert len(probed) == 2 and cells.search(index, one, 3, 2).count() == 3
 
 
+def test_a_request_is_written_once_however_many_cells_it_probes(grouped, index, monkeypatch):
+    written, write = {}, cells.step_table
+    monkeypatch.setattr(cells, "step_table", lambda frame, name: written.setdefault(name, write(frame, name)))
+    cells.search(index, grouped, 3, 20, request_id="id", request_vector="embedding")
+    assert written["probes"].count() == grouped.filter("embedding IS NOT NULL AND id <> 901").count()
+
+
+def test_small_cells_share_a_shelf_and_a_large_one_has_its_own():
+    first, parts = cells._shelved({0: 3, 1: 4, 3: 25, 4: 2, 5: 9}, 6, 10)
+    assert first.tolist() == [0, 0, 0, 1, 4, 5] and parts.tolist() == [1, 1, 1, 3, 1, 1]
+
+
 def test_every_row_is_indexed_and_the_draw_is_stable(grouped, index):
     assert index.rows.count() == grouped.filter("embedding IS NOT NULL").count()
     again = cells.build(grouped.repartition(7))
