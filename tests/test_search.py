@@ -214,6 +214,15 @@ def test_groups_of_a_grid_are_not_joined_to_few_tasks(vectors):
     assert "REPARTITION_BY_NUM" in found._jdf.queryExecution().toString()
 
 
+def test_many_requests_are_met_on_all_cores(vectors, monkeypatch):
+    asked = {"id": "vec_id", "request_id": "vec_id", "request_vector": "embedding"}
+    few = search.top_k_per_request(vectors, vectors, 2, **asked)
+    monkeypatch.setattr(search, "MANY_REQUESTS", 10)
+    many = search.top_k_per_request(vectors, vectors, 2, **asked)
+    spread = ["REPARTITION_BY_NUM" in found._jdf.queryExecution().toString() for found in (few, many)]
+    assert spread == [False, True] and sorted(few.collect()) == sorted(many.collect())
+
+
 def test_neighbours_leave_out_the_row_and_need_a_vector(vectors):
     got = search.neighbours(vectors, 5, 3, "vec_id", columns=["vec_id"])
     assert 5 not in {r["vec_id"] for r in got.collect()} and got.count() == 3
