@@ -17,6 +17,8 @@ RANK_DECIMALS = 9
 # Signatures compared at once by the kernel (8 bytes each), and requests and rows whose cosines are computed at once.
 _BLOCK_CELLS = 2_000_000
 _TILE_REQUESTS, _TILE_ROWS = 256, 2048
+# So many new rows of a request are put in their places one by one; sorting more is quicker.
+_FEW_GAINS = 4
 
 
 def dot(left: Column, right: Column) -> Column:
@@ -163,9 +165,9 @@ class BestRows:
         self.take(at, request, scores[request, position], row_ids[position] if row_ids.ndim == 1 else row_ids[request, position], floor)
 
     def take(self, at: np.ndarray, request: np.ndarray, exact: np.ndarray, row_ids: np.ndarray, floor: np.ndarray) -> None:
-        """Take in pairs of ``at[request]`` and ``row_ids``; none below its request's ``floor`` can be among the best.
+        """Take in pairs of ``at[request]``, ``request`` ascending, and ``row_ids``; none below its request's ``floor`` can be among the best.
 
-        Only requests that gain a row are put in order again.
+        A request that gains few rows has them put in their places one by one, one that gains more is put in order again.
         """
         score = np.round(exact, RANK_DECIMALS)
         gains = np.isfinite(score) & (score >= floor[request])
@@ -179,6 +181,16 @@ class BestRows:
         elif self.row.dtype != row_ids.dtype:
             kind = np.promote_types(self.row.dtype, row_ids.dtype)  # a longer text identifier
             self.row, row_ids = self.row.astype(kind), row_ids.astype(kind)
+        starts = np.flatnonzero(np.diff(request, prepend=-1))
+        counts = np.diff(starts, append=len(request))
+        few = counts <= _FEW_GAINS
+        for turn in range(min(_FEW_GAINS, counts.max())):
+            pair = starts[few & (counts > turn)] + turn
+            self._insert(at[request[pair]], score[pair], exact[pair], row_ids[pair])
+        if few.all():
+            return
+        many = np.repeat(~few, counts)
+        request, exact, score, row_ids = request[many], exact[many], score[many], row_ids[many]
         touched, local = np.unique(request, return_inverse=True)
         at = at[touched]
         old_local, old_place = np.nonzero(np.isfinite(self.score[at]))
@@ -192,6 +204,20 @@ class BestRows:
         into = at[who[order]], place
         self.score[into], self.exact[into], self.row[into] = score[order], true[order], row[order]
 
+    def _insert(self, at: np.ndarray, score: np.ndarray, exact: np.ndarray, row_ids: np.ndarray) -> None:
+        """One row for each of the requests ``at``; those after its place move by one."""
+        kept = self.score[at]
+        place = ((kept > score[:, None]) | (kept == score[:, None]) & (self.row[at] < row_ids[:, None])).sum(axis=1)
+        if (place == self.k).any():
+            among = place < self.k
+            at, score, exact, row_ids, place = at[among], score[among], exact[among], row_ids[among], place[among]
+        places = np.arange(self.k)
+        source = places - (places > place[:, None])
+        for held, new in ((self.score, score), (self.exact, exact), (self.row, row_ids)):
+            moved = held[at[:, None], source]
+            moved[np.arange(len(at)), place] = new
+            held[at] = moved
+
     def found(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(request, row id, exact score) of all that is kept."""
         request, place = np.nonzero(np.isfinite(self.score))

@@ -26,6 +26,8 @@ _REQUEST_BYTES, _ANSWER_BYTES = 512, 80
 CELL_BYTES = 128 << 20
 # A row that meets so many requests takes longer to score than to shuffle.
 MANY_REQUESTS = 1 << 12
+# Groups of the grid for each core, as hashing deals them unevenly; blocks are cut further for that down to so many requests.
+CORE_GROUPS, LEAST_REQUESTS = 4, 1 << 10
 # Rows and requests whose signatures are compared at once, and the most rows under a filter that are scored without.
 NEAR_ROWS, NEAR_REQUESTS, FEW_ROWS = 1 << 14, 1 << 15, 1 << 12
 
@@ -155,7 +157,7 @@ def top_k_per_request(
     Requests whose measured size fits ``held_bytes`` are held by every task and the
     catalogue is read once, without a shuffle unless there are ``MANY_REQUESTS``; more requests
     are cut into blocks, the catalogue into cells by a hash of the identifier, and every
-    (block, cell) is one bounded group.
+    (block, cell) is one bounded group; blocks are small enough to give every core some.
     """
     equal, minimum = equal or {}, minimum or {}
     wants = [F.col(r).alias(f"want_{c}") for c, r in equal.items()]
@@ -233,8 +235,7 @@ def _best_per_task(
         score(requests, best, identifiers(stored["id"]), stored)
         return _answers(requests, best, arrow)
 
-    blocks, cells = grid or (
-        math.ceil(count * width_bytes / held_bytes), max(1, math.ceil(rows.count() * width_bytes / CELL_BYTES)))
+    blocks, cells = grid or _grid(spark, count, rows.count(), width_bytes, held_bytes)
 
     def hashed(column: str, parts: int) -> Column:
         return F.pmod(F.xxhash64(column), F.lit(parts)).cast("int")
@@ -247,6 +248,16 @@ def _best_per_task(
     return spread_groups(spark, left, right, ["block", "cell"], blocks * cells).applyInArrow(best_of_cell, schema)
 
 
+def _grid(spark: SparkSession, count: int, rows: int, width_bytes: int, held_bytes: int) -> tuple[int, int]:
+    """Request blocks and row cells: groups of bounded size, and enough of them for all cores.
+
+    More blocks cost a row's shuffle each; more cells would also begin each request's best rows anew.
+    """
+    cells = max(1, math.ceil(rows * width_bytes / CELL_BYTES))
+    wanted = math.ceil(CORE_GROUPS * spark.sparkContext.defaultParallelism / cells)
+    return max(math.ceil(count * width_bytes / held_bytes), min(wanted, math.ceil(count / LEAST_REQUESTS))), cells
+
+
 def spread_groups(spark: SparkSession, left: DataFrame, right: DataFrame, keys: list[str], groups: int) -> PandasCogroupedOps:
     """Pairs of groups in a fixed number of parts; adaptive execution would join these to a few by their bytes, but their work is the product of their rows."""
     parts = min(max(int(spark.conf.get("spark.sql.shuffle.partitions")), groups), 4 * groups)

@@ -214,6 +214,27 @@ def test_groups_of_a_grid_are_not_joined_to_few_tasks(vectors):
     assert "REPARTITION_BY_NUM" in found._jdf.queryExecution().toString()
 
 
+def test_a_grid_has_groups_for_all_cores(spark, vectors, matrix, monkeypatch):
+    monkeypatch.setattr(search, "LEAST_REQUESTS", 8, raising=False)
+    cut, spread = [], search.spread_groups
+    monkeypatch.setattr(search, "spread_groups", lambda *given: cut.append(given[-1]) or spread(*given))
+    found = search.top_k_per_request(vectors, vectors, 3, not_self=True, id="vec_id", request_id="vec_id", request_vector="embedding", held_bytes=200_000)
+    assert ranked(found) == brute_force(matrix, 3)
+    assert cut[0] >= 4 * spark.sparkContext.defaultParallelism
+
+
+@pytest.mark.parametrize("kind", [np.int64, "S9"])
+def test_rows_gained_one_by_one_take_their_places(kind):
+    rng = np.random.default_rng(3)
+    scores = rng.integers(0, 40, (30, 600)) / 40  # many ties
+    ids = rng.permutation(600).astype(kind)
+    best = V.BestRows(30, 5)
+    for start in range(0, 600, 7):
+        best.offer(np.arange(30), scores[:, start : start + 7].copy(), ids[start : start + 7])
+    first = np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=1)[:, :5]
+    assert (best.row == ids[first]).all() and (best.score == np.take_along_axis(scores, first, 1)).all() and (best.exact == best.score).all()
+
+
 def test_many_requests_are_met_on_all_cores(vectors, monkeypatch):
     asked = {"id": "vec_id", "request_id": "vec_id", "request_vector": "embedding"}
     few = search.top_k_per_request(vectors, vectors, 2, **asked)
