@@ -18,6 +18,8 @@ from cinefold.schemas import EMBEDDING_WIDTH
 
 Vectors = list[list[float]]
 EMBEDDED = "vector array<float>, error string, batch_head boolean"
+# Vectors that a worker holds as Python numbers at once; an Arrow batch may have many times more rows.
+PIECE_TEXTS = 1 << 9
 
 
 class Rejected(RuntimeError):
@@ -112,24 +114,34 @@ def embedded(content: Column, plan: Embedder) -> Column:
     """Struct of vector, error and whether the row opened a batch; NULL texts are passed over.
 
     The column stays in its row, so nothing is shuffled or joined back, and only the
-    text travels to the Python worker.
+    text travels to the Python worker. It hands over a few batches' vectors at a time, so what it holds does not grow with the
+    rows of an Arrow batch.
     """
 
     @F.pandas_udf(EMBEDDED)
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         service = plan.connect()
         for texts in parts:
-            vectors: list = [None] * len(texts)
-            errors: list = [None] * len(texts)
-            heads = [False] * len(texts)
             present = np.flatnonzero(texts.notna().to_numpy())
-            for start in range(0, len(present), plan.batch):
-                rows = present[start : start + plan.batch]
-                heads[rows[0]] = True
-                answers = embed_batch(service, [texts.iloc[r] for r in rows], plan)
-                for row, (vector, error) in zip(rows, answers):
-                    vectors[row], errors[row] = vector, error
-            yield pd.DataFrame({"vector": vectors, "error": errors, "batch_head": heads})
+            step = plan.batch * max(1, PIECE_TEXTS // plan.batch)
+            first = 0
+            for start in range(0, max(1, len(present)), step):
+                # Up to the first text of the next piece.
+                last = present[start + step] if start + step < len(present) else len(texts)
+                yield piece(service, texts.iloc[first:last], present[start : start + step] - first)
+                first = last
+
+    def piece(service: Callable[[list[str]], Vectors], texts: pd.Series, present: np.ndarray) -> pd.DataFrame:
+        vectors: list = [None] * len(texts)
+        errors: list = [None] * len(texts)
+        heads = [False] * len(texts)
+        for start in range(0, len(present), plan.batch):
+            rows = present[start : start + plan.batch]
+            heads[rows[0]] = True
+            answers = embed_batch(service, [texts.iloc[r] for r in rows], plan)
+            for row, (vector, error) in zip(rows, answers):
+                vectors[row], errors[row] = vector, error
+        return pd.DataFrame({"vector": vectors, "error": errors, "batch_head": heads})
 
     return run(text.with_prefix(plan.prefix, content))
 

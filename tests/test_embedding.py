@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -130,3 +131,25 @@ def test_http_client(monkeypatch):
     assert seen[0].full_url == "http://host/embed" and len(seen) == 2
     vector, error = embed_batch(service.connect(), ["x"], service)[0]
     assert vector is None and "413" in error and len(seen) == 3
+
+
+def test_vectors_are_handed_over_a_few_at_a_time_in_the_same_batches(spark, monkeypatch):
+    calls, made = [], []
+    with monkeypatch.context() as patch:
+        patch.setattr(embedding.F, "pandas_udf", lambda kind: lambda run: made.append(run) or (lambda column: column))
+        embedding.embedded(F.lit("x"), Embedder("m", lambda: recorder(calls), WIDTH, batch_size=30))
+    texts = pd.Series([None if i % 3 == 0 else "a" * (i % 17) for i in range(5000)])
+    frames = list(made[0](iter([texts, pd.Series([None] * 40), texts[:0]])))
+    assert max(len(f) for f in frames) <= 1000 and sum(map(len, frames)) == 5040
+    whole = pd.concat(frames, ignore_index=True)
+    present = [i for i in range(5000) if i % 3]
+    assert [i for i, head in enumerate(whole["batch_head"]) if head] == present[::30]
+    assert [len(c) for c in calls] == [30] * (len(present) // 30) + [len(present) % 30]
+    assert [v and v[0] for v in whole["vector"]] == [None if t is None else float(len(t)) for t in texts] + [None] * 40
+
+
+def test_rows_keep_their_vectors_when_an_arrow_batch_is_handed_over_in_pieces(spark):
+    rows = spark.range(0, 3000, 1, 1).select("id", F.when(F.col("id") % 5 != 0, F.concat(F.lit("w"), "id")).alias("t"))
+    out = rows.select("id", "t", embedding.embedded(F.col("t"), embedding.offline_embedder())["vector"].alias("v")).collect()
+    known = embedding.hashed_words()([r.t or "" for r in out])
+    assert len(out) == 3000 and all((r.v is None) == (r.id % 5 == 0) and (r.v is None or r.v == v) for r, v in zip(out, known))
