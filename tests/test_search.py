@@ -312,3 +312,28 @@ def test_request_key_ignores_case_and_padding(spark):
     out = {r["request_key"]: (r["request_id"], r["asked"])
            for r in requests.distinct_requests(requests.valid_only(frame)).collect()}
     assert out == {"search|space opera|10|drama|7.0|-|-": (1, 2), "search|space opera|10|-|7.0|-|-": (3, 1)}
+
+
+def test_requests_that_share_all_filters_meet_only_their_rows(monkeypatch):
+    """Products are formed for rows that pass every equality filter, and answers are those of each request on its own."""
+    rng = np.random.default_rng(21)
+    n, asked, seen = 400, 900, []
+    rows = {"genre": rng.choice(np.array(["a", "b", None], object), n), "decade": rng.choice(np.array([1990, 2000, None], object), n)}
+    vectors = rng.standard_normal((n, 8))
+    wants = sorted(zip(rng.choice(["a", "b", None], asked), (None if x < 0 else int(x) for x in rng.choice([-1, 1990, 2000], asked))),
+                   key=lambda pair: [(w is None, w or 0) for w in pair])
+    equal = {c: np.array([w[i] for w in wants], object) for i, c in enumerate(rows)}
+    requests = V.Requests(np.arange(asked), V.unit_rows(rng.standard_normal((asked, 8))), 5, equal)
+    inner = V._rank_cosine
+    monkeypatch.setattr(V, "_rank_cosine", lambda r, b, ids, units, kept, who: (seen.append(len(ids) * len(who)), inner(r, b, ids, units, kept, who)))
+    best = V.BestRows(asked, 5)
+    V.rank_block(requests, best, np.arange(n), vectors, rows)
+    units, found = V.unit_rows(vectors), {}
+    for request, row in zip(*best.found()[:2]):
+        found.setdefault(int(request), []).append(int(row))
+    allowed = 0
+    for i, (genre, decade) in enumerate(wants):
+        here = [k for k in range(n) if genre in (None, rows["genre"][k]) and decade in (None, rows["decade"][k])]
+        allowed += len(here)
+        assert found[i] == sorted(here, key=lambda k: (-round(float(requests.vectors[i] @ units[k]), 9), k))[:5]
+    assert sum(seen) == allowed
